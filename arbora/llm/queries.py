@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, quality_classifier, quality_rules, sharding, simhash, substring
-from .common import table
+from . import chat_format, decontaminate, language_id, mixing, quality_classifier, quality_rules, sharding, simhash, substring, token_output
+from .common import crc_mod, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,23 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, total = token_output.sequences(table(spark, sf_dir, "documents"))
+    placed = token_output.place(rows, total)
+    return placed.select("slot", "shard", "row", "n_docs", "n_tokens", F.crc32("tokens").alias("tokens_crc32"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, epoch_col="epoch")
+    return mixed.select("doc_id", "source", mixing.word_count("text").alias("n_words"), "epoch")
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.deduplicate(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -46,6 +58,19 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts written from the conversations in several marker styles, parsed back."""
+    chats = chat_format.conversations(table(spark, sf_dir, "conversations"))
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(chat_format.STYLES))).cast("int")
+    chats = chats.withColumn("marked", chat_format.marked_turns(style, F.col("turns"))).withColumn("style", style)
+    held_out = crc_mod("conv_id", 3) == 1
+    counts = chat_format.train(chats.where(~held_out).select(F.col("marked").alias("turns")))
+    parsed = chat_format.parse(chats.withColumn("transcript", chat_format.as_transcript(F.col("marked"))), counts, "parsed")
+    got, want = F.col("parsed.turns"), F.col("turns")
+    right = F.size(F.filter(F.zip_with(got, want, lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == F.trim(b["text"])), F.lit(False))), lambda x: x))
+    return parsed.select("conv_id", "style", held_out.alias("held_out"), F.size(want).alias("n_turns"), F.size(got).alias("n_parsed"), right.alias("n_right"), F.sha2(F.col("parsed.rendered").cast("binary"), 256).alias("rendered_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = language_id.fit(docs.where(~language_id.held_out()))
@@ -57,9 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_shard": op3_shard,
+    "op4_token_output": op4_token_output,
     "op5_quality_rules": op5_quality_rules,
+    "op6_mixing": op6_mixing,
     "op7_substring": op7_substring,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
 }
 ORACLE: dict[str, str] = {}
