@@ -1,14 +1,802 @@
-"""Registered queries of the bandit operators and their DuckDB twins."""
+"""Registered queries of the bandit operators and their DuckDB twins.
+
+Every query runs over its whole table. Doubles are rounded to six places on both sides, as the
+order of summation differs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from arbora.functions import noise, vectors
+from arbora.functions.lineage import durable, ensure_checkpoint_dir
+from arbora.operators import decisions, diagnose, models, posterior, prepare, quantize, score
+from arbora.plans import inputs
+from arbora.plans.inputs import ARMS, EMB, EVT, ITERATIONS, LEVELS, LIN, NBITS, ORD, book_sql, log_sql
+from arbora.sources import results, tables
+from arbora.streaming import micro
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(c: Column | str) -> Column:
+    """Six places; negative zero counts as zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def s6(expr: str) -> str:
+    return f"(round({expr}, 6) + 0.0)"
+
+
+def _vector(c: Column | str, name: str) -> Column:
+    """A vector as text of rounded numbers, which both engines print alike after scaling."""
+    v = F.col(c) if isinstance(c, str) else c
+    return F.array_join(F.transform(v, lambda x: F.round(x * 1e4).cast("bigint").cast("string")), ",").alias(name)
+
+
+def _vector_sql(expr: str) -> str:
+    return f"array_to_string(list_transform({expr}, lambda q: round(q * 1e4)::BIGINT::VARCHAR), ',')"
+
+
+# ----------------------------------------------------------------- flagship
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Reward error of a one-level codebook of 16 codes: read, standardise, train, encode, fit, judge."""
+    contexts = durable(prepare.standardize(inputs.embeddings(spark, sf_dir)))
+    book = quantize.train_codebook(contexts, 1, 4, 5)
+    coded = durable(quantize.encode(contexts, book).select("row_id", "label", "codes"))
+    means = models.fit_boosted_centroids(coded, ARMS, 1, 4)
+    return diagnose.delta_boosted(coded, means, 1, ARMS).select("depth", r6("mae").alias("mae"), r6("mae_smoothed").alias("mae_smoothed"))
+
+
+STD = "mom AS MATERIALIZED (SELECT i, avg(v) AS m, CASE WHEN stddev_pop(v) < 1e-8 THEN 1.0 ELSE stddev_pop(v) END AS s FROM (SELECT generate_subscripts(x, 1) AS i, unnest(x) AS v FROM {src}) GROUP BY i), {dst} AS MATERIALIZED (SELECT row_id, label, list((v - m) / s ORDER BY i) AS x FROM (SELECT row_id, label, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM {src}) JOIN mom USING (i) GROUP BY row_id, label)"
+_EMB0 = EMB.replace("ctx AS", "raw AS")
+
+
+def _boosted_sql(depth: int, nbits: int, arms: int = ARMS, eta: float = 0.5) -> str:
+    """CTEs m<l> (code, arm, mean, smoothed) on `coded`."""
+    out = [f"arms AS (SELECT unnest(range({arms}))::INT AS arm)", "p0 AS MATERIALIZED (SELECT row_id, label, codes, arm, 0.0::DOUBLE AS p FROM coded, arms)"]
+    for level in range(depth):
+        residual = "(label = arm)::INT - least(greatest(p, 0), 1)"
+        out.append(f"m{level} AS MATERIALIZED (SELECT codes[{level + 1}] AS code, arm, sum({residual}) / count(*) AS mean, (sum({residual}) + 1.0 / {arms}) / (count(*) + 1) AS smoothed FROM p{level} GROUP BY 1, 2)")
+        out.append(f"p{level + 1} AS MATERIALIZED (SELECT row_id, label, codes, t.arm, p + {eta**level} * mean AS p FROM p{level} t JOIN m{level} m ON m.code = codes[{level + 1}] AND m.arm = t.arm)")
+    return ", ".join(out)
+
+
+@query(
+    f"WITH {_EMB0}, {STD.format(src='raw', dst='ctx')}, {book_sql(1, 4, 5)}, {_boosted_sql(1, 4)}, q AS (SELECT row_id, label, codes, t.arm, smoothed AS p FROM p0 t JOIN m0 m ON m.code = codes[1] AND m.arm = t.arm) "
+    f"SELECT 1 AS depth, (SELECT {s6('avg(abs((label = arm)::INT - least(greatest(p, 0), 1)))')} FROM p1) AS mae, (SELECT {s6('avg(abs((label = arm)::INT - least(greatest(p, 0), 1)))')} FROM q) AS mae_smoothed"
+)
+def delta_by_depth(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+# ------------------------------------------------------- sources and sinks
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/arbora_{name}_{uuid4().hex}"
+
+
+@query("SELECT vec_id AS row_id, label, len(embedding)::INT AS width, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) + 0.0 AS total FROM embeddings")
+def s1_read_contexts(spark, sf_dir):
+    total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
+    return inputs.embeddings(spark, sf_dir).select("row_id", "label", F.size("x").alias("width"), (F.round(total, 4) + 0.0).alias("total"))
+
+
+@query()
+def s2_read_counted_text(spark, sf_dir):
+    """Two of the three flags of lineitem written as counted text, and read back."""
+    from arbora.sources.text import read_counted_text
+
+    li = inputs.lineitem(spark, sf_dir).where("label < 2")
+    n1 = li.where("label = 1").count()
+    n0 = li.count() - n1
+    line = F.array_join(F.transform("x", lambda v: v.cast("string")), " ")
+    head = spark.createDataFrame([(2, f" {n1} {n0}")], "label int, value string")
+    path = _scratch(spark, "counted")
+    head.unionByName(li.select("label", line.alias("value"))).orderBy(F.desc("label")).select("value").write.text(f"{path}/parts")
+    # Spark lists the parts in order, which is the order of the lines
+    return read_counted_text(spark, f"{path}/parts").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.get("x", F.lit(0))), 2).alias("quantity"))
+
+
+@query("SELECT 'train' AS split, vec_id AS row_id, label FROM embeddings WHERE vec_id % 5 < 3 UNION ALL SELECT 'val', vec_id, NULL FROM embeddings WHERE vec_id % 5 = 3 UNION ALL SELECT 'test', vec_id, label FROM embeddings WHERE vec_id % 5 = 4")
+def s3_union_splits(spark, sf_dir):
+    e = inputs.embeddings(spark, sf_dir).select("row_id", "label")
+    part = F.col("row_id") % 5
+    return tables.union_splits({"train": e.where(part < 3), "val": e.where(part == 3).drop("label"), "test": e.where(part == 4), "extra": None}).select("split", "row_id", "label")
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def s4_write_results(spark, sf_dir):
+    path = _scratch(spark, "results")
+    results.write_results(inputs.embeddings(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n")), path, ["label", "n"], ["label"], "csv")
+    return results.read_results(spark, path, "label int, n long", "csv")
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label UNION ALL SELECT o_orderstatus_rank, n FROM (SELECT 100 + (ascii(o_orderstatus))::INT AS o_orderstatus_rank, count(*) AS n FROM orders GROUP BY 1)")
+def s5_append_results(spark, sf_dir):
+    first = inputs.embeddings(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    path = _scratch(spark, "results")
+    results.write_results(first, path, ["label", "n"])
+    more = inputs.table(spark, sf_dir, "orders").groupBy((100 + F.ascii("o_orderstatus")).alias("label")).agg(F.count("*").alias("n"))
+    return results.append_results(results.read_results(spark, path, "label int, n long"), more)
+
+
+@query("SELECT (event_id % 3)::BIGINT AS batch_id, count(*) AS n FROM events GROUP BY 1")
+def s6_append_checkpoints(spark, sf_dir):
+    path = _scratch(spark, "checkpoints")
+    e = inputs.table(spark, sf_dir, "events")
+    for batch in (0, 1, 2, 1):  # batch 1 is replayed
+        results.append_checkpoints(e.where(F.col("event_id") % 3 == batch).select("event_id"), path, batch)
+    return spark.read.schema("event_id long, batch_id long").parquet(path).groupBy("batch_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT label, count(*) AS n, count(*) AS again FROM embeddings GROUP BY label")
+def s7_cached_contexts(spark, sf_dir):
+    kept = tables.cached_contexts(inputs.embeddings(spark, sf_dir))
+    return kept.groupBy("label").agg(F.count("*").alias("n")).join(kept.groupBy("label").agg(F.count("x").alias("again")), "label")
+
+
+# ------------------------------------------------------ feature preparation
+
+
+def _standardized(guard: str) -> str:
+    s = "CASE WHEN stddev_pop(v) < 1e-8 THEN 1.0 ELSE stddev_pop(v) END" if guard == "unit" else "stddev_pop(v) + 1e-8"
+    return f"WITH {ORD}, mom AS (SELECT i, avg(v) AS m, {s} AS s FROM (SELECT generate_subscripts(x, 1) AS i, unnest(x) AS v FROM ctx) GROUP BY i) SELECT row_id, {s6('max((v - m) / s) FILTER (i = 1)')} AS z0, {s6('max((v - m) / s) FILTER (i = 2)')} AS z1 FROM (SELECT row_id, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM ctx) JOIN mom USING (i) GROUP BY row_id"
+
+
+def _two(df: DataFrame) -> DataFrame:
+    return df.select("row_id", r6(F.get("x", F.lit(0))).alias("z0"), r6(F.get("x", F.lit(1))).alias("z1"))
+
+
+@query(_standardized("unit"))
+def p1_standardize(spark, sf_dir):
+    return _two(prepare.standardize(inputs.orders(spark, sf_dir)))
+
+
+@query(_standardized("eps"))
+def p2_standardize_eps(spark, sf_dir):
+    return _two(prepare.standardize(inputs.orders(spark, sf_dir), "eps"))
+
+
+@query("SELECT o_orderkey AS row_id, (CASE o_orderstatus WHEN 'O' THEN '1' ELSE '0' END) || ',' || array_to_string(list_transform(range(5), lambda i: (i = substr(o_orderpriority, 1, 1)::INT - 1)::INT::VARCHAR), ',') AS code FROM orders")
+def p3_one_hot(spark, sf_dir):
+    o = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderstatus") == "O").cast("int").alias("open"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("priority"))
+    return prepare.one_hot_categories(o, ["open", "priority"]).select("row_id", F.array_join(F.transform("encoded", lambda v: v.cast("int").cast("string")), ",").alias("code"))
+
+
+@query("SELECT vec_id AS row_id, len(embedding)::INT + 1 AS width, 1.0::DOUBLE AS last FROM embeddings")
+def p4_add_intercept(spark, sf_dir):
+    z = vectors.add_intercept(F.col("x"))
+    return inputs.embeddings(spark, sf_dir).select("row_id", F.size(z).alias("width"), F.element_at(z, -1).alias("last"))
+
+
+@query(f"SELECT vec_id AS row_id, array_to_string(list_transform(range({ARMS}), lambda i: (i = label)::INT::VARCHAR), '') AS code FROM embeddings")
+def p5_one_hot_label(spark, sf_dir):
+    return inputs.embeddings(spark, sf_dir).select("row_id", F.array_join(F.transform(vectors.one_hot(F.col("label"), ARMS), lambda v: v.cast("int").cast("string")), "").alias("code"))
+
+
+@query(f"WITH {ORD} SELECT row_id, round(x[1] * 1e5, 2) AS first, array_to_string(list_transform(range(5), lambda i: (i = label)::INT::VARCHAR), '') AS tail FROM ctx")
+def p6_context_arm_features(spark, sf_dir):
+    z = vectors.context_arm_features(F.col("x"), F.col("label"), 5)
+    return inputs.orders(spark, sf_dir).select("row_id", F.round(F.get(z, F.lit(0)) * 1e5, 2).alias("first"), F.array_join(F.transform(F.slice(z, 3, 5), lambda v: v.cast("int").cast("string")), "").alias("tail"))
+
+
+@query(f"SELECT vec_id AS row_id, unnest(range({ARMS}))::INT AS arm, label FROM embeddings")
+def p7_expand_arms(spark, sf_dir):
+    return prepare.expand_arms(inputs.embeddings(spark, sf_dir).select("row_id", "label"), ARMS).select("row_id", "arm", "label")
+
+
+@query(f"WITH {ORD}, u AS (SELECT row_id, {noise.uniform_sql('row_id', 3)} AS u FROM ctx) SELECT row_id, row_number() OVER (ORDER BY u, row_id) <= 1000 AS holdout FROM u")
+def p8_split_holdout(spark, sf_dir):
+    return prepare.split_holdout(inputs.orders(spark, sf_dir), 1000, 3).select("row_id", "holdout")
+
+
+@query(f"WITH {ORD}, u AS (SELECT row_id, {noise.uniform_sql('row_id', 4)} AS u FROM ctx) SELECT row_id, row_number() OVER (ORDER BY u, row_id) AS round FROM u")
+def p9_shuffle_rounds(spark, sf_dir):
+    return prepare.shuffle_rounds(inputs.orders(spark, sf_dir), 4).select("row_id", "round")
+
+
+@query(f"WITH {ORD}, u AS (SELECT row_id, {noise.uniform_sql('row_id', 4)} AS u FROM ctx) SELECT row_id, round FROM (SELECT row_id, row_number() OVER (ORDER BY u, row_id) AS round FROM u) WHERE round <= 500")
+def p10_cap_rounds(spark, sf_dir):
+    return prepare.cap_rounds(prepare.shuffle_rounds(inputs.orders(spark, sf_dir), 4), 500).select("row_id", "round")
+
+
+@query()
+def p11_pca(spark, sf_dir):
+    e = prepare.split_holdout(inputs.embeddings(spark, sf_dir), 200, 5)
+    out, share = prepare.pca_fit_transform(e.where("holdout"), e, 8)
+    return out.select("row_id", _vector("pc", "pc"), F.lit(round(share, 6)).alias("explained"))
+
+
+@query(f"WITH {EVT} SELECT row_id, {s6('least(greatest(reward - 0.75 + 0.5, 0), 1)')} AS s, {s6('least(greatest(reward - 0.75, 0), 1)')} AS c FROM evt")
+def p12_sigmoid_clip(spark, sf_dir):
+    z = F.col("reward") - 0.75
+    return inputs.events(spark, sf_dir).select("row_id", r6(vectors.sigmoid_clip(z)).alias("s"), r6(vectors.clip01(z)).alias("c"))
+
+
+@query(f"WITH {EMB}, {log_sql()} SELECT row_id, arm, reward, 1 - reward AS regret FROM log")
+def p13_reward_from_label(spark, sf_dir):
+    log = inputs.logged(inputs.embeddings(spark, sf_dir))
+    reward = vectors.reward_from_label(F.col("arm"), F.col("label"))
+    return log.select("row_id", "arm", reward.alias("reward"), (1 - reward).alias("regret"))
+
+
+_W = [[0.3, -0.2], [-0.1, 0.25], [0.05, 0.05]]
+
+
+@query(f"WITH {ORD}, s AS (SELECT row_id, unnest([{', '.join(f'struct_pack(s := {a} * x[1] + {b} * x[2], a := -{i})' for i, (a, b) in enumerate(_W))}]) AS v FROM ctx) SELECT row_id, (-(max(v).a))::INT AS label FROM s GROUP BY row_id")
+def p14_label_by_linear_argmax(spark, sf_dir):
+    return prepare.label_by_linear_argmax(inputs.orders(spark, sf_dir), _W).select("row_id", "label")
+
+
+@query(f"WITH {ORD} SELECT row_id, [0, 1, 2, 1, 3, 0, 2, 4][4 * (x[1] > 1.0)::INT + 2 * (x[2] > 0.5)::INT + (x[1] > 2.0)::INT + 1] AS label FROM ctx")
+def p15_label_by_tree(spark, sf_dir):
+    return prepare.label_by_tree(inputs.orders(spark, sf_dir), [(0, 1.0), (1, 0.5), (0, 2.0)], [0, 1, 2, 1, 3, 0, 2, 4]).select("row_id", "label")
+
+
+@query(f"WITH {ORD} SELECT row_id, CASE WHEN {noise.uniform_sql('row_id', 6, 3)} < 0.1 THEN floor({noise.uniform_sql('row_id', 6, 7)} * 5)::INT ELSE label END AS label FROM ctx")
+def p16_inject_label_noise(spark, sf_dir):
+    return prepare.inject_label_noise(inputs.orders(spark, sf_dir), 0.1, 5, 6).select("row_id", "label")
+
+
+# ------------------------------------------------------------- quantisation
+
+
+@query(f"WITH {EMB}, {book_sql()} SELECT level, code, {_vector_sql('c')} AS centroid FROM book")
+def q1_train_codebook(spark, sf_dir):
+    book = inputs.codebook(durable(inputs.embeddings(spark, sf_dir)))
+    return quantize.codebook_table(spark, book).select("level", "code", _vector("centroid", "centroid"))
+
+
+@query(f"WITH {EMB}, {book_sql()} SELECT row_id, codes[1] AS code0, codes[2] AS code1 FROM coded")
+def q2_encode(spark, sf_dir):
+    return inputs.encoded(durable(inputs.embeddings(spark, sf_dir)), False).select("row_id", F.get("codes", F.lit(0)).alias("code0"), F.get("codes", F.lit(1)).alias("code1"))
+
+
+@query("SELECT vec_id AS row_id, (vec_id % 4)::INT AS a, (vec_id // 4 % 4)::INT AS b FROM embeddings")
+def q3_unpack_codes(spark, sf_dir):
+    packed = vectors.unpack_codes((F.col("row_id") % 16).cast("bigint"), 2, 2)
+    return inputs.embeddings(spark, sf_dir).select("row_id", F.get(packed, F.lit(0)).alias("a"), F.get(packed, F.lit(1)).alias("b"))
+
+
+@query(f"WITH {EMB}, {book_sql()} SELECT row_id, codes[1]::BIGINT + 4 * codes[2] AS packed FROM coded")
+def q4_pack_codes(spark, sf_dir):
+    return inputs.encoded(durable(inputs.embeddings(spark, sf_dir)), False).select("row_id", vectors.pack_codes(F.col("codes"), NBITS).alias("packed"))
+
+
+@query(f"WITH {EMB}, {book_sql()} SELECT row_id, unnest([0, 1]) AS level, {_vector_sql('unnest(residuals)')} AS r FROM coded")
+def q5_residual_features(spark, sf_dir):
+    e = durable(inputs.embeddings(spark, sf_dir))
+    book = inputs.codebook(e)
+    coded = quantize.encode(e, book)
+    return quantize.residual_features(coded, quantize.codebook_table(spark, book)).select("row_id", "level", _vector("r", "r"))
+
+
+@query(f"WITH {EMB}, {book_sql()} SELECT 0 AS level, codes[1] AS code, label, count(*) AS n FROM coded GROUP BY ALL UNION ALL SELECT 1, codes[2], label, count(*) FROM coded GROUP BY ALL")
+def q6_code_histogram(spark, sf_dir):
+    return quantize.code_histogram(inputs.encoded(durable(inputs.embeddings(spark, sf_dir)), False), ["label"]).select("level", "code", "label", "n")
+
+
+# --------------------------------------------------------------- posteriors
+
+
+def _nig_sql(rows: str, arms: int = 6) -> str:
+    n, s = "coalesce(n, 0)", "coalesce(s, 0)"
+    return f"WITH {EVT}, st AS (SELECT arm, count(*)::DOUBLE AS n, sum(reward) AS s, var_pop(reward) * count(*) AS ss FROM {rows} GROUP BY arm), ar AS (SELECT unnest(range({arms}))::INT AS arm) SELECT arm, {s6(f'{s} / (1 + {n})')} AS mu, 1 + {n} AS lam, 1 + {n} / 2 AS alpha, {s6(f'1 + coalesce(ss, 0) / 2 + CASE WHEN {n} > 0 THEN (s / n) ** 2 * n / (1 + n) / 2 ELSE 0 END')} AS beta FROM ar LEFT JOIN st USING (arm)"
+
+
+def _nig_out(p: DataFrame) -> DataFrame:
+    return p.select("arm", r6("mu").alias("mu"), "lam", "alpha", r6("beta").alias("beta"))
+
+
+@query(_nig_sql("evt"))
+def a1_nig_posterior(spark, sf_dir):
+    return _nig_out(posterior.nig_posterior(inputs.events(spark, sf_dir), 6))
+
+
+@query(_nig_sql("evt"))
+def a2_nig_merge(spark, sf_dir):
+    e = inputs.events(spark, sf_dir)
+    p = posterior.nig_posterior(e.where("row_id % 3 = 0"), 6)
+    return _nig_out(posterior.nig_merge(posterior.nig_merge(p, e.where("row_id % 3 = 1")), e.where("row_id % 3 = 2")))
+
+
+@query(f"WITH {EVT} SELECT arm, {s6('sum(reward) / (1 + count(*))')} AS mean, count(*)::DOUBLE AS n_eff FROM evt GROUP BY arm")
+def a3_nig_summary(spark, sf_dir):
+    return posterior.nig_summary(posterior.nig_posterior(inputs.events(spark, sf_dir), 5)).select("arm", r6("mean").alias("mean"), "n_eff")
+
+
+@query(f"WITH {EMB}, {log_sql()}, o AS (SELECT row_id, arm, reward, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM log), g AS (SELECT a.arm, a.i, b.i AS j, sum(a.v * b.v) AS v FROM o a JOIN o b ON a.row_id = b.row_id AND a.i <= b.i GROUP BY 1, 2, 3 UNION ALL SELECT arm, i, -1, sum(reward * v) FROM o GROUP BY 1, 2) SELECT arm, i::INT AS i, j::INT AS j, {s6('v')} AS v FROM g")
+def a4_linear_posterior(spark, sf_dir):
+    return posterior.gram(inputs.logged(inputs.embeddings(spark, sf_dir)), ["arm"]).select("arm", "i", "j", r6("v").alias("v"))
+
+
+@query(f"WITH {EMB}, {log_sql()}, o AS (SELECT arm, reward, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM log) SELECT arm, i::INT AS i, {s6('1 + sum(v * v)')} AS prec, {s6('sum(reward * v)')} AS f FROM o GROUP BY arm, i")
+def a5_diag_posterior(spark, sf_dir):
+    p = posterior.diag_posterior(inputs.logged(inputs.embeddings(spark, sf_dir)))
+    return p.select("arm", F.posexplode(F.arrays_zip("prec", "f")).alias("i", "z")).select("arm", "i", r6("z.prec").alias("prec"), r6("z.f").alias("f"))
+
+
+_CODED_LOG = f"WITH {EMB}, {book_sql()}, {log_sql(source='coded')}"
+
+
+def _coded_log(spark, sf_dir) -> DataFrame:
+    return durable(inputs.logged(inputs.encoded(durable(inputs.embeddings(spark, sf_dir)))))
+
+
+@query(f"{_CODED_LOG} SELECT 0 AS level, codes[1] AS code, arm, count(*) AS n, {s6('sum(reward - 0.5)')} AS f, {s6('sum(reward - 0.5) / (1 + count(*))')} AS theta FROM log GROUP BY codes[1], arm")
+def a6_counter_posterior(spark, sf_dir):
+    return posterior.counter_posterior(_coded_log(spark, sf_dir)).select("level", "code", "arm", "n", r6("f").alias("f"), r6("theta").alias("theta"))
+
+
+def _counters_sql(levels: int = LEVELS, eta: float = 0.5) -> str:
+    out = ["l0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS p FROM log)"]
+    for level in range(levels):
+        out.append(f"t{level} AS MATERIALIZED (SELECT {level} AS level, codes[{level + 1}] AS code, arm, count(*) AS n, sum(reward - least(greatest(p + 0.5, 0), 1)) AS f, sum(reward - least(greatest(p + 0.5, 0), 1)) / (count(*) + 1) AS theta FROM l{level} GROUP BY 2, 3)")
+        out.append(f"l{level + 1} AS MATERIALIZED (SELECT l{level}.* EXCLUDE (p), p + {eta**level} * theta AS p FROM l{level} JOIN t{level} t ON t.code = codes[{level + 1}] AND t.arm = l{level}.arm)")
+    out.append("cnt AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM t{level}" for level in range(levels)) + ")")
+    return ", ".join(out)
+
+
+@query(f"{_CODED_LOG}, {_counters_sql()} SELECT level, code, arm, n, {s6('f')} AS f, {s6('theta')} AS theta FROM cnt")
+def a7_levelwise_counter_fit(spark, sf_dir):
+    fit = posterior.levelwise_counter_fit(_coded_log(spark, sf_dir), LEVELS, ARMS, NBITS)
+    return fit.select("level", "code", "arm", "n", r6("f").alias("f"), r6("theta").alias("theta"))
+
+
+def _diag_sql(levels: int = LEVELS, eta: float = 0.5) -> str:
+    out = ["l0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS p FROM log)"]
+    for level in range(levels):
+        out.append(f"z{level} AS MATERIALIZED (SELECT row_id, codes[{level + 1}] AS code, arm, reward - least(greatest(p + 0.5, 0), 1) AS t, generate_subscripts(list_append(residuals[{level + 1}], 1.0), 1) - 1 AS i, unnest(list_append(residuals[{level + 1}], 1.0)) AS v FROM l{level})")
+        out.append(f"d{level} AS MATERIALIZED (SELECT {level} AS level, code, arm, i, 1 + sum(v * v) AS prec, sum(v * t) AS f FROM z{level} GROUP BY code, arm, i)")
+        out.append(f"l{level + 1} AS MATERIALIZED (SELECT l{level}.* EXCLUDE (p), p + {eta**level} * q AS p FROM l{level} JOIN (SELECT row_id, sum(f / prec * v) AS q FROM z{level} JOIN d{level} USING (code, arm, i) GROUP BY row_id) USING (row_id))")
+    return ", ".join(out)
+
+
+@query(f"{_CODED_LOG}, {_diag_sql()} SELECT level, code, arm, i::INT AS i, {s6('prec')} AS prec, {s6('f')} AS f FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1)")
+def a8_levelwise_diag_fit(spark, sf_dir):
+    fit = posterior.levelwise_diag_fit(_coded_log(spark, sf_dir), LEVELS, ARMS, NBITS)
+    return fit.select("level", "code", "arm", F.posexplode(F.arrays_zip("prec", "f")).alias("i", "z")).select("level", "code", "arm", "i", r6("z.prec").alias("prec"), r6("z.f").alias("f"))
+
+
+@query(f"{_CODED_LOG} SELECT codes[1] AS code, arm, count(*) AS n, {s6('1 + sum(residuals[1][1] * residuals[1][1])')} AS a00, {s6('sum(residuals[1][1] * residuals[1][2])')} AS a01, {s6('1 + count(*)')}::DOUBLE AS a_last, {s6('sum((reward - 0.5) * residuals[1][1])')} AS f0 FROM log GROUP BY codes[1], arm")
+def a9_levelwise_linear_fit(spark, sf_dir):
+    fit = posterior.levelwise_linear_fit(_coded_log(spark, sf_dir), LEVELS, ARMS, NBITS).where("level = 0")
+    at = lambda c, i: r6(F.get(c, F.lit(i)))
+    return fit.select("code", "arm", "n", at("a", 0).alias("a00"), at("a", 1).alias("a01"), r6(F.element_at("a", -1)).alias("a_last"), at("f", 0).alias("f0"))
+
+
+# two features: the inverse has a closed form, so DuckDB can follow
+_SOLVED = f"WITH {ORD}, {log_sql(5)}, g AS (SELECT arm, 1 + sum(x[1] * x[1]) AS a, sum(x[1] * x[2]) AS b, 1 + sum(x[2] * x[2]) AS c, sum(reward * x[1]) AS f, sum(reward * x[2]) AS h, count(*) AS n FROM log GROUP BY arm), post AS MATERIALIZED (SELECT arm, n, c / (a * c - b * b) AS v0, -b / (a * c - b * b) AS v1, a / (a * c - b * b) AS v2, (c * f - b * h) / (a * c - b * b) AS m0, (a * h - b * f) / (a * c - b * b) AS m1 FROM g), sc AS MATERIALIZED (SELECT row_id, p.arm, m0 * x[1] + m1 * x[2] AS mean, v0 * x[1] * x[1] + 2 * v1 * x[1] * x[2] + v2 * x[2] * x[2] AS var FROM ctx, post p)"
+
+
+def _order_posterior(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    contexts = inputs.orders(spark, sf_dir)
+    return contexts, durable(posterior.linear_posterior(inputs.logged(contexts, 5)))
+
+
+@query(f"{_SOLVED} SELECT arm, n, {s6('m0')} AS m0, {s6('m1')} AS m1 FROM post")
+def a10_rebuild_from_log(spark, sf_dir):
+    contexts = inputs.orders(spark, sf_dir)
+    log = inputs.logged(contexts, 5).withColumn("x", F.array(F.lit(0.0)))
+    p = posterior.rebuild_from_log(log, contexts.select("row_id", "x"))
+    return p.select("arm", "n", r6(F.get("mean", F.lit(0))).alias("m0"), r6(F.get("mean", F.lit(1))).alias("m1"))
+
+
+# ------------------------------------------------------------------ scoring
+
+
+@query(f"{_SOLVED} SELECT row_id, arm, {s6('mean')} AS score FROM sc")
+def c1_score_mean_linear(spark, sf_dir):
+    return score.score_mean_linear(*_order_posterior(spark, sf_dir)).select("row_id", "arm", r6("score").alias("score"))
+
+
+@query(f"{_SOLVED} SELECT row_id, arm, {s6('mean + 0.1 * sqrt(greatest(var, 0)) * ' + noise.normal_sql('row_id', 'arm', 8))} AS score FROM sc")
+def c2_score_ts_linear(spark, sf_dir):
+    return score.score_ts_linear(*_order_posterior(spark, sf_dir), 0.1, 8).select("row_id", "arm", r6("score").alias("score"))
+
+
+@query()
+def c2_score_ts_linear_wide(spark, sf_dir):
+    """The same on 64 features with an intercept: 65 x 65 matrices, one an arm."""
+    e = inputs.embeddings(spark, sf_dir).withColumn("x", vectors.add_intercept(F.col("x")))
+    p = durable(posterior.linear_posterior(inputs.logged(e)))
+    return score.score_ts_linear(e, p, 0.1, 8).select("row_id", "arm", r6("score").alias("score"))
+
+
+_DIAG = f"WITH {ORD}, {log_sql(5)}, p AS MATERIALIZED (SELECT arm, 1 + sum(x[1] * x[1]) AS p0, 1 + sum(x[2] * x[2]) AS p1, sum(reward * x[1]) AS f0, sum(reward * x[2]) AS f1 FROM log GROUP BY arm), sc AS (SELECT row_id, p.arm, f0 / p0 * x[1] + f1 / p1 * x[2] AS mean, x[1] * x[1] / p0 + x[2] * x[2] / p1 AS var FROM ctx, p)"
+
+
+@query(f"{_DIAG} SELECT row_id, arm, {s6('mean')} AS mean, {s6('mean + 0.1 * sqrt(var) * ' + noise.normal_sql('row_id', 'arm', 8))} AS score FROM sc")
+def c3_score_diag(spark, sf_dir):
+    contexts = inputs.orders(spark, sf_dir)
+    p = durable(posterior.diag_posterior(inputs.logged(contexts, 5)))
+    return score.thompson(score.score_diag(contexts, p), 0.1, 8).select("row_id", "arm", r6("mean").alias("mean"), r6("score").alias("score"))
+
+
+@query()
+def c4_sample_nig_means(spark, sf_dir):
+    p = durable(posterior.nig_posterior(inputs.events(spark, sf_dir), 5))
+    return score.sample_nig_means(p, 2000, 3).groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("mean"), 2).alias("mean"))
+
+
+@query()
+def c5_select_ts_nig(spark, sf_dir):
+    p = durable(posterior.nig_posterior(inputs.events(spark, sf_dir), 5))
+    return score.select_ts_nig(p, 2000, 3)
+
+
+def _unseen(value: str, prior: str) -> str:
+    return f"CASE WHEN t.arm IS NULL THEN {prior} ELSE {value} END"
+
+
+@query(
+    f"{_CODED_LOG}, {_counters_sql()}, ar AS (SELECT unnest(range({ARMS}))::INT AS arm), rows AS (SELECT row_id, arm, unnest([0, 1]) AS level, unnest(codes) AS code FROM coded, ar), "
+    f"sc AS (SELECT row_id, r.arm, r.level, coalesce(theta, 0) AS mean, 1 / (coalesce(n, 0) + 1.0) AS var FROM rows r LEFT JOIN cnt t ON t.level = r.level AND t.code = r.code AND t.arm = r.arm) "
+    f"SELECT row_id, arm, {s6('sum(0.5 ** level * mean)')} AS mean, {s6('sum(0.5 ** level * (mean + 0.1 * sqrt(var) * ' + noise.normal_sql('row_id', 'arm', 'level', 2) + '))')} AS score FROM sc GROUP BY row_id, arm"
+)
+def c6_score_counter_rq(spark, sf_dir):
+    log = _coded_log(spark, sf_dir)
+    fit = posterior.levelwise_counter_fit(log, LEVELS, ARMS, NBITS)
+    return score.score_counter_rq(log, fit, LEVELS, ARMS, nu=0.1, seed=2).select("row_id", "arm", r6("mean").alias("mean"), r6("score").alias("score"))
+
+
+@query(
+    f"{_CODED_LOG}, {_diag_sql()}, ar AS (SELECT unnest(range({ARMS}))::INT AS arm), rows AS (SELECT row_id, arm, level, codes[level + 1] AS code, unnest(list_append(residuals[level + 1], 1.0)) AS v, generate_subscripts(list_append(residuals[level + 1], 1.0), 1) - 1 AS i FROM coded, ar, (SELECT unnest([0, 1]) AS level)) "
+    f"SELECT row_id, r.arm AS arm, {s6('sum(0.5 ** r.level * coalesce(f / prec, 0) * v)')} AS mean FROM rows r LEFT JOIN (SELECT * FROM d0 UNION ALL SELECT * FROM d1) t ON t.level = r.level AND t.code = r.code AND t.arm = r.arm AND t.i = r.i GROUP BY row_id, r.arm"
+)
+def c7_score_diag_rq(spark, sf_dir):
+    log = _coded_log(spark, sf_dir)
+    fit = posterior.levelwise_diag_fit(log, LEVELS, ARMS, NBITS)
+    return score.score_diag_rq(log, fit, LEVELS, ARMS).select("row_id", "arm", r6("mean").alias("mean"))
+
+
+@query()
+def c8_score_linear_rq(spark, sf_dir):
+    log = _coded_log(spark, sf_dir)
+    fit = posterior.levelwise_linear_fit(log, LEVELS, ARMS, NBITS)
+    return score.score_linear_rq(log, fit, LEVELS, ARMS, nu=0.1, seed=2).select("row_id", "arm", r6("mean").alias("mean"), r6("score").alias("score"))
+
+
+@query(f"{_SOLVED} SELECT row_id, arm, {s6('mean + 1.0 * sqrt(greatest(var, 0))')} AS score FROM sc")
+def c9_score_linucb(spark, sf_dir):
+    return score.score_linucb(*_order_posterior(spark, sf_dir)).select("row_id", "arm", r6("score").alias("score"))
+
+
+@query(f"{_SOLVED} SELECT row_id, arm, {s6('arm / 10.0 + 2.0 * sqrt(greatest(var, 0))')} AS score FROM sc")
+def c10_score_ucb_on_prediction(spark, sf_dir):
+    contexts, p = _order_posterior(spark, sf_dir)
+    predictions = prepare.expand_arms(contexts.select("row_id", F.col("x").alias("g")), 5).withColumn("pred", F.col("arm") / 10.0)
+    return score.score_ucb_on_prediction(predictions, p, 2.0).select("row_id", "arm", r6("score").alias("score"))
+
+
+_BEST = "best AS (SELECT row_id, (-(max(struct_pack(s := mean, a := -arm)).a))::INT AS arm FROM sc GROUP BY row_id)"
+
+
+def _eps_sql(share: str, source: str) -> str:
+    return f"SELECT row_id, CASE WHEN {noise.uniform_sql('row_id', 12, 4)} < {share} THEN floor({noise.uniform_sql('row_id', 12, 5)} * 5)::INT ELSE arm END AS arm FROM {source}"
+
+
+@query(f"{_SOLVED}, {_BEST} {_eps_sql('0.05', 'best')}")
+def c11_select_eps_greedy(spark, sf_dir):
+    best = score.choose(score.score_mean_linear(*_order_posterior(spark, sf_dir)))
+    return score.select_eps_greedy(best, 5, 12, 0.05)
+
+
+@query(f"{_SOLVED}, {_BEST}, u AS (SELECT row_id, {noise.uniform_sql('row_id', 4)} AS u FROM ctx), rd AS (SELECT row_id, row_number() OVER (ORDER BY u, row_id) AS round FROM u), b AS (SELECT * FROM best JOIN rd USING (row_id)) {_eps_sql('0.1 / ln(round + 1.0)', 'b')}")
+def c12_select_eps_decay(spark, sf_dir):
+    contexts, p = _order_posterior(spark, sf_dir)
+    best = score.choose(score.score_mean_linear(contexts, p)).join(prepare.shuffle_rounds(contexts, 4).select("row_id", "round"), "row_id")
+    return score.select_eps_greedy(best, 5, 12, score.decaying_eps()).select("row_id", "arm")
+
+
+@query(f"WITH {ORD} SELECT row_id, floor({noise.uniform_sql('row_id', 9, 5)} * 5)::INT AS arm FROM ctx")
+def c13_select_uniform(spark, sf_dir):
+    return score.select_uniform(inputs.orders(spark, sf_dir), 5, 9).select("row_id", "arm")
+
+
+# ------------------------------------------------------------ reward models
+
+
+@query()
+def m1_fit_reward_gbt(spark, sf_dir):
+    """The summed importance of the fitted trees' features."""
+    log = durable(inputs.logged(inputs.orders(spark, sf_dir), 5))
+    model = models.fit_reward_gbt(log, 5, trees=10)
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(model.featureImportances.toArray())], "feature int, importance double")
+
+
+@query()
+def m2_predict_reward(spark, sf_dir):
+    contexts = durable(inputs.logged(inputs.orders(spark, sf_dir), 5))
+    model = models.fit_reward_gbt(contexts, 5, trees=10)
+    return score.choose(models.predict_reward(model, contexts.select("row_id", "x"), 5))
+
+
+@query()
+def m3_refit_every(spark, sf_dir):
+    log = durable(prepare.shuffle_rounds(inputs.logged(inputs.orders(spark, sf_dir), 5), 4))
+    every = max(1, log.count() // 3)
+    return models.refit_every(log, log, 5, every, trees=5).select("row_id", "round", "arm")
+
+
+@query(f"WITH {ORD}, u AS (SELECT row_id, {noise.uniform_sql('row_id', 4)} AS u FROM ctx), rd AS (SELECT row_number() OVER (ORDER BY u, row_id) AS round FROM u) SELECT (length(bin((round - 1) // 500 + 1)) - 1)::INT AS phase, min(round) AS first, max(round) AS last FROM rd GROUP BY 1")
+def m4_doubling_schedule(spark, sf_dir):
+    rounds = prepare.shuffle_rounds(inputs.orders(spark, sf_dir), 4)
+    return rounds.groupBy(models.doubling_phase("round", 500).alias("phase")).agg(F.min("round").alias("first"), F.max("round").alias("last"))
+
+
+_RIDGE = f"WITH {ORD}, ar AS (SELECT unnest(range(5))::INT AS arm), m AS (SELECT avg(x[1]) AS m0, avg(x[2]) AS m1 FROM ctx), g AS (SELECT 1 + sum((x[1] - m0) ** 2) AS a, sum((x[1] - m0) * (x[2] - m1)) AS b, 1 + sum((x[2] - m1) ** 2) AS c FROM ctx, m), h AS (SELECT arm, avg((label = arm)::INT) AS y, sum((x[1] - m0) * (label = arm)::INT) AS f, sum((x[2] - m1) * (label = arm)::INT) AS h FROM ctx, m, ar GROUP BY arm), w AS MATERIALIZED (SELECT arm, (c * f - b * h) / (a * c - b * b) AS w0, (a * h - b * f) / (a * c - b * b) AS w1, y - ((c * f - b * h) * m0 + (a * h - b * f) * m1) / (a * c - b * b) AS b0 FROM h, g, m)"
+
+
+@query(f"{_RIDGE} SELECT arm, {s6('w0')} AS w0, {s6('w1')} AS w1, {s6('b0')} AS intercept FROM w")
+def m5_fit_ridge(spark, sf_dir):
+    w, b = models.fit_ridge_multi(inputs.orders(spark, sf_dir), 5)
+    return spark.createDataFrame([(a, *(float(v) for v in w[a]), float(b[a])) for a in range(5)], "arm int, w0 double, w1 double, intercept double").select("arm", r6("w0").alias("w0"), r6("w1").alias("w1"), r6("intercept").alias("intercept"))
+
+
+@query(f"WITH {EMB}, {book_sql()} SELECT codes[1] AS code, {s6('count(*) FILTER (label = 3) / count(*)')} AS theta3, {s6('count(*) FILTER (label = 7) / count(*)')} AS theta7 FROM coded GROUP BY codes[1]")
+def m6_fit_additive_ols(spark, sf_dir):
+    """One level, where least squares on indicators are the class shares of each code."""
+    coded = durable(inputs.encoded(durable(inputs.embeddings(spark, sf_dir)), False))
+    theta = models.theta_table(spark, models.fit_additive_ols(coded, ARMS, 1, NBITS))
+    return theta.select("code", r6(F.get("theta", F.lit(3))).alias("theta3"), r6(F.get("theta", F.lit(7))).alias("theta7"))
+
+
+@query(f"WITH {EMB}, {book_sql()}, {_boosted_sql(LEVELS, NBITS)} SELECT level, code, arm, {s6('mean')} AS mean, {s6('smoothed')} AS smoothed FROM (SELECT 0 AS level, * FROM m0 UNION ALL SELECT 1, * FROM m1)")
+def m7_fit_boosted_centroids(spark, sf_dir):
+    coded = durable(inputs.encoded(durable(inputs.embeddings(spark, sf_dir)), False))
+    fit = models.fit_boosted_centroids(coded, ARMS, LEVELS, NBITS)
+    return fit.select("level", "code", F.posexplode(F.arrays_zip("mean", "smoothed")).alias("arm", "z")).select("level", "code", "arm", r6("z.mean").alias("mean"), r6("z.smoothed").alias("smoothed"))
+
+
+# -------------------------------------------------------------- diagnostics
+
+
+@query(f"WITH {EMB}, {book_sql()}, ar AS (SELECT unnest(range({ARMS}))::INT AS arm), th AS (SELECT codes[1] AS code, arm, avg((label = arm)::INT) AS t FROM coded, ar GROUP BY 1, 2), e AS (SELECT row_id, max(abs((label = arm)::INT - t)) AS e FROM coded JOIN th ON th.code = codes[1] GROUP BY row_id) SELECT 1 AS depth, {s6('avg(e)')} AS delta, count(*) AS n FROM e")
+def d1_delta_additive(spark, sf_dir):
+    coded = durable(inputs.encoded(durable(inputs.embeddings(spark, sf_dir)), False))
+    theta = models.theta_table(spark, models.fit_additive_ols(coded, ARMS, 1, NBITS))
+    return diagnose.delta_additive(coded, theta, 1, ARMS).select("depth", r6("delta").alias("delta"), "n")
+
+
+@query()
+def d2_delta_sweep(spark, sf_dir):
+    sweep = diagnose.delta_additive_sweep(durable(inputs.embeddings(spark, sf_dir)), (1, 2), (0, 1), 200, ARMS, NBITS, ITERATIONS)
+    return diagnose.summarize_sweep(sweep).select("depth", r6("delta").alias("delta"), r6("twice").alias("twice"), r6("sd").alias("sd"))
+
+
+@query(
+    f"WITH {EMB}, {book_sql()}, {_boosted_sql(LEVELS, NBITS)}, q AS (SELECT row_id, label, t.arm, a.smoothed + 0.5 * b.smoothed AS p FROM p0 t JOIN m0 a ON a.code = codes[1] AND a.arm = t.arm JOIN m1 b ON b.code = codes[2] AND b.arm = t.arm) "
+    f"SELECT 2 AS depth, (SELECT {s6('avg(abs((label = arm)::INT - least(greatest(p, 0), 1)))')} FROM p2) AS mae, (SELECT {s6('avg(abs((label = arm)::INT - least(greatest(p, 0), 1)))')} FROM q) AS mae_smoothed"
+)
+def d3_delta_boosted(spark, sf_dir):
+    coded = durable(inputs.encoded(durable(inputs.embeddings(spark, sf_dir)), False))
+    fit = durable(models.fit_boosted_centroids(coded, ARMS, LEVELS, NBITS))
+    return diagnose.delta_boosted(coded, fit, LEVELS, ARMS).select("depth", r6("mae").alias("mae"), r6("mae_smoothed").alias("mae_smoothed"))
+
+
+@query(f"{_RIDGE}, p AS (SELECT row_id, label, arm, least(greatest(w0 * x[1] + w1 * x[2] + b0, 0), 1) AS p FROM ctx, w), s AS (SELECT row_id, label, arm, p / greatest(sum(p) OVER (PARTITION BY row_id), 1e-10) AS p FROM p) SELECT {s6('avg(abs((label = arm)::INT - p))')} AS mae FROM s")
+def d4_delta_linear(spark, sf_dir):
+    contexts = inputs.orders(spark, sf_dir)
+    return diagnose.delta_linear(contexts, *models.fit_ridge_multi(contexts, 5)).select(r6("mae").alias("mae"))
+
+
+@query()
+def d5_delta_report(spark, sf_dir):
+    return diagnose.delta_report("embeddings", durable(inputs.embeddings(spark, sf_dir)), (1, 2), ARMS, NBITS, ITERATIONS)
+
+
+@query(f"WITH {ORD}, c AS (SELECT label, count(*) AS c FROM ctx GROUP BY label) SELECT 'orders' AS dataset, 2 AS d, count(label) AS a, sum(c)::BIGINT AS n, 4 * count(label) AS d2a, round(max(c) / sum(c), 4) AS p_max FROM c")
+def d6_dataset_stats(spark, sf_dir):
+    return diagnose.dataset_stats(inputs.orders(spark, sf_dir), "orders")
+
+
+@query(f"WITH {LIN}, c AS (SELECT label, count(*) AS c FROM ctx GROUP BY label) SELECT (-(max(struct_pack(c := c, l := -label)).l))::INT AS arm, {s6('max(c) / sum(c)')} AS share FROM c")
+def d7_best_fixed_arm(spark, sf_dir):
+    return diagnose.best_fixed_arm(inputs.lineitem(spark, sf_dir)).select("arm", r6("share").alias("share"))
+
+
+@query(f"WITH {EMB}, o AS (SELECT label, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM ctx), g AS (SELECT i, avg(v) AS m FROM o GROUP BY i), k AS (SELECT label, i, avg(v) AS m, count(*) AS n FROM o GROUP BY 1, 2) SELECT {s6('sqrt((SELECT sum(n * (k.m - g.m) ** 2) FROM k JOIN g USING (i)) / (SELECT sum((v - m) ** 2) FROM o JOIN g USING (i)))')} AS rho")
+def d8_correlation_ratio(spark, sf_dir):
+    return diagnose.correlation_ratio(inputs.embeddings(spark, sf_dir)).select(r6("rho").alias("rho"))
+
+
+@query("SELECT d, k, round((SELECT count(*) FROM orders) / (16.0 * k * d * d), 6) AS ratio FROM (SELECT unnest([4, 8, 16]) AS d), (SELECT unnest([2, 5]) AS k)")
+def d9_sufficiency_ratio(spark, sf_dir):
+    n = inputs.table(spark, sf_dir, "orders").count()
+    return decisions.sweep_grid(spark, d=[4, 8, 16], k=[2, 5]).select("d", "k", F.round(diagnose.sufficiency_ratio(F.lit(n), 16, F.col("k"), F.col("d")), 6).alias("ratio"))
+
+
+_ERRORS = f"{_CODED_LOG}, {_counters_sql()}, er AS MATERIALIZED (SELECT l.row_id, (l.reward - least(greatest(a.theta + 0.5, 0), 1)) ** 2 AS sq_err_active, (l.reward - least(greatest(a.theta + 0.5 * b.theta + 0.5, 0), 1)) ** 2 AS sq_err_shadow FROM log l JOIN t0 a ON a.code = l.codes[1] AND a.arm = l.arm JOIN t1 b ON b.code = l.codes[2] AND b.arm = l.arm)"
+
+
+def _errors(spark, sf_dir) -> DataFrame:
+    log = _coded_log(spark, sf_dir)
+    fit = durable(posterior.levelwise_counter_fit(log, LEVELS, ARMS, NBITS))
+    return diagnose.squared_errors(score.score_counter_rq(log, fit, 1, ARMS), score.score_counter_rq(log, fit, 2, ARMS), log)
+
+
+@query(f"{_ERRORS} SELECT row_id, {s6('sq_err_active')} AS sq_err_active, {s6('sq_err_shadow')} AS sq_err_shadow FROM er")
+def d10_squared_errors(spark, sf_dir):
+    return _errors(spark, sf_dir).select("row_id", r6("sq_err_active").alias("sq_err_active"), r6("sq_err_shadow").alias("sq_err_shadow"))
+
+
+# errors of two constant predictions of the events' rewards, by user
+_EVENT_ERRORS = f"WITH {EVT}, er AS MATERIALIZED (SELECT user_id % 7 AS run_id, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, row_id) AS round, (reward - 0.5) ** 2 AS sq_err_active, (reward - 0.6) ** 2 AS sq_err_shadow FROM evt), mo AS MATERIALIZED (SELECT run_id, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd, sum(d) AS total, var_pop(d) * count(*) AS spread, max(abs(d)) AS top FROM (SELECT run_id, sq_err_active - sq_err_shadow AS d FROM er) GROUP BY run_id)"
+
+
+def _event_errors(spark, sf_dir) -> DataFrame:
+    e = inputs.events(spark, sf_dir).withColumn("run_id", F.col("user_id") % 7)
+    return e.withColumn("round", F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "row_id")).cast("bigint")).select("run_id", "round", F.pow(F.col("reward") - 0.5, F.lit(2.0)).alias("sq_err_active"), F.pow(F.col("reward") - 0.6, F.lit(2.0)).alias("sq_err_shadow"))
+
+
+@query(f"{_EVENT_ERRORS} SELECT run_id, n, round(mean / (sd / sqrt(n)), 4) AS t FROM mo")
+def d11_paired_t(spark, sf_dir):
+    return diagnose.paired_t_promotion(diagnose.window_moments(_event_errors(spark, sf_dir), ["run_id"]), 0.05).select("run_id", "n", F.round("t", 4).alias("t"))
+
+
+@query(f"{_EVENT_ERRORS} SELECT run_id, round(CASE WHEN total > 0 THEN -total ** 2 / (2 * spread + 2 * top * total / 3) END, 4) AS log_p, coalesce(total > 0 AND -total ** 2 / (2 * spread + 2 * top * total / 3) < ln(0.05), false) AS promote FROM mo")
+def d12_freedman(spark, sf_dir):
+    m = diagnose.freedman_promotion(diagnose.window_moments(_event_errors(spark, sf_dir), ["run_id"]), 0.05)
+    return m.select("run_id", F.round("log_p", 4).alias("log_p"), F.col("promote_freedman").alias("promote"))
+
+
+@query("SELECT k::INT AS k, (1600 * 2 ** k)::BIGINT AS t, round(0.05 / 12, 9) AS alpha, (SELECT count(*) FROM events) >= 1600 * 2 ** k AS reached FROM (SELECT unnest(range(12)) AS k)")
+def d13_check_schedule(spark, sf_dir):
+    n = inputs.table(spark, sf_dir, "events").count()
+    return diagnose.check_schedule(spark, 50, 16, 2, 4).select("k", "t", F.round("alpha", 9).alias("alpha"), (F.lit(n) >= F.col("t")).alias("reached"))
+
+
+@query()
+def d14_promotion_log(spark, sf_dir):
+    return diagnose.promotion_log(_event_errors(spark, sf_dir), diagnose.check_schedule(spark, 5, 4, 2, 4), 40, "freedman")
+
+
+# ------------------------------------------------------- decision analytics
+
+
+@query(f"WITH {EMB}, {log_sql()} SELECT row_id, arm FROM (SELECT row_id, unnest(range({ARMS}))::INT AS arm, label FROM ctx) WHERE arm = label")
+def t1_argmax_arm(spark, sf_dir):
+    """Indicator scores with a NaN in place of the worst: the label wins."""
+    long = prepare.expand_arms(inputs.embeddings(spark, sf_dir), ARMS)
+    s = F.when(F.col("arm") == (F.col("label") + 1) % ARMS, F.lit(float("nan"))).otherwise((F.col("arm") == F.col("label")).cast("double"))
+    return score.choose(long.withColumn("score", s)).select("row_id", "arm")
+
+
+_RUNS = f"WITH {EVT}, lg AS MATERIALIZED (SELECT 'm' || (user_id % 3) AS method, user_id % 2 AS seed, row_number() OVER (PARTITION BY user_id % 3, user_id % 2 ORDER BY ts, row_id) AS round, reward FROM evt)"
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    e = inputs.events(spark, sf_dir).select(F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("method"), (F.col("user_id") % 2).alias("seed"), "ts", "row_id", "reward")
+    return e.withColumn("round", F.row_number().over(Window.partitionBy("method", "seed").orderBy("ts", "row_id")).cast("bigint"))
+
+
+@query(f"{_RUNS}, s AS (SELECT method, seed, (round - 1) // 100 AS b, sum(1 - reward) AS r, max(round) AS round FROM lg GROUP BY 1, 2, 3) SELECT method, seed, round, {s6('sum(r) OVER (PARTITION BY method, seed ORDER BY b)')} AS regret FROM s")
+def t2_regret_curve(spark, sf_dir):
+    return decisions.regret_curve(_runs(spark, sf_dir), 100).select("method", "seed", "round", r6("regret").alias("regret"))
+
+
+_FINAL = f"{_RUNS}, fin AS MATERIALIZED (SELECT method, seed, sum(1 - reward) AS final_regret, avg(1 - reward) AS regret_rate, count(*) AS rounds FROM lg GROUP BY 1, 2)"
+
+
+@query(f"{_FINAL} SELECT method, seed, {s6('final_regret')} AS final_regret, {s6('regret_rate')} AS regret_rate, rounds FROM fin")
+def t3_final_regret(spark, sf_dir):
+    return decisions.final_regret(_runs(spark, sf_dir)).select("method", "seed", r6("final_regret").alias("final_regret"), r6("regret_rate").alias("regret_rate"), "rounds")
+
+
+@query(f"{_FINAL} SELECT method, {s6('avg(final_regret)')} AS mean, {s6('stddev_pop(final_regret)')} AS sd, count(*) AS runs FROM fin GROUP BY method")
+def t4_method_summary(spark, sf_dir):
+    return decisions.method_summary(decisions.final_regret(_runs(spark, sf_dir))).select("method", r6("mean").alias("mean"), r6("sd").alias("sd"), "runs")
+
+
+@query(f"{_FINAL}, su AS (SELECT method, avg(final_regret) AS mean FROM fin GROUP BY method), b AS (SELECT mean AS b FROM su WHERE method = 'm0') SELECT method, {s6('mean')} AS mean, CASE WHEN method <> 'm0' THEN {s6('(mean - b) / b * 100')} END AS relative FROM su, b")
+def t5_relative_to_baseline(spark, sf_dir):
+    s = decisions.method_summary(decisions.final_regret(_runs(spark, sf_dir)))
+    return decisions.relative_to_baseline(s, "m0").select("method", r6("mean").alias("mean"), r6("relative").alias("relative"))
+
+
+@query(f"{_FINAL} SELECT method, seed, {s6('final_regret')} AS final_regret FROM fin ORDER BY 1, 2")
+def t6_ordered_results(spark, sf_dir):
+    return decisions.ordered_results(decisions.final_regret(_runs(spark, sf_dir)).select("method", "seed", r6("final_regret").alias("final_regret")), "method", "seed")
+
+
+@query("SELECT event_id AS row_id, c_name AS name FROM events LEFT JOIN customer ON c_custkey = user_id")
+def t7_keyed_gather(spark, sf_dir):
+    look = inputs.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return decisions.keyed_gather(inputs.table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), "user_id"), look, ["user_id"]).select("row_id", "name")
+
+
+@query(f"{_EVENT_ERRORS} SELECT run_id, round(mean / (sd / sqrt(n)), 4) AS t, round(CASE WHEN total > 0 THEN -total ** 2 / (2 * spread + 2 * top * total / 3) END, 4) AS log_p FROM mo")
+def t8_compare_promotion_tests(spark, sf_dir):
+    return diagnose.compare_promotion_tests(_event_errors(spark, sf_dir), ["run_id"], 0.05).select("run_id", F.round("t", 4).alias("t"), F.round("log_p", 4).alias("log_p"))
+
+
+@query(f"WITH {EVT} SELECT user_id % 7 AS run_id, '1->2 at ' || min(row_id) || ', 2->3 at ' || (max(row_id) + 1) AS report FROM evt GROUP BY 1")
+def t9_promotion_report(spark, sf_dir):
+    runs = inputs.events(spark, sf_dir).groupBy((F.col("user_id") % 7).alias("run_id")).agg(F.min("row_id").alias("a"), (F.max("row_id") + 1).alias("b"))
+    steps = F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("old_depth"), F.lit(2).alias("new_depth")), F.struct(F.col("b").alias("t"), F.lit(2).alias("old_depth"), F.lit(3).alias("new_depth")))
+    return decisions.promotion_report(runs.select("run_id", F.explode(steps).alias("s")).select("run_id", "s.*"))
+
+
+@query("SELECT d, k, label, n FROM (SELECT unnest([8, 16]) AS d), (SELECT unnest([1, 2, 3]) AS k), (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
+def t10_sweep_grid(spark, sf_dir):
+    grid = F.array(*[F.struct(F.lit(r["d"]).alias("d"), F.lit(r["k"]).alias("k")) for r in decisions.sweep_grid(spark, d=[8, 16], k=[1, 2, 3]).collect()])
+    counts = inputs.embeddings(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    return counts.withColumn("g", F.explode(grid)).select("g.d", "g.k", "label", "n")
+
+
+# ---------------------------------------------------------------- streaming
+
+
+def _event_stream(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
+    """The events, split into files by a keyed hash, as a stream of one file a batch."""
+    path = _scratch(spark, "stream")
+    e = inputs.events(spark, sf_dir).withColumn("batch", F.floor(noise.uniform("row_id", 1) * batches).cast("int"))
+    for b in range(batches):
+        e.where(F.col("batch") == b).select("row_id", "arm", "reward").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("row_id long, arm int, reward double").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query()
+def r1_decide_stream(spark, sf_dir):
+    e = durable(inputs.embeddings(spark, sf_dir))
+    book = inputs.codebook(e)
+    folder = _scratch(spark, "r1")
+    micro.write_version(posterior.levelwise_counter_fit(durable(inputs.logged(quantize.encode(e, book))), LEVELS, ARMS, NBITS), f"{folder}/counters", 0)
+    e.write.parquet(f"{folder}/contexts")
+    stream = spark.readStream.schema(e.schema).parquet(f"{folder}/contexts")
+    micro.decide_stream(stream, book, f"{folder}/counters", f"{folder}/out", LEVELS, ARMS, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("row_id", "arm")
+
+
+@query(_nig_sql("evt", 5))
+def r2_learn_stream(spark, sf_dir):
+    folder = _scratch(spark, "r2")
+    fold = lambda table, batch: posterior.nig_posterior(batch, 5) if table is None else posterior.nig_merge(table, batch)
+    micro.learn_stream(_event_stream(spark, sf_dir), f"{folder}/nig", f"{folder}/checkpoint", fold).awaitTermination()
+    return _nig_out(micro.read_version(spark, f"{folder}/nig"))
+
+
+@query()
+def r3_promote_stream(spark, sf_dir):
+    e = durable(inputs.embeddings(spark, sf_dir))
+    book = inputs.codebook(e)
+    folder = _scratch(spark, "r3")
+    log = durable(prepare.shuffle_rounds(inputs.logged(e), 2).select("row_id", "round", "x", "arm", "reward"))
+    n = log.count()
+    for b in range(3):
+        log.where((F.col("round") > b * n // 3) & (F.col("round") <= (b + 1) * n // 3)).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    micro.promote_stream(stream, book, folder, f"{folder}/checkpoint", [(n // 2, 0.05), (n, 0.05)], n // 4, LEVELS, ARMS).awaitTermination()
+    return spark.read.schema("round long, sq_err_active double, sq_err_shadow double, batch_id long").parquet(f"{folder}/errors").groupBy("batch_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EVT} SELECT arm, count(*) AS n, {s6('sum(reward)')} AS s, {s6('sum(reward * reward)')} AS ss FROM evt GROUP BY arm")
+def r4_running_counters(spark, sf_dir):
+    name = f"arbora_r4_{uuid4().hex}"
+    running = micro.running_counters(_event_stream(spark, sf_dir))
+    running.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("arm", "n", r6("s").alias("s"), r6("ss").alias("ss"))
+
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
