@@ -87,7 +87,7 @@ def _sums(df: DataFrame, x_col: str, codebook: Codebook) -> tuple[np.ndarray, np
                 np.add.at(total, code, r)
                 n += np.bincount(code, minlength=b)
         seen = np.flatnonzero(n)
-        yield pd.DataFrame({"code": seen.astype("int32"), "n": n[seen], "s": list(total[seen])})
+        yield pd.DataFrame({"code": seen.astype("int32"), "n": n[seen], "s": pd.Series(total[seen].tolist(), dtype=object)})
 
     parts = df.select(doubles(x_col).alias("x")).mapInPandas(add, "code int, n long, s array<double>")
     each = parts.select("code", "n", F.posexplode("s").alias("i", "v")).groupBy("code", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
@@ -101,17 +101,22 @@ def _sums(df: DataFrame, x_col: str, codebook: Codebook) -> tuple[np.ndarray, np
 def encode(df: DataFrame, codebook: Codebook, x_col: str = "x", residuals: bool = False) -> DataFrame:
     """`df` with `codes`, and with `residuals` (the vector before every level) if asked: one matrix
     product a level and batch, no shuffle. The codebook goes along with the function."""
-    kind = "struct<codes:array<int>,residuals:array<array<double>>>"
+    if not residuals:
 
-    @F.pandas_udf(kind)
+        @F.pandas_udf("array<int>")
+        def look(x: pd.Series) -> pd.Series:
+            return pd.Series(np.stack(_walk(_stack(x), codebook)[0], axis=1).tolist() if len(x) else [], dtype=object)
+
+        return df.withColumn("codes", look(doubles(x_col)))
+
+    @F.pandas_udf("struct<codes:array<int>,residuals:array<array<double>>>")
     def walk(x: pd.Series) -> pd.DataFrame:
         if not len(x):
             return pd.DataFrame({"codes": [], "residuals": []})
         codes, left = _walk(_stack(x), codebook)
-        return pd.DataFrame({"codes": list(np.stack(codes, axis=1).astype("int32")), "residuals": list(np.stack(left[:-1], axis=1).tolist()) if residuals else [None] * len(x)})
+        return pd.DataFrame({"codes": np.stack(codes, axis=1).tolist(), "residuals": np.stack(left[:-1], axis=1).tolist()})
 
-    out = df.withColumn("_rq", walk(doubles(x_col))).withColumn("codes", F.col("_rq.codes"))
-    return (out.withColumn("residuals", F.col("_rq.residuals")) if residuals else out).drop("_rq")
+    return df.withColumn("_rq", walk(doubles(x_col))).withColumns({"codes": F.col("_rq.codes"), "residuals": F.col("_rq.residuals")}).drop("_rq")
 
 
 def residual_features(df: DataFrame, table: DataFrame, id_col: str = "row_id", x_col: str = "x") -> DataFrame:

@@ -30,10 +30,12 @@ def _quadratic(cov: Column, x: Column) -> Column:
 
 def score_linear(contexts: DataFrame, posterior: DataFrame, x_col: str = "x") -> DataFrame:
     """`contexts` once for each arm of the posterior, with `mean` = x . mean and `var` = x' cov x.
+    Columns of these names that the contexts had, such as a logged arm, are replaced.
 
     The matrices are measured first. Up to SEND_BYTES they go to the tasks, which score a batch by one
     product an arm; beyond that contexts are joined to them arm by arm.
     """
+    contexts = contexts.drop("arm", "mean", "var")
     size = posterior.agg(F.coalesce(F.sum(F.size("cov")), F.lit(0))).first()[0]
     if 8 * size > SEND_BYTES:
         long = contexts.withColumn("arm", F.explode(F.array(*[F.lit(r[0]) for r in posterior.select("arm").collect()])))
@@ -93,7 +95,7 @@ def score_diag(contexts: DataFrame, posterior: DataFrame, x_col: str = "x") -> D
     The posterior is one row an arm; Spark broadcasts it by its size or joins otherwise.
     """
     arms = sorted(r[0] for r in posterior.select("arm").collect())
-    x = doubles(x_col)
+    x, contexts = doubles(x_col), contexts.drop("arm", "mean", "var")
     long = contexts.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms]))) if arms else contexts.withColumn("arm", F.lit(None).cast("int")).limit(0)
     mean = dot(F.zip_with("_f", "_p", lambda f, p: f / p), x)
     var = dot(F.zip_with(x, "_p", lambda v, p: v / p), x)

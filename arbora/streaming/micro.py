@@ -46,7 +46,7 @@ def decide_batch(contexts: DataFrame, codebook: quantize.Codebook, table: DataFr
     if table is None:
         table = contexts.sparkSession.createDataFrame([], "level int, code int, arm int, n long, f double, theta double")
     picked = score.choose(score.score_counter_rq(coded, table, depth, n_arms, eta, nu, lam, seed))
-    return coded.join(picked, "row_id").select("row_id", "codes", "arm")
+    return coded.select("row_id", "codes").join(picked, "row_id").select("row_id", "codes", "arm")
 
 
 def decide_stream(contexts: DataFrame, codebook: quantize.Codebook, table_folder: str, out: str, depth: int, n_arms: int, checkpoint: str, **settings) -> StreamingQuery:
