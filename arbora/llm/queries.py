@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, quality_classifier, quality_rules, sharding, simhash, substring, token_output
+from . import chat_format, decontaminate, language_id, mixing, oracle, quality_classifier, quality_rules, sharding, simhash, substring, token_output
 from .common import crc_mod, table
 
 
@@ -90,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_decontaminate": oracle.OP2, "op5_quality_rules": oracle.OP5, "op7_substring": oracle.OP7}
