@@ -41,6 +41,8 @@ from .quality_classifier import groups_of_bytes
 GRAM = 6
 #: Suffix runs of one anchor that a task holds at once, at most.
 GROUP_ROWS = 20_000
+#: Parts that the places of one very frequent window are dealt over.
+SALTS = 64
 
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
@@ -247,7 +249,10 @@ def marks(texts: DataFrame, window: int) -> DataFrame:
     if hot.limit(1).count():
         leaves = durable(_suffix_rows(live(hot), window, True).select("words", F.struct("k1", "k2", "first").alias("place")))
         deep = leaves.groupBy("words").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("words")
-        found = found.union(leaves.join(deep, "words").select("place.k1", "place.k2", F.col("place.first").alias("start"), (F.col("place.first") + window).alias("stop")))
+        # most leaves of a hot anchor may be of one window: deal each window's leaves over SALTS parts
+        salt = F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int")
+        spread = deep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = found.union(leaves.withColumn("salt", salt).join(spread, ["words", "salt"]).select("place.k1", "place.k2", F.col("place.first").alias("start"), (F.col("place.first") + window).alias("stop")))
     return found.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
