@@ -23,12 +23,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import IntegerType
 
 from .common import free_name, prepare
 
 #: numpy's hypergeometric sampler takes populations below this.
 _NUMPY_LIMIT = 10**9
+#: Up to so many cells, each is a partition of its own.
+MAX_PARTITIONS = 1 << 17
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -100,7 +102,7 @@ def cell_sizes(total: int, shards: int, cell_rows: int) -> tuple[np.ndarray, np.
     return rows, np.repeat(np.arange(shards), per), first
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, cell_rows: int = 50_000, shard_col: str = "shard", slot_col: str = "slot", key: list[Column] | None = None) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, cell_rows: int = 10_000, shard_col: str = "shard", slot_col: str = "slot", key: list[Column] | None = None) -> DataFrame:
     """`docs` with a shard (0 .. shards - 1) and a slot that is gapless from 0 within the shard.
 
     Shard sizes are at most one row apart. `key` is what local permutations hash (default: every
@@ -125,7 +127,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, cell_
         ends, at = None, 0
         for p in batches:
             if not len(p):
-                yield pd.Series([], dtype="int64")
+                yield pd.Series([], dtype="int32")
                 continue
             if ends is None:
                 me = int(p.iloc[0])
@@ -133,13 +135,13 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, cell_
                 ends = np.cumsum(matrix_row(sizes, rows, me, seed))
             if at + len(p) > ends[-1]:
                 raise RuntimeError(f"partition {me} has more rows than were counted; checkpoint the input first")
-            yield pd.Series(np.searchsorted(ends, np.arange(at, at + len(p)), side="right"))
+            yield pd.Series(np.searchsorted(ends, np.arange(at, at + len(p)), side="right").astype("int32"))
             at += len(p)
         if ends is not None and at != ends[-1]:
             raise RuntimeError(f"partition {me} has {at} rows, {ends[-1]} were counted; checkpoint the input first")
 
-    dealt = dealt.withColumn(cell, F.pandas_udf(deal, LongType())(F.col(part)))
-    exchanged = dealt.repartition(min(cells, 1 << 14), cell)
+    dealt = dealt.withColumn(cell, F.pandas_udf(deal, IntegerType())(F.col(part)))
+    exchanged = dealt.repartitionById(max(cells, 1), F.col(cell)) if cells <= MAX_PARTITIONS else dealt.repartition(MAX_PARTITIONS, cell)
     ranked = exchanged.withColumn(rank, F.row_number().over(Window.partitionBy(cell).orderBy(F.xxhash64(F.lit(seed + 1), b), a, b)).cast("bigint") - 1)
     per = cells // shards
     big = int(total // shards)  # shard and slot of a cell by arithmetic, as in cell_sizes
