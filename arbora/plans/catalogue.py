@@ -18,6 +18,7 @@ from arbora.operators import decisions, diagnose, models, posterior, prepare, qu
 from arbora.plans import inputs
 from arbora.plans.inputs import ARMS, EMB, EVT, ITERATIONS, LEVELS, LIN, NBITS, ORD, book_sql, log_sql
 from arbora.sources import results, tables
+from arbora.sources.text import read_counted_text
 from arbora.streaming import micro
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,11 +102,9 @@ def s1_read_contexts(spark, sf_dir):
     return inputs.embeddings(spark, sf_dir).select("row_id", "label", F.size("x").alias("width"), (F.round(total, 4) + 0.0).alias("total"))
 
 
-@query()
+@query("SELECT CASE l_returnflag WHEN 'N' THEN 1 ELSE 0 END AS label, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1")
 def s2_read_counted_text(spark, sf_dir):
     """Two of the three flags of lineitem written as counted text, and read back."""
-    from arbora.sources.text import read_counted_text
-
     li = inputs.lineitem(spark, sf_dir).where("label < 2")
     n1 = li.where("label = 1").count()
     n0 = li.count() - n1
@@ -113,7 +112,6 @@ def s2_read_counted_text(spark, sf_dir):
     head = spark.createDataFrame([(2, f" {n1} {n0}")], "label int, value string")
     path = _scratch(spark, "counted")
     head.unionByName(li.select("label", line.alias("value"))).orderBy(F.desc("label")).select("value").write.text(f"{path}/parts")
-    # Spark lists the parts in order, which is the order of the lines
     return read_counted_text(spark, f"{path}/parts").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.get("x", F.lit(0))), 2).alias("quantity"))
 
 

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): lines from 0 in the order of files by name and of offsets within a file.
+
+    Lines are ranked within each block that a file is read in, and shifted by the number of lines in
+    the blocks before it: one row a block is all that is ordered as a whole.
+    """
+    at = [F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("place")]
+    lines = spark.read.text(path).select("value", *at)
+    blocks = lines.groupBy("file", "start").count()
+    before = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.select("file", "start", F.coalesce(before, F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("file", "start").orderBy("place"))
+    return lines.withColumn("rank", rank).join(offsets, ["file", "start"]).select((F.col("offset") + F.col("rank") - 1).alias("line"), "value")
+
+
 def read_counted_text(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """(row_id, x, label): line 1 holds two counts; the first so many data lines have label 1.
 
-    The label depends on the line's number, which only a file's own order gives: one file is read,
-    numbered by partition offsets (one extra pass that counts lines), and never gathered. With
-    `check` a number of lines other than the header's stops the job.
+    The label depends on the line's number. With `check` a number of lines other than the header's
+    stops the job.
     """
-    lines = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()
-    numbered = lines.toDF("value string, line long")
+    numbered = numbered_lines(spark, path)
     header = numbered.where("line = 0").first()
     if header is None:
         raise ValueError(f"{path} has no header line")

@@ -17,6 +17,21 @@ def test_counted_text(spark, tmp_path):
         text.read_counted_text(spark, str(p))
 
 
+def test_lines_of_several_files_and_blocks(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    n = 0
+    for f, k in (("a", 3), ("b", 5000), ("c", 70)):
+        (tmp_path / "d" / f"{f}.txt").write_text("".join(f"line {n + i}\n" for i in range(k)))
+        n += k
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = text.numbered_lines(spark, f"{tmp_path}/d").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == n and all(r["value"] == f"line {r['line']}" for r in got)
+
+
 def test_read_contexts(spark, tmp_path):
     spark.createDataFrame([(1, 0.5, 2, 1), (2, None, 3, 0)], "id int, a double, b int, y int").write.parquet(f"{tmp_path}/t")
     df = tables.read_contexts(spark, f"{tmp_path}/t", ["a", "b"], "y", "id")
