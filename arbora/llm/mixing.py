@@ -24,6 +24,9 @@ from .quality_rules import words_array
 
 #: Documents of a block, about.
 BLOCK_DOCS = 5_000
+#: Sources whose few numbers are broadcast, at most; of more, none can hold so large a share of the
+#: rows that Spark's own skew handling would not split it.
+BROADCAST_SOURCES = 100_000
 #: Parts that one round of the search cuts the bracket into (five bisections at once).
 PARTS = 32
 
@@ -102,6 +105,9 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.93, max_repeat: float
     light = durable(marked.select(F.col(source).alias("source"), F.col(tokens).alias("tokens"), F.col(key).alias("key")))
     plan = durable(plan_sources(light, target_entropy, max_repeat, budget).select("source", "epochs", "tokens", F.greatest(F.lit(1), F.ceil(F.col("docs") / block_docs)).alias("blocks")).withColumnRenamed("tokens", "source_tokens"))
 
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+
     place = F.pmod(F.col("key"), F.col("blocks"))
     sums = light.join(plan, "source").groupBy("source", place.alias("block")).agg(F.sum("tokens").alias("t"), F.first("epochs").alias("epochs"), F.first("source_tokens").alias("source_tokens"))
     order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block")
