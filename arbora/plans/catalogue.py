@@ -203,7 +203,7 @@ def p7_expand_arms(spark, sf_dir):
     return prepare.expand_arms(inputs.embeddings(spark, sf_dir).select("row_id", "label"), ARMS).select("row_id", "arm", "label")
 
 
-@query(f"WITH {ORD}, u AS (SELECT row_id, {noise.uniform_sql('row_id', 3)} AS u FROM ctx) SELECT row_id, row_number() OVER (ORDER BY u, row_id) <= 1000 AS holdout FROM u")
+@query(f"WITH {ORD}, u AS (SELECT row_id, {noise.uniform_sql('row_id', 3)} AS u FROM ctx) SELECT row_id, row_number() OVER (ORDER BY u, row_id) <= least(1000, (SELECT count(*) // 2 FROM u)) AS holdout FROM u")
 def p8_split_holdout(spark, sf_dir):
     return prepare.split_holdout(inputs.orders(spark, sf_dir), 1000, 3).select("row_id", "holdout")
 
