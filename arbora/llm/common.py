@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.functions.lineage import durable, ensure_checkpoint_dir
+
 #: Java and Python spelling of "a run of ASCII white space": 0x20 and 0x09-0x0D.
 WHITE = r"[\x20\x09-\x0D]+"
 #: Rows of one Arrow batch; long texts would make batches of the default 10,000 rows too large.
 BATCH_ROWS = 512
 
 
+__all__ = ["BATCH_ROWS", "WHITE", "crc_mod", "durable", "ensure_checkpoint_dir", "free_name", "mix", "ngram_hashes", "prepare", "table", "utf8", "word_hashes"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,22 +28,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names, or a fresh local one where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="arbora-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Compute once, write to the shared checkpoint folder and cut the lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that `df` does not have yet."""
     name, taken = base, {c.lower() for c in df.columns}

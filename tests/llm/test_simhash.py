@@ -96,3 +96,47 @@ def test_deduplicate(spark):
     assert simhash.deduplicate(df).count() == 3
     assert simhash.deduplicate(df.limit(0)).count() == 0
     assert simhash.classes(df.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+@pytest.mark.parametrize("limit", [64, 3])
+def test_similar_texts_go(spark, monkeypatch, limit):
+    """Copies of five-word similarity 0.85 or more go; texts that share little stay."""
+    monkeypatch.setattr(simhash, "PAIR_LIMIT", limit)
+    rng = random.Random(9)
+    line = "this line is found in very many of the texts and means little"
+    rows, groups = [], {}
+    for g in range(30):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(rng.randrange(120, 400))]
+        for _ in range(6 if g < 25 else 40):
+            w = list(base)
+            for _ in range(len(w) // 150):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w) + (" " + line if g % 2 else ""), 1))
+            groups.setdefault(g, []).append(rows[-1])
+    close = [min(jaccard(v[0][1], r[1]) for r in v) for v in groups.values()]
+    assert min(close) > 0.85
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, fp int")).collect()}
+    assert kept == {v[0][0] for v in groups.values()}
+
+
+def test_sketch_estimates(spark):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(400)]
+    pairs = []
+    for k in (0, 2, 8, 20, 60):
+        w = list(base)
+        for i in rng.sample(range(400), k):
+            w[i] = f"y{i}"
+        pairs.append((" ".join(base), " ".join(w)))
+    df = spark.createDataFrame([(i, simhash.sketch_bytes(a.encode())[0], simhash.sketch_bytes(b.encode())[0]) for i, (a, b) in enumerate(pairs)], "i int, a binary, b binary")
+    for r in df.select("i", simhash.sketch_similarity("a", "b").alias("s")).collect():
+        assert abs(r["s"] - jaccard(*pairs[r["i"]])) < 0.1
+    assert simhash.sketch_bytes(None) == simhash.sketch_bytes(b" ") == (None, [])
