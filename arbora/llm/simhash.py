@@ -124,6 +124,8 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shi
 MINIMA = 256
 #: Lists of similar texts: so many, each keyed by so many minima.
 BANDS, PER_BAND = 16, 5
+#: Lists of up to so many texts are compared pair by pair.
+SHORT_LIST = 16
 _RNG = np.random.default_rng(20)
 _MULTIPLY = (_RNG.integers(0, 1 << 31, MINIMA) * 2 + 1).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, MINIMA).astype(np.uint32)
@@ -156,9 +158,8 @@ def sketch_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar(nodes: DataFrame, similarity: float, slack: float = 0.02) -> DataFrame:
     """(fp, sketch, bands) -> edges (u, v) between fingerprints whose sketches agree.
 
-    Texts that share a list are compared: all pairs of a list of up to PAIR_LIMIT; in a longer one
-    every text with a few leaders of the list, the texts that are like none of them with four times
-    as many new leaders, and so on until the list is used up. An estimate has a standard error of about 0.025 at 0.8; `slack` is taken off
+    Texts that share a list are compared: all pairs of a list of up to SHORT_LIST; in a longer one
+    every text with the least one, the texts unlike it with a few new leaders, then four times as many, and so on until the list is used up. An estimate has a standard error of about 0.025 at 0.8; `slack` is taken off
     the threshold so that few true pairs are missed.
     """
     bar = similarity - slack
@@ -171,21 +172,22 @@ def similar(nodes: DataFrame, similarity: float, slack: float = 0.02) -> DataFra
         both = pairs.join(sketches.toDF("u", "a"), "u").join(sketches.toDF("v", "b"), "v")
         return both.withColumn("alike", sketch_similarity("a", "b") >= bar).drop("a", "b")
 
-    few = shared.where(F.col("n") <= PAIR_LIMIT)
+    few = shared.where(F.col("n") <= SHORT_LIST)
     pairs = few.select("key", F.col("fp").alias("u")).join(few.select("key", F.col("fp").alias("v")), "key").where("u < v").select("u", "v").distinct()
     edges = [agree(pairs).where("alike").select("u", "v")]
-    active, leaders = durable(shared.where(F.col("n") > PAIR_LIMIT).select("key", F.col("fp").alias("v"))), 4
+    active, leaders = durable(shared.where(F.col("n") > SHORT_LIST).select("key", F.col("fp").alias("v"))), 0
     while active.limit(1).count():
         sizes = active.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least"))
         ranked = active.join(sizes, "key")
         share = F.pmod(F.xxhash64("v", F.lit(leaders)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         ranked = durable(ranked.select("key", "v", ((share * F.col("n") < leaders) | (F.col("v") == F.col("least"))).alias("leads")))
-        pairs = ranked.join(ranked.where("leads").select("key", F.col("v").alias("u")), "key").where("u <> v and (not leads or u < v)")
-        judged = durable(agree(pairs))
-        edges.append(judged.where("alike").select("u", "v"))
-        done = judged.where("alike").select("key", "v").distinct()
+        pairs = durable(ranked.join(ranked.where("leads").select("key", F.col("v").alias("u")), "key").where("u <> v and (not leads or u < v)").select("key", "u", "v"))
+        # lists of one group of copies have the same least member: each pair is compared once
+        alike = durable(agree(pairs.select("u", "v").distinct()).where("alike").select("u", "v"))
+        edges.append(alike)
+        done = pairs.join(alike, ["u", "v"]).select("key", "v").distinct()
         active = durable(ranked.where("not leads").select("key", "v").join(done, ["key", "v"], "left_anti"))
-        leaders *= 4
+        leaders = 4 * leaders or 4
     return reduce(DataFrame.unionByName, edges)
 
 

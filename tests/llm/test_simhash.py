@@ -106,10 +106,10 @@ def jaccard(a, b):
     return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
 
 
-@pytest.mark.parametrize("limit", [64, 3])
+@pytest.mark.parametrize("limit", [16, 3])
 def test_similar_texts_go(spark, monkeypatch, limit):
     """Copies of five-word similarity 0.85 or more go; texts that share little stay."""
-    monkeypatch.setattr(simhash, "PAIR_LIMIT", limit)
+    monkeypatch.setattr(simhash, "SHORT_LIST", limit)
     rng = random.Random(9)
     line = "this line is found in very many of the texts and means little"
     rows, groups = [], {}
