@@ -140,3 +140,36 @@ def test_sketch_estimates(spark):
     for r in df.select("i", simhash.sketch_similarity("a", "b").alias("s")).collect():
         assert abs(r["s"] - jaccard(*pairs[r["i"]])) < 0.1
     assert simhash.sketch_bytes(None) == simhash.sketch_bytes(b" ") == (None, [])
+
+
+def fake_sketch(centre, changed):
+    """The centre with the bytes of some places changed, each text in its own way."""
+    out = bytearray(centre)
+    for place, byte in changed.items():
+        out[place] = byte
+    return bytes(out)
+
+
+def test_long_lists_link_what_short_ones_link(spark):
+    """Groups of chained variants around a centre, in one list: components as of all pairs."""
+    rng = random.Random(4)
+    sketches = []
+    for _ in range(3):
+        centre = bytes(rng.randrange(256) for _ in range(256))
+        sketches.append(centre)
+        for _ in range(12):  # a variant, then one further off that only the variant agrees with
+            places = rng.sample(range(256), 80)
+            near = {p: rng.randrange(256) for p in places[:45]}
+            sketches += [fake_sketch(centre, near), fake_sketch(centre, near | {p: rng.randrange(256) for p in places[45:]})]
+    rng.shuffle(sketches)
+    rows = [(i, s, [7]) for i, s in enumerate(sketches)]
+    bar, parent = 0.78, list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = sum(a == b for a, b in zip(sketches[i], sketches[j], strict=True)) / 256
+            if (same - 1 / 256) / (1 - 1 / 256) >= bar:
+                parent = [min(parent[i], parent[j]) if p in (parent[i], parent[j]) else p for p in parent]
+    assert len(set(parent)) == 3
+    found = connected_components(simhash.similar(spark.createDataFrame(rows, "fp long, sketch binary, bands array<long>"), 0.8))
+    got = {r["node"]: r["component"] for r in found.collect()}
+    assert [got.get(i, i) for i in range(len(rows))] == parent
