@@ -249,10 +249,15 @@ def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     folder = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/arbora_sketches_{uuid.uuid4().hex}"
     prints.write.parquet(folder)
     prints = docs.sparkSession.read.parquet(folder)
-    nodes = durable(prints.groupBy("fp").agg(F.min("id").alias("least"), F.min_by(F.struct("sketch", "bands"), "id").alias("s")).select("fp", "least", "s.*"))
-    edges = links(nodes.select("fp")).unionByName(similar(nodes.select("fp", "sketch", "bands"), similarity))
+    # A node is a distinct fingerprint and sketch: the one of the least id is named by the fingerprint, others of it by a hash.
+    kinds = durable(prints.groupBy("fp", "sketch", "bands").agg(F.min("id").alias("least")))
+    several = kinds.groupBy("fp").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first")
+    named = F.when(F.col("first").isNull() | (F.col("least") == F.col("first")), F.col("fp")).otherwise(F.xxhash64("fp", "sketch", "bands"))
+    nodes = durable(kinds.join(several, "fp", "left").select("fp", named.alias("node"), "least", "sketch", "bands"))
+    edges = links(nodes.where("node = fp").select("fp")).unionByName(similar(nodes.select(F.col("node").alias("fp"), "sketch", "bands"), similarity))
+    edges = edges.unionByName(nodes.where("node <> fp").select(F.col("fp").alias("u"), F.col("node").alias("v")))
     found = connected_components(edges)
-    placed = nodes.select("fp", "least").join(found.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("component", "fp").alias("root"), "least")
+    placed = nodes.select("node", "least").join(found, "node", "left").select(F.coalesce("component", "node").alias("root"), "least")
     keep = placed.groupBy("root").agg(F.min("least").alias("k")).select("k")
     twice = prints.groupBy(F.col("id").alias("k")).count().where("count > 1").select("k", F.lit(True).alias("twice"))
     keep = keep.join(twice, "k", "left").select(F.col("k.id").alias("keep_id"), F.col("k.h").alias("keep_h"), F.coalesce("twice", F.lit(False)).alias("twice"))

@@ -173,3 +173,17 @@ def test_long_lists_link_what_short_ones_link(spark):
     found = connected_components(simhash.similar(spark.createDataFrame(rows, "fp long, sketch binary, bands array<long>"), 0.8))
     got = {r["node"]: r["component"] for r in found.collect()}
     assert [got.get(i, i) for i in range(len(rows))] == parent
+
+
+def test_texts_of_one_fingerprint_keep_their_sketches(spark):
+    """A near copy of a text goes although another text, of lower id, has that text's fingerprint."""
+    rng = random.Random(8)
+    line = "the same line again and again in all of this text\n" * 120
+    words = [[f"{c}{rng.randrange(10**6)}" for _ in range(200)] for c in "ab"]
+    near = [w if i % 101 else f"x{i}" for i, w in enumerate(words[1])]
+    texts = [line + " ".join(words[0]), line + " ".join(words[1]), line[:99] + " " + " ".join(near)]
+    fp = [simhash.simhash_bytes(t.encode(), 5) for t in texts]
+    assert fp[0] == fp[1] and bin((fp[1] ^ fp[2]) % 2**64).count("1") > 2
+    assert jaccard(texts[1], texts[2]) > 0.85 and jaccard(texts[0], texts[2]) < 0.5
+    kept = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in kept] == [0]
