@@ -176,6 +176,32 @@ def write_shards(placed: DataFrame, folder: str) -> DataFrame:
     return durable(placed.select("shard", "tokens").mapInArrow(write, "shard long, rows long, bytes long, crc32 long"))
 
 
+def read_digests(placed: DataFrame, folder: str, stride: int) -> DataFrame:
+    """(slot, shard, row, n_docs, n_tokens, tokens_crc32): the CRC of each slot's bytes in the written shards."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        shard, source = None, None
+        for b in batches:
+            crcs = []
+            for s, row in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if s != shard:
+                    if source is not None:
+                        source.close()
+                    shard, source = s, store.open_input_file(f"{base}/shard-{s:06d}.bin")
+                tokens = source.read_at(stride, row * stride)
+                if len(tokens) != stride:
+                    raise RuntimeError(f"shard {s} ends before row {row}")
+                crcs.append(zlib.crc32(tokens))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crcs, pa.int64())], names=[*b.schema.names, "tokens_crc32"])
+        if source is not None:
+            source.close()
+
+    return placed.select("slot", "shard", "row", "n_docs", "n_tokens").mapInArrow(read, "slot long, shard int, row int, n_docs long, n_tokens long, tokens_crc32 long")
+
+
 def read_sequence(data: bytes, row: int, length: int, dtype: str = "<u2") -> np.ndarray:
     """Sequence `row` of a shard's bytes."""
     stride = length * np.dtype(dtype).itemsize

@@ -43,3 +43,23 @@ def test_round_trip(spark, tmp_path):
 def test_no_rows(spark):
     rows, total = t.sequences(spark.createDataFrame([], "doc_id long, text string"))
     assert total == 0 and t.place(rows, total).count() == 0
+
+
+def test_query_writes_the_shards(spark):
+    """Digests are those of the bytes at each slot's offset in the files that the query wrote."""
+    import zlib
+    from pathlib import Path
+
+    from arbora.llm import queries
+    from arbora.llm.common import ensure_checkpoint_dir
+
+    where = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(where.glob("arbora_shards_*"))
+    rows = queries.op4_token_output(spark, "/root/testdata/sf0.001").collect()
+    (folder,) = set(where.glob("arbora_shards_*")) - before
+    files = {int(f.stem[-6:]): f.read_bytes() for f in folder.glob("shard-*.bin")}
+    stride = 2 * 1024
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and sum(map(len, files.values())) == len(rows) * stride
+    for r in rows:
+        assert r["slot"] == r["shard"] * 8192 + r["row"]
+        assert zlib.crc32(files[r["shard"]][r["row"] * stride : (r["row"] + 1) * stride]) == r["tokens_crc32"]
