@@ -8,15 +8,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.functions.lineage import durable, ensure_checkpoint_dir
+from arbora.functions.lineage import Scratch, durable, ensure_checkpoint_dir, shared_folder
 
 #: Java and Python spelling of "a run of ASCII white space": 0x20 and 0x09-0x0D.
 WHITE = r"[\x20\x09-\x0D]+"
-#: Rows of one Arrow batch; long texts would make batches of the default 10,000 rows too large.
+#: Bytes of one Arrow batch that Spark sends to a Python worker, at most.
+BATCH_BYTES = 4 << 20
+#: Rows of one batch that a Python stage sends back, at most.
 BATCH_ROWS = 512
 
 
-__all__ = ["BATCH_ROWS", "WHITE", "crc_mod", "durable", "ensure_checkpoint_dir", "free_name", "mix", "ngram_hashes", "prepare", "table", "utf8", "word_hashes"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WHITE", "Scratch", "column", "columns", "crc_mod", "durable", "ensure_checkpoint_dir", "free_name", "hashable", "mix", "ngram_hashes", "prepare", "shared_folder", "table", "utf8", "word_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings that the Python stages need: small Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of at most BATCH_BYTES, so that long texts make short batches.
+
+    The only session setting that the operators change, and never upwards; batches of narrow rows stay
+    as they are.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -36,14 +44,28 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """All columns in a form that can be hashed and compared: maps as sorted entries or as JSON."""
+    return [column(c) if "map<" not in kind else F.array_sort(F.map_entries(column(c))) if kind.count("map<") == 1 and kind.startswith("map<") else F.to_json(F.struct(column(c))) for c, kind in df.dtypes]
+
+
 def crc_mod(id_col: str, modulus: int) -> Column:
     """crc32(id as text) mod `modulus`; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
+    return F.crc32(F.coalesce(column(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def utf8(column: str) -> Column:
+def utf8(name: str) -> Column:
     """Whole text as UTF-8 bytes, so that Python workers need not decode it; null stays null."""
-    return F.col(column).cast("string").cast("binary")
+    return column(name).cast("string").cast("binary")
 
 
 # ---------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import Scratch, durable
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -30,19 +30,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round is two grouped minima joined back to the edges, so a hub's neighbours are never
     gathered in one place (adaptive execution splits a hub's join partition). The number of rounds
-    grows with the logarithm of the longest chain; each round is written to the checkpoint folder.
+    grows with the logarithm of the longest chain; each round is written to the checkpoint folder and
+    removed after the next. An edge with a null end is left out, loops and repeated edges change
+    nothing, and no edges give no rows.
     """
-    edges = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     digest = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))]
-    before = edges.agg(*digest).first()
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        edges = durable(_small(_large(edges)).distinct())
-        after = edges.agg(*digest).first()
-        if tuple(after) == tuple(before):
-            break
-        before = after
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    with Scratch(edges.sparkSession, "components") as keep:
+        edges = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        before = edges.agg(*digest).first()
+        for _ in range(max_rounds):
+            if not before[0]:
+                break
+            edges = keep(_small(_large(edges)).distinct())
+            keep.drop(before=1)
+            after = edges.agg(*digest).first()
+            if tuple(after) == tuple(before):
+                break
+            before = after
+        else:
+            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        # stars now: every v is a root
+        return durable(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))

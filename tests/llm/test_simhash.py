@@ -5,6 +5,7 @@ import random
 import pytest
 import xxhash
 
+from arbora.functions.lineage import durable
 from arbora.llm import simhash
 from arbora.llm.components import connected_components
 
@@ -106,10 +107,10 @@ def jaccard(a, b):
     return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
 
 
-@pytest.mark.parametrize("limit", [16, 3])
+@pytest.mark.parametrize("limit", [256, 3])
 def test_similar_texts_go(spark, monkeypatch, limit):
     """Copies of five-word similarity 0.85 or more go; texts that share little stay."""
-    monkeypatch.setattr(simhash, "SHORT_LIST", limit)
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", limit)
     rng = random.Random(9)
     line = "this line is found in very many of the texts and means little"
     rows, groups = [], {}
@@ -150,8 +151,10 @@ def fake_sketch(centre, changed):
     return bytes(out)
 
 
-def test_long_lists_link_what_short_ones_link(spark):
+@pytest.mark.parametrize("limit", [256, 40, 7])
+def test_long_lists_link_what_short_ones_link(spark, monkeypatch, limit):
     """Groups of chained variants around a centre, in one list: components as of all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", limit)
     rng = random.Random(4)
     sketches = []
     for _ in range(3):
@@ -170,7 +173,8 @@ def test_long_lists_link_what_short_ones_link(spark):
             if (same - 1 / 256) / (1 - 1 / 256) >= bar:
                 parent = [min(parent[i], parent[j]) if p in (parent[i], parent[j]) else p for p in parent]
     assert len(set(parent)) == 3
-    found = connected_components(simhash.similar(spark.createDataFrame(rows, "fp long, sketch binary, bands array<long>"), 0.8))
+    none = spark.createDataFrame([], "u long, v long")
+    found = connected_components(simhash.similar(spark.createDataFrame(rows, "node long, sketch binary, bands array<long>"), none, 0.8, durable))
     got = {r["node"]: r["component"] for r in found.collect()}
     assert [got.get(i, i) for i in range(len(rows))] == parent
 
@@ -187,3 +191,47 @@ def test_texts_of_one_fingerprint_keep_their_sketches(spark):
     assert jaccard(texts[1], texts[2]) > 0.85 and jaccard(texts[0], texts[2]) < 0.5
     kept = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [r["doc_id"] for r in kept] == [0]
+
+
+def test_a_large_group_is_not_compared_in_pairs(spark, monkeypatch):
+    """Near copies of one text and a few others in one list: a constant number of rows a text."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 16)
+    rng = random.Random(6)
+    centre = bytes(rng.randrange(256) for _ in range(256))
+    for size in (200, 800):
+        rows = [(i, fake_sketch(centre, {p: rng.randrange(256) for p in rng.sample(range(256), 20)}), [7]) for i in range(size)]
+        rows += [(size + i, bytes(rng.randrange(256) for _ in range(256)), [7]) for i in range(5)]
+        units = []
+
+        def seen(df):
+            units.append(df.count())
+            return df
+
+        deal = simhash.deal_blocks
+        monkeypatch.setattr(simhash, "deal_blocks", lambda placed, deal=deal: seen(deal(placed)))
+        none = spark.createDataFrame([], "u long, v long")
+        edges = simhash.similar(spark.createDataFrame(rows, "node long, sketch binary, bands array<long>"), none, 0.8, durable)
+        assert connected_components(edges).count() == size
+        assert edges.count() <= 2 * size
+        monkeypatch.setattr(simhash, "deal_blocks", deal)
+        blocks = -(-size // 16)
+        assert units == [size + 5 * (blocks + 1)]
+
+
+def test_scratch_tables_are_removed(spark):
+    """Nothing but what the result still reads stays in the checkpoint folder."""
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = {x for x in os.listdir(folder) if x.startswith("arbora_")}
+    rows = [(i, f"text number {i % 7} of a few words", "x") for i in range(20)]
+    assert simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, x string")).count() == 7
+    assert {x for x in os.listdir(folder) if x.startswith("arbora_")} == before
+
+
+def test_rows_that_differ_in_a_map_only(spark):
+    rows = [(1, "same text", {"a": 1}), (1, "same text", {"a": 1}), (1, "same text", {"a": 2})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `gone.id` map<string,int>")
+    assert simhash.deduplicate(df).count() == 1
+    other = spark.createDataFrame([(1, "same text", {"a": 1}), (1, "quite another text", {"a": 1}), (1, "quite another text", {"a": 1})], df.schema)
+    assert sorted(r["text"] for r in simhash.deduplicate(other).collect()) == ["quite another text", "same text"]
