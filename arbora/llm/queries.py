@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, language_id, mixing, oracle, quality_classifier, quality_rules, sharding, simhash, substring, token_output
-from .common import crc_mod, ensure_checkpoint_dir, table
+from .common import crc_mod, shared_folder, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +31,12 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, total = token_output.sequences(table(spark, sf_dir, "documents"))
-    placed = token_output.place(rows, total)
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arbora_shards_{uuid4().hex}"
-    written = token_output.write_shards(placed, folder).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    small, sample = token_output.packed(rows)
+    folder = shared_folder(spark, "shards")
+    written = token_output.write_shards(token_output.place(small, total), folder, sample).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
     if (written["rows"] or 0) != total:
         raise RuntimeError(f"{written['rows']} of {total} sequences written")
-    return token_output.read_digests(placed, folder, (written["bytes"] or 0) // max(total, 1))
+    return token_output.read_digests(token_output.place(rows, total), folder, (written["bytes"] or 0) // max(total, 1))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,22 @@ sequences. Slots are range-partitioned into shards of `shard_rows` sequences; a
 sequences in slot order at a fixed stride, so a reader at slot s starts at byte
 (s mod shard_rows) * stride of shard s div shard_rows, and any slot can be computed, not looked up.
 
+The tokens are kept in Parquet until the shards are written; the exchange carries each sequence
+compressed against a shared sample of sequences, as single sequences are too short to compress well.
+
 Defined results: a null text has no tokens and no separator, an empty one only the separator; the
-last sequence of a partition is filled up with separators; repeated rows are tokenised each.
+last sequence of a partition is filled up with separators; repeated rows are tokenised each; other
+columns are not read, whatever their names; an empty table gives no sequence and no shard. Runs of
+over RUN_CHARS characters without white space, or of white space alone, are cut every RUN_CHARS
+characters before they are tokenised, which decodes to the same text. How documents follow one another, and
+so what a sequence holds, depends on how the input is split into partitions: another read of the
+table with other split sizes makes other shards. Reading and resuming need only the shards.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,16 +30,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, LongType
 
-from .common import durable, ensure_checkpoint_dir, prepare, utf8
+from .common import durable, prepare, shared_folder, utf8
 
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 ROUNDS = 4
+#: Longest run of characters without (or of only) white space that is tokenised as a whole.
+RUN_CHARS = 1024
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(rf"[{_SPACE}]{{{RUN_CHARS + 1},}}|[^{_SPACE}]{{{RUN_CHARS + 1},}}")
+#: Sequences that single sequences are compressed against.
+SAMPLE_SEQUENCES = 64
 
 
 def feistel(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -66,6 +82,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def cut_runs(text: str) -> Iterator[str]:
+    """The text in pieces, whole but for runs of over RUN_CHARS characters."""
+    at = 0
+    for run in _LONG_RUN.finditer(text):
+        for cut in range(run.start() + RUN_CHARS, run.end(), RUN_CHARS):
+            yield text[at:cut]
+            at = cut
+    yield text[at:]
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
@@ -75,10 +101,19 @@ class Codec:
         self.dtype = np.dtype("<u2" if self.separator < 1 << 16 else "<u4")
 
     def encode(self, text: bytes) -> np.ndarray:
-        ids = self.encoding.encode_ordinary(text.decode("utf-8", "replace"))
+        ids = [i for piece in cut_runs(text.decode("utf-8", "replace")) for i in self.encoding.encode_ordinary(piece)]
         return np.array([*ids, self.separator], dtype=self.dtype)
 
 
+class Packer:
+    """Compresses and restores single sequences with a sample of sequences as the common history."""
+
+    def __init__(self, sample: bytes):
+        shared = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if sample else None
+        self.pack = zstandard.ZstdCompressor(level=3, dict_data=shared, write_dict_id=False).compress
+        self.unpack = zstandard.ZstdDecompressor(dict_data=shared).decompress
+
+
 def sequences(docs: DataFrame, length: int = 1024, vocabulary: str = VOCABULARY, text_col: str = "text") -> tuple[DataFrame, int]:
     """(index, n_docs, n_tokens, tokens) of all sequences, and their number.
 
@@ -114,9 +149,9 @@ def sequences(docs: DataFrame, length: int = 1024, vocabulary: str = VOCABULARY,
                         yield from pack(held, False)
         yield from pack(held, True)
 
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arbora_tokens_{uuid.uuid4().hex}"
+    path = shared_folder(spark, "tokens")
     packed = docs.select(utf8(text_col).alias("t")).mapInArrow(cut, "ordinal long, n_docs long, n_tokens long, tokens binary")
-    packed.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(path)
+    packed.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)
     stored = spark.read.parquet(path)
     # one number per input partition
     counts = sorted((r["part"], r["count"]) for r in stored.groupBy("part").count().collect())
@@ -140,18 +175,35 @@ def place(rows: DataFrame, total: int, key: int = 9, shard_rows: int = 8192) ->
     return placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
 
 
-def write_shards(placed: DataFrame, folder: str) -> DataFrame:
+def packed(rows: DataFrame) -> tuple[DataFrame, bytes]:
+    """`rows` with each sequence's tokens compressed, and the sample they are compressed against."""
+    sample = b"".join(bytes(r[0]) for r in rows.select("tokens").limit(SAMPLE_SEQUENCES).collect())
+    shared = rows.sparkSession.sparkContext.broadcast(sample)
+
+    @F.pandas_udf(BinaryType())
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        packer = Packer(shared.value)
+        for s in batches:
+            yield pd.Series([packer.pack(t) for t in s], dtype=object)
+
+    return rows.withColumn("tokens", pack("tokens")), sample
+
+
+def write_shards(placed: DataFrame, folder: str, sample: bytes | None = None) -> DataFrame:
     """Write `folder`/shard-NNNNNN.bin, sequences at a fixed stride; returns (shard, rows, bytes, crc32).
 
-    `folder` is a URI that pyarrow can open on the executors. A shard is written under another name
-    and then moved, so a task that is run again, or twice, leaves one whole file.
+    `folder` is a URI that pyarrow can open on the executors; `sample` is given if the tokens come
+    from `packed`. A shard is written under another name and then moved, so a task that is run again,
+    or twice, leaves one whole file.
     """
+    history = placed.sparkSession.sparkContext.broadcast(sample)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
+        unpack = bytes if history.value is None else Packer(history.value).unpack
         out, shard, rows, size, crc, done = None, None, 0, 0, 0, []
 
         def close() -> None:
@@ -167,6 +219,7 @@ def write_shards(placed: DataFrame, folder: str) -> DataFrame:
                     shard, rows, size, crc = s, 0, 0, 0
                     part = f"{base}/.{uuid.uuid4().hex}"
                     out = store.open_output_stream(part)
+                tokens = unpack(tokens)
                 out.write(tokens)
                 rows, size, crc = rows + 1, size + len(tokens), zlib.crc32(tokens, crc)
         if out is not None:

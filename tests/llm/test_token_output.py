@@ -24,7 +24,9 @@ def test_round_trip(spark, tmp_path):
     rows, total = t.sequences(df, length=64)
     placed = t.place(rows, total, shard_rows=50)
     assert sorted(r["slot"] for r in placed.select("slot").collect()) == list(range(total))
-    report = {r["shard"]: r for r in t.write_shards(placed, f"file://{tmp_path}/shards").collect()}
+    small, sample = t.packed(rows)
+    report = {r["shard"]: r for r in t.write_shards(t.place(small, total, shard_rows=50), f"file://{tmp_path}/shards", sample).collect()}
+    assert report == {r["shard"]: r for r in t.write_shards(placed, f"file://{tmp_path}/plain").collect()}
     assert sum(r["rows"] for r in report.values()) == total
     data = {s: (tmp_path / "shards" / f"shard-{s:06d}.bin").read_bytes() for s in report}
     for s, r in report.items():
@@ -63,3 +65,14 @@ def test_query_writes_the_shards(spark):
     for r in rows:
         assert r["slot"] == r["shard"] * 8192 + r["row"]
         assert zlib.crc32(files[r["shard"]][r["row"] * stride : (r["row"] + 1) * stride]) == r["tokens_crc32"]
+
+
+def test_long_runs():
+    """Very long runs of one kind are encoded in bounded pieces and decode to the same text."""
+    codec = t.Codec(t.load_ranks(t.VOCABULARY))
+    for text in (" " * 1_000_000 + "a", "b" * 1_000_000, "🙂" * 200_000, "\u3000" * 5000 + "x\x1c!" * 5000, "9" * 100_000 + "\n" * 100_000):
+        ids = codec.encode(text.encode())
+        assert ids[-1] == codec.separator and codec.encoding.decode(ids[:-1].tolist()) == text
+        assert max(map(len, t.cut_runs(text))) <= 2 * t.RUN_CHARS
+    text = "plain words, as usual.\n\n  " * 9000
+    assert codec.encode(text.encode())[:-1].tolist() == codec.encoding.encode_ordinary(text)
