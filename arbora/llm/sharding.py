@@ -1,17 +1,19 @@
 """Uniform shuffle into exact shards by a hypergeometric communication matrix.
 
 Of every input partition, the number of rows that go to every target cell is drawn first, so that
-all row and column sums of the matrix are exact; each partition then permutes its rows and deals
-them out by these counts, and every cell permutes what it got. The result is a uniform random
+all row and column sums of the matrix are exact; each partition then deals its rows out by a random
+permutation of these counts, and every cell permutes what it got. The result is a uniform random
 permutation with exact shard sizes and gapless slots, for one exchange of the data.
 
 A shard is made of cells of about `cell_rows` rows, so no task ever holds a whole shard. The matrix
 is never built: a partition draws its own row by walking down a binary tree over the partitions, in
 which each node splits its column totals between its children with a seed of its own.
 
-Defined results: nulls, empty texts and repeated rows are rows like any other; an empty table gives
-no rows. Permutations are by keyed hashes of the content, so a task that is run again deals out
-the same rows; rows that are equal in every column are interchangeable.
+Defined results: nulls, empty texts and repeated rows are rows like any other, each with a place of
+its own; an empty table gives no rows. Columns that are called as the shard or the slot, in any
+case, are replaced; other names do not matter. A partition's rows are taken in the order of a keyed
+hash of their content and its draws depend on its number only, so a task that is run again deals
+out the same rows; rows that are equal in every column are interchangeable.
 """
 
 from __future__ import annotations
@@ -23,9 +25,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
-from .common import free_name, prepare
+from .common import column, free_name, hashable, prepare
 
 #: numpy's hypergeometric sampler takes populations below this.
 _NUMPY_LIMIT = 10**9
@@ -61,17 +62,15 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
 
 def split_columns(columns: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
     """How many of `draws` rows go to each column with these totals (multivariate hypergeometric)."""
-    out = np.zeros_like(columns)
-    rest = int(columns.sum())
-    if rest < _NUMPY_LIMIT:
-        return rng.multivariate_hypergeometric(columns, draws, method="marginals").astype(np.int64) if rest else out
-    for j, c in enumerate(columns.tolist()):
-        rest -= c
-        out[j] = x = hypergeometric(rng, c, rest, draws)
-        draws -= x
-        if not draws:
-            break
-    return out
+    total = int(columns.sum())
+    if total < _NUMPY_LIMIT:
+        return rng.multivariate_hypergeometric(columns, draws, method="marginals").astype(np.int64) if total else np.zeros_like(columns)
+    if len(columns) == 1:
+        return np.array([draws], dtype=np.int64)
+    half = len(columns) // 2
+    left = int(columns[:half].sum())
+    x = hypergeometric(rng, left, total - left, draws)
+    return np.concatenate((split_columns(columns[:half], x, rng), split_columns(columns[half:], draws - x, rng)))
 
 
 def matrix_row(sizes: np.ndarray, columns: np.ndarray, part: int, seed: int) -> np.ndarray:
@@ -111,8 +110,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, cell_
     """
     spark = docs.sparkSession
     prepare(spark)
-    part, a, b, cell, rank = (free_name(docs, c) for c in ("part", "order_a", "order_b", "cell", "rank_in_cell"))
-    key = key or [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    part, a, b, place, cell, draw, rank = (free_name(docs, c) for c in ("part", "order_a", "order_b", "place", "cell", "draw", "rank_in_cell"))
+    key = key or hashable(docs)
     counted = {r[0]: r[1] for r in docs.groupBy(F.spark_partition_id().alias("p")).count().collect()}
     parts = max(counted, default=-1) + 1
     sizes = np.array([counted.get(p, 0) for p in range(parts)], dtype=np.int64)
@@ -123,26 +122,26 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, cell_
 
     dealt = docs.select("*", F.spark_partition_id().alias(part), F.xxhash64(F.lit(seed), *key).alias(a), F.xxhash64(F.lit(~seed), *key).alias(b)).sortWithinPartitions(a, b)
 
-    def deal(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ends, at = None, 0
+    @F.pandas_udf("cell int, draw long")
+    def deal(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cell_of, draws, at, me = None, None, 0, None
         for p in batches:
-            if not len(p):
-                yield pd.Series([], dtype="int32")
-                continue
-            if ends is None:
+            if len(p) and cell_of is None:
                 me = int(p.iloc[0])
                 sizes, rows = plan.value
-                ends = np.cumsum(matrix_row(sizes, rows, me, seed))
-            if at + len(p) > ends[-1]:
+                rng = np.random.default_rng([seed, 1, me])
+                cell_of = rng.permutation(np.repeat(np.arange(len(rows), dtype=np.int32), matrix_row(sizes, rows, me, seed)))
+                draws = rng.integers(0, 1 << 62, len(cell_of))
+            if cell_of is not None and at + len(p) > len(cell_of):
                 raise RuntimeError(f"partition {me} has more rows than were counted; checkpoint the input first")
-            yield pd.Series(np.searchsorted(ends, np.arange(at, at + len(p)), side="right").astype("int32"))
+            yield pd.DataFrame({"cell": cell_of[at : at + len(p)], "draw": draws[at : at + len(p)]} if len(p) else {"cell": np.zeros(0, "int32"), "draw": np.zeros(0, "int64")})
             at += len(p)
-        if ends is not None and at != ends[-1]:
-            raise RuntimeError(f"partition {me} has {at} rows, {ends[-1]} were counted; checkpoint the input first")
+        if cell_of is not None and at != len(cell_of):
+            raise RuntimeError(f"partition {me} has {at} rows, {len(cell_of)} were counted; checkpoint the input first")
 
-    dealt = dealt.withColumn(cell, F.pandas_udf(deal, IntegerType())(F.col(part)))
+    dealt = dealt.withColumn(place, deal(F.col(part))).withColumns({cell: F.col(place)["cell"], draw: F.col(place)["draw"]}).drop(place, part)
     exchanged = dealt.repartitionById(max(cells, 1), F.col(cell)) if cells <= MAX_PARTITIONS else dealt.repartition(MAX_PARTITIONS, cell)
-    ranked = exchanged.withColumn(rank, F.row_number().over(Window.partitionBy(cell).orderBy(F.xxhash64(F.lit(seed + 1), b), a, b)).cast("bigint") - 1)
+    ranked = exchanged.withColumn(rank, F.row_number().over(Window.partitionBy(cell).orderBy(draw, a, b)).cast("bigint") - 1)
     per = cells // shards
     big = int(total // shards)  # shard and slot of a cell by arithmetic, as in cell_sizes
     more = total % shards
@@ -151,12 +150,13 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 17, cell_
     size = F.lit(big) + F.when(shard < more, 1).otherwise(0)
     base, extra = F.floor(size / per), size % per
     start = inside * base + F.least(inside, extra)
-    return ranked.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (shard_col, slot_col)], shard.alias(shard_col), (start + F.col(rank)).cast("bigint").alias(slot_col))
+    taken = {shard_col.lower(), slot_col.lower()}
+    return ranked.select(*[column(c) for c in docs.columns if c.lower() not in taken], shard.alias(shard_col), (start + F.col(rank)).cast("bigint").alias(slot_col))
 
 
 def digest_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, size, text_crc32) of every row; the size is the text's UTF-8 bytes plus one."""
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw).cast("bigint") + 1).alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
+    raw = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    return docs.select(column(id_col).alias("doc_id"), (F.octet_length(raw).cast("bigint") + 1).alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
 
 

@@ -66,3 +66,48 @@ def test_slots_are_uniform(spark):
     df = spark.range(64).selectExpr("id as doc_id").checkpoint()
     seen = Counter(sharding.shuffle_into_shards(df, 4, s, 4).where("doc_id = 5").first()["shard"] for s in range(24))
     assert len(seen) == 4
+
+
+def test_copies_spread(spark):
+    """Equal rows are apart as often as any other rows: shards and neighbouring slots as chance gives."""
+    n, copies, shards = 4000, 4, 16
+    df = spark.range(n * copies).selectExpr(f"id div {copies} as doc_id", f"concat('text ', id div {copies}) as text").coalesce(3).checkpoint()
+    rows = sharding.shuffle_into_shards(df, shards, 3, 300).collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r["doc_id"], []).append((r["shard"], r["slot"]))
+    total, size = n * copies, n * copies // shards
+    together = sum(len({s for s, _ in v}) == 1 for v in of.values())
+    assert together <= 8  # chance: 4000 / 16**3, about 1
+    pairs = n * copies * (copies - 1) / 2
+    same = sum(a[0] == b[0] for v in of.values() for i, a in enumerate(v) for b in v[:i])
+    p = (size - 1) / (total - 1)
+    assert abs(same - pairs * p) < 5 * (pairs * p) ** 0.5
+    next_to = sum(a[0] == b[0] and abs(a[1] - b[1]) == 1 for v in of.values() for i, a in enumerate(v) for b in v[:i])
+    assert abs(next_to - pairs * 2 * (total - shards) / (total * (total - 1))) < 8
+
+
+def test_places_against_a_plain_draw(spark):
+    """Counts of (input partition, shard) have the mean and variance of a shuffled deck."""
+    sizes, shards, seeds = [30, 50, 20], 4, 60
+    df = spark.range(100).selectExpr("id as doc_id", "case when id < 30 then 0 when id < 80 then 1 else 2 end as p").repartitionById(3, "p").checkpoint()
+    got = np.array([[(r["p"], r["shard"]) for r in sharding.shuffle_into_shards(df, shards, s, 6).collect()] for s in range(8)])
+    rng, plain = np.random.default_rng(1), []
+    for _ in range(seeds * 50):
+        deck = rng.permutation(np.repeat(np.arange(3), sizes))
+        plain.append((deck[:25] == 1).sum())
+    counts = [(run[:, 0][run[:, 1] == s] == 1).sum() for run in got for s in range(shards)]
+    assert abs(np.mean(counts) - np.mean(plain)) < 1e-9 + 0.1 and 0.3 < np.var(counts) / np.var(plain) < 2.5
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", "x", 5, {"k": 1})] * 3, "`doc.id` long, text string, Shard string, SLOT int, cell map<string,int>").checkpoint()
+    out = sharding.shuffle_into_shards(df, 2, 1)
+    assert out.columns == ["doc.id", "text", "cell", "shard", "slot"] and out.count() == 3
+
+
+def test_many_cells():
+    """A million cells and ten billion rows: the sums hold and a row of the matrix takes seconds."""
+    columns = sharding.even_sizes(10**10, 10**6)
+    out = sharding.split_columns(columns, 10**8, np.random.default_rng(2))
+    assert out.sum() == 10**8 and (out <= columns).all() and abs(out.mean() - 100) < 1e-9 and 90 < out.var() < 110
