@@ -7,9 +7,14 @@ its own token number, is its number of epochs: so many whole passes over its doc
 more pass as much as its budget holds. That pass goes over a keyed permutation of the source's
 blocks of documents and stops inside one block, whose documents are taken in permuted order.
 
+Where the last pass stops is found from sums, a few numbers a source: the stretch of the permutation,
+the block in it, the document in that. Every document then compares its own place with these, so
+texts are read where they lie and never exchanged.
+
 Defined results: a null source is a source of its own; documents without words cost nothing and are
-kept once; a source without any token keeps its documents once; repeated rows are documents like any
-other. A source's last document may overshoot its budget by less than its own tokens.
+kept once; a source without any token keeps its documents once; an empty table gives no rows; other
+columns are kept, whatever their names. Rows that are equal in every column have one place and are
+taken together: a source may overshoot its budget by less than the tokens of its last such rows.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, free_name
+from .common import Scratch, column, columns, durable, free_name, hashable
 from .quality_rules import words_array
 
 #: Documents of a block, about.
@@ -27,12 +32,14 @@ BLOCK_DOCS = 5_000
 #: Sources whose few numbers are broadcast, at most; of more, none can hold so large a share of the
 #: rows that Spark's own skew handling would not split it.
 BROADCAST_SOURCES = 100_000
+#: Bits of a place that name its stretch of the permutation.
+STRETCH_BITS = 10
 #: Parts that one round of the search cuts the bracket into (five bisections at once).
 PARTS = 32
 
 
 def word_count(text_col: str) -> Column:
-    return F.size(words_array(F.col(text_col).cast("string"))).cast("bigint")
+    return F.size(words_array(column(text_col).cast("string"))).cast("bigint")
 
 
 def entropy(shares: list[float], exponent: float) -> float:
@@ -96,31 +103,54 @@ def plan_sources(light: DataFrame, target_entropy: float | None, max_repeat: flo
     return weighted.withColumn("epochs", F.when(F.col("tokens") > 0, F.round(F.lit(goal) * F.col("weight") / F.col("tokens"), 9)).otherwise(1.0))
 
 
+def _stops(light: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """(source, stop_order, stop_block, stop_rank, stop_key): where the last, partial pass of a source ends.
+
+    `light` is (source, tokens, key), `plan` (source, part, blocks) with the tokens of the partial pass.
+    A source is in no row if that pass takes nothing.
+    """
+    before = lambda over: F.coalesce(F.sum("t").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = light.join(plan.where("part > 0"), "source").withColumn("block", F.pmod(F.col("key"), F.col("blocks")))
+    blocks = placed.groupBy("source", "block").agg(F.sum("tokens").alias("t"), F.first("part").alias("part")).withColumn("order", _order("block", seed))
+    stretch = F.shiftright("order", 63 - STRETCH_BITS)
+    stretches = blocks.groupBy("source", stretch.alias("stretch")).agg(F.sum("t").alias("t"), F.first("part").alias("part"))
+    # the last stretch, block and document of which some, but not all, that lies before is within the budget
+    each = stretches.withColumn("left", F.col("part") - before(Window.partitionBy("source").orderBy("stretch"))).where("left > 0")
+    last = each.groupBy("source").agg(F.max("stretch").alias("stretch"), F.min("left").alias("left"))
+    inside = blocks.drop("part").withColumn("stretch", stretch).join(last, ["source", "stretch"])
+    each = inside.withColumn("left", F.col("left") - before(Window.partitionBy("source").orderBy("order", "block"))).where("left > 0")
+    block = each.groupBy("source").agg(F.max(F.struct("order", "block")).alias("at"), F.min("left").alias("left")).select("source", "at.order", "at.block", "left")
+    rows = placed.join(block, ["source", "block"]).where("tokens > 0").groupBy("source", "key").agg(F.sum("tokens").alias("t"), F.first("order").alias("order"), F.first("block").alias("block"), F.first("left").alias("left"))
+    rows = rows.withColumn("rank", F.xxhash64("key", F.lit(seed + 2)))
+    each = rows.withColumn("left", F.col("left") - before(Window.partitionBy("source").orderBy("rank", "key"))).where("left > 0")
+    return each.groupBy("source").agg(F.first("order").alias("stop_order"), F.first("block").alias("stop_block"), F.max(F.struct("rank", "key")).alias("at")).select("source", "stop_order", "stop_block", F.col("at.rank").alias("stop_rank"), F.col("at.key").alias("stop_key"))
+
+
+def _order(block: str, seed: int) -> Column:
+    """Place of a block in the permutation of its source's blocks, 63 bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(block), F.lit(seed + 1)), 1)
+
+
 def mix(docs: DataFrame, target_entropy: float | None = 0.93, max_repeat: float | None = 4.0, budget: str | int = "same", seed: int = 5, block_docs: int = BLOCK_DOCS, source_col: str = "source", text_col: str = "text", epoch_col: str | None = None) -> DataFrame:
     """`docs` with each row as often as its source's budget takes it, numbered in `epoch_col` if given."""
-    names = {c: free_name(docs, c) for c in ("mix_source", "mix_tokens", "mix_key", "mix_block")}
-    source, tokens, key, block = names.values()
-    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
-    marked = docs.withColumns({source: F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")), tokens: word_count(text_col), key: F.xxhash64(F.lit(seed), *plain)})
-    light = durable(marked.select(F.col(source).alias("source"), F.col(tokens).alias("tokens"), F.col(key).alias("key")))
-    plan = durable(plan_sources(light, target_entropy, max_repeat, budget).select("source", "epochs", "tokens", F.greatest(F.lit(1), F.ceil(F.col("docs") / block_docs)).alias("blocks")).withColumnRenamed("tokens", "source_tokens"))
-
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-
-    place = F.pmod(F.col("key"), F.col("blocks"))
-    sums = light.join(plan, "source").groupBy("source", place.alias("block")).agg(F.sum("tokens").alias("t"), F.first("epochs").alias("epochs"), F.first("source_tokens").alias("source_tokens"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block")
-    before = F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = (F.col("epochs") - F.floor("epochs")) * F.col("source_tokens")
-    blocks = sums.select(F.col("source").alias(source), F.col("block").alias(block), F.floor("epochs").cast("int").alias("mix_whole"), (part - before).alias("mix_left"), F.col("t").alias("mix_block_tokens"))
-
-    sizes = plan.select(F.col("source").alias(source), F.col("blocks").alias("mix_blocks"))
-    placed = marked.join(sizes, source).withColumn(block, F.pmod(F.col(key), F.col("mix_blocks"))).join(blocks, [source, block])
-    inner = Window.partitionBy(source, block).orderBy(F.xxhash64(F.col(key), F.lit(seed + 2)), key).rowsBetween(Window.unboundedPreceding, -1)
-    # a block inside the budget is taken whole, the one that crosses it up to the budget
-    extra = F.when(F.col(tokens) == 0, F.lit(0)).when(F.coalesce(F.sum(tokens).over(inner), F.lit(0)) < F.col("mix_left"), 1).otherwise(0)
-    copies = F.when(F.col(tokens) == 0, F.lit(1)).otherwise(F.col("mix_whole") + extra)
-    counted = placed.select(*docs.columns, copies.alias("mix_copies")).where("mix_copies > 0")
-    numbered = counted.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-    return numbered.select(*docs.columns, *([F.col("mix_epoch").alias(epoch_col)] if epoch_col else []))
+    names = ("source", "tokens", "key", "block", "rank", "copies", "epoch", "whole", "blocks", "stop_order", "stop_block", "stop_rank", "stop_key")
+    at = {n: free_name(docs, f"mix_{n}") for n in names}
+    col = {n: F.col(a) for n, a in at.items()}
+    marked = docs.withColumns({at["source"]: F.coalesce(F.concat(F.lit("="), column(source_col).cast("string")), F.lit("")), at["tokens"]: word_count(text_col), at["key"]: F.xxhash64(F.lit(seed), *hashable(docs))})
+    with Scratch(docs.sparkSession, "mixing") as keep:
+        light = keep(marked.select(*[col[n].alias(n) for n in ("source", "tokens", "key")]))
+        whole = F.floor("epochs").cast("int")
+        sources = plan_sources(light, target_entropy, max_repeat, budget).select("source", whole.alias("whole"), ((F.col("epochs") - whole) * F.col("tokens")).alias("part"), F.greatest(F.lit(1), F.ceil(F.col("docs") / block_docs)).alias("blocks"))
+        sources = keep(sources)
+        plan = durable(sources.drop("part").join(_stops(light, sources.select("source", "part", "blocks"), seed), "source", "left"))
+        few = sources.count() <= BROADCAST_SOURCES
+    plan = plan.select(*[F.col(c).alias(at[c]) for c in plan.columns])
+
+    placed = marked.join(F.broadcast(plan) if few else plan, at["source"]).withColumn(at["block"], F.pmod(col["key"], col["blocks"]))
+    order, rank = _order(at["block"], seed), F.xxhash64(col["key"], F.lit(seed + 2))
+    earlier = (order < col["stop_order"]) | ((order == col["stop_order"]) & (col["block"] < col["stop_block"]))
+    inside = (col["block"] == col["stop_block"]) & ((rank < col["stop_rank"]) | ((rank == col["stop_rank"]) & (col["key"] <= col["stop_key"])))
+    copies = F.when(col["tokens"] == 0, F.lit(1)).otherwise(col["whole"] + F.coalesce(earlier | inside, F.lit(False)).cast("int"))
+    counted = placed.select(*columns(docs), copies.alias(at["copies"])).where(col["copies"] > 0)
+    numbered = counted.withColumn(at["epoch"], F.explode(F.sequence(F.lit(1), col["copies"])))
+    return numbered.select(*columns(docs), *([col["epoch"].alias(epoch_col)] if epoch_col else []))
