@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.functions.lineage import Scratch, durable, ensure_checkpoint_dir, shared_folder
+from arbora.functions.lineage import Scratch, durable, ensure_checkpoint_dir, remove_folder, shared_folder
 
 #: Java and Python spelling of "a run of ASCII white space": 0x20 and 0x09-0x0D.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -18,7 +18,7 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 512
 
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WHITE", "Scratch", "column", "columns", "crc_mod", "durable", "ensure_checkpoint_dir", "free_name", "hashable", "mix", "ngram_hashes", "prepare", "shared_folder", "table", "utf8", "word_hashes"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WHITE", "Scratch", "column", "columns", "crc_mod", "durable", "ensure_checkpoint_dir", "free_name", "hashable", "mix", "ngram_hashes", "prepare", "remove_folder", "shared_folder", "table", "utf8", "word_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

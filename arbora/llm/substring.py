@@ -1,31 +1,35 @@
 """Substring de-duplication by prefix-partitioned suffix trees over words.
 
 A window of `window` words is repeated if its word sequence starts at a second place, in the same
-text or another. The windows are the suffixes of the corpus cut at that depth; they are repeated
-where they hang below an internal node of depth `window` of the suffix tree. The tree is built in
-parts, and only where it can have such nodes:
+text or another: its suffix then hangs below an internal node of depth `window` or more of the
+corpus's suffix tree. That tree is built in parts, and only where it can have such nodes:
 
 1. Texts are keyed, equal texts meet and are kept once with their number of copies, in a bucketed
    table, so that later joins with the texts need no shuffle.
-2. Every window has an anchor: the GRAM-word run inside it with the least hash. A suffix's prefix
-   up to the end of its anchor, of GRAM to `window` words, decides the part of the tree that it
-   belongs to; equal windows have equal prefixes. Windows whose anchor occurs once in the corpus
-   cannot be repeated and go no further.
-3. A part gathers the suffixes of one anchor with their words. Its subtree is held as the sorted
-   suffixes; neighbours that share `window` words lie below one deep node, and all their places are
-   marked. An anchor with more than GROUP_ROWS occurrences is split by its longest prefixes, the
-   whole windows: these need no subtree, as only their number matters, which Spark counts.
-4. Marks return to their texts, and the covered words are removed.
+2. Every window has an anchor: the GRAM-word run inside it with the least hash. Suffixes that start
+   at anchors are parted by their first GRAM words; equal windows have equal anchors at equal
+   offsets, so windows of different parts never match. An anchor that occurs once in the corpus
+   leads to no repeat and goes no further.
+3. A part of over GROUP_ROWS runs is split by longer prefixes: its windows are halved by how many
+   words they begin before the anchor, and each half is keyed by all words that its windows have in
+   common, which are 6, then 21, 28, 32, 34 and at last all 35. A part that is still too large has
+   one window alone, which needs no tree: every place of it is repeated.
+4. Every other part is one task's suffix tree, held as sorted suffixes with their common prefixes;
+   a stack makes the internal nodes of these. What lies above a leaf at `window` words or deeper is a
+   repeat of that leaf's text; its words are marked.
+5. Marks return to their texts, and the covered words are removed.
 
 Defined results: null, empty and short texts have no window and nothing removed; all of a text
-with an equal copy is removed if it has a window; repeated rows are copies.
+with an equal copy is removed if it has a window; repeated rows are copies; very long texts are cut
+into pieces for hashing only; other columns are not read, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,15 +38,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, durable, ensure_checkpoint_dir, ngram_hashes, prepare, word_hashes
+from .common import BATCH_ROWS, Scratch, column, durable, ngram_hashes, prepare, remove_folder, shared_folder, word_hashes
 from .quality_classifier import groups_of_bytes
 
 #: Words of an anchor.
 GRAM = 6
-#: Suffix runs of one anchor that a task holds at once, at most.
-GROUP_ROWS = 20_000
-#: Parts that the places of one very frequent window are dealt over.
-SALTS = 64
+#: Runs of a part that becomes one task's suffix tree, at most; it only sizes the parts.
+GROUP_ROWS = 8_192
 
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
@@ -77,7 +79,7 @@ def anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
     return g[q[at]], text[at], p[at] - starts[text[at]], size, q[at] - starts[text[at]]
 
 
-def _texts_table(docs: DataFrame, text_col: str) -> DataFrame:
+def _texts_table(docs: DataFrame, text_col: str, name: str, path: str) -> DataFrame:
     """Distinct texts (k1, k2, copies, words) in a table bucketed by k1; words are zstd-compressed,
     one space between two. Copies within a partition meet before the shuffle."""
     spark = docs.sparkSession
@@ -99,13 +101,11 @@ def _texts_table(docs: DataFrame, text_col: str) -> DataFrame:
         for i in range(0, len(late), BATCH_ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*late[i : i + BATCH_ROWS], strict=True), schema.types, strict=True)], schema=schema)
 
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    raw = F.coalesce(column(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.xxhash64(raw).alias("k1"), F.crc32(raw.cast("binary")).alias("k2"), raw.cast("binary").alias("t"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     combined = keyed.mapInArrow(combine, "k1 long, k2 long, copies long, words binary")
     distinct = combined.repartition(parts, "k1").groupBy("k1", "k2").agg(F.sum("copies").alias("copies"), F.first("words", ignorenulls=True).alias("words"))
-    name = f"arbora_texts_{uuid.uuid4().hex}"
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
     distinct.write.bucketBy(parts, "k1").option("path", path).option("compression", "none").format("parquet").saveAsTable(name)
     return spark.table(name)
 
@@ -116,27 +116,35 @@ def _unpack(blobs) -> list[bytes]:
 
 
 def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
-    """(g, k1, run): anchors of all texts. `run` packs the first window, their number and the place."""
+    """(core, k1, k2, run): anchors of all texts. `run` packs the first window, the number of windows
+    and the words from the first window to the anchor."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1 = b.column(0).to_numpy()
+            k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             at = 0
-            for group in groups_of_bytes(_unpack(b.column(1).to_pylist())):
-                g, text, first, size, _ = anchors(group, window)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(k1[at + text]), pa.array(first << 16 | size)], names=["g", "k1", "run"])
+            for group in groups_of_bytes(_unpack(b.column(2).to_pylist())):
+                g, text, first, size, place = anchors(group, window)
+                run = first << 32 | size << 16 | (place - first)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(k1[at + text]), pa.array(k2[at + text]), pa.array(run)], names=["core", "k1", "k2", "run"])
                 at += len(group)
 
-    return texts.select("k1", "words").mapInArrow(find, "g long, k1 long, run long")
+    return texts.select("k1", "k2", "words").mapInArrow(find, "core long, k1 long, k2 long, run long")
+
+
+#: A run of windows: its part, the range of words that its windows begin before the anchor, its text,
+#: its first window, their number, the words before the anchor and all its words.
+ROW = "core long, low int, high int, k1 long, k2 long, first long, n long, before long, words binary"
+_FIELDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_NAMES = ["core", "low", "high", "k1", "k2", "first", "n", "before", "words"]
 
 
-_ROWS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-_NAMES = ["g", "k1", "k2", "first", "n", "words"]
+def _batch(rows: Sequence[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_FIELDS)], names=_NAMES)
 
 
-def _suffix_rows(joined: DataFrame, window: int, hot: bool) -> DataFrame:
-    """(g, k1, k2, first, n, words): the words of every live run of windows; of hot anchors one row a
-    window, with the window's digest as its words."""
+def _run_rows(joined: DataFrame, window: int) -> DataFrame:
+    """ROW of every live run: (k1, k2, words, live) with the whole text's words -> the words of each run."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,20 +153,39 @@ def _suffix_rows(joined: DataFrame, window: int, hot: bool) -> DataFrame:
                 words = _unpack([blob])[0]
                 starts, ends = _edges(words)
                 for x in live:
-                    first, n = x["run"] >> 16, x["run"] & 0xFFFF
-                    if hot:
-                        rows += [(x["g"], k1, k2, p, 1, hashlib.blake2b(words[starts[p] : ends[p + window - 1]], digest_size=16).digest()) for p in range(first, first + n)]
-                    else:
-                        rows.append((x["g"], k1, k2, first, n, words[starts[first] : ends[first + n + window - 2]]))
+                    first, n, before = x["run"] >> 32, x["run"] >> 16 & 0xFFFF, x["run"] & 0xFFFF
+                    rows.append((x["core"], 0, window - GRAM, k1, k2, first, n, before, words[starts[first] : ends[first + n + window - 2]]))
                 while len(rows) >= 4096:
                     yield _batch(rows[:4096])
                     del rows[:4096]
             yield _batch(rows)
 
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_ROWS)], names=_NAMES)
+    return joined.select("k1", "k2", "words", "live").mapInArrow(cut, ROW)
+
+
+def halves(row: tuple, window: int) -> list[tuple]:
+    """The run's windows in two halves by the words they begin before the anchor, each with the longer
+    prefix that all windows of its half share as its part."""
+    _, low, high, k1, k2, first, n, before, words = row
+    starts, ends = _edges(words)
+    middle, out = (low + high) // 2, []
+    for a, b in ((low, middle), (middle + 1, high)):
+        i, j = max(0, before - b), min(n - 1, before - a)
+        if a <= b and i <= j:
+            shared = words[starts[before - a] : ends[before + window - b - 1]]
+            core = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=bytes([a, b])).digest(), "big", signed=True)
+            out.append((core, a, b, k1, k2, first + i, j - i + 1, before - i, words[starts[i] : ends[j + window - 1]]))
+    return out
+
 
-    return joined.select("k1", "k2", "words", "live").mapInArrow(cut, "g long, k1 long, k2 long, first long, n long, words binary")
+def _split_rows(rows: DataFrame, window: int) -> DataFrame:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                yield _batch([half for row in zip(*(part.column(i).to_pylist() for i in range(len(_NAMES))), strict=True) for half in halves(row, window)])
+
+    return rows.select(*_NAMES).mapInArrow(split, ROW)
 
 
 def _edges(words: bytes) -> tuple[list[int], list[int]]:
@@ -167,53 +194,112 @@ def _edges(words: bytes) -> tuple[list[int], list[int]]:
     return [0, *(e + 1 for e in ends[:-1])], ends
 
 
-def subtree_repeats(rows: list[tuple[int, int, bytes]], window: int) -> list[list[int]]:
-    """For runs (first window, number of windows, words) of distinct places: the repeated windows.
+def common_words(a: bytes, b: bytes) -> int:
+    """Number of leading words that two suffixes share; every word of a suffix ends with a space."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return a.count(b" ", 0, high)
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return a.count(b" ", 0, low)
+
+
+def suffix_tree(runs: list[tuple[int, bytes]], window: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Leaves (run, first word) of the runs (number of windows, words) in the order of their suffixes,
+    and the words that each shares with the one before it; fewer than `window` count as none.
 
-    The suffixes of all runs, cut at `window` words, in sorted order: equal neighbours share the
-    whole depth and so lie below one deep internal node.
+    A common prefix of words is one of bytes that ends with a space, so the order of bytes will do.
     """
-    leaves = []
-    for r, (_, n, words) in enumerate(rows):
+    leaves: list[tuple[bytes, int, int, int]] = []
+    for r, (n, words) in enumerate(runs):
         starts, ends = _edges(words)
-        leaves += [(words[starts[i] : ends[i + window - 1]], r, i) for i in range(n)]
+        text = words + b" "
+        leaves += [(text[starts[i] :], r, i, ends[i + window - 1] + 1 - starts[i]) for i in range(n)]
     leaves.sort()
-    out: list[list[int]] = [[] for _ in rows]
-    last, marked = None, False
-    for leaf in leaves:
-        if last is not None and leaf[0] == last[0]:
-            if not marked:
-                out[last[1]].append(last[2] + rows[last[1]][0])
-            out[leaf[1]].append(leaf[2] + rows[leaf[1]][0])
-            marked = True
-        else:
-            marked = False
-        last = leaf
+    shared, last = [0], None
+    for suffix, _, _, deep in leaves:
+        if last is not None:
+            shared.append(common_words(last, suffix) if last[:deep] == suffix[:deep] else 0)
+        last = suffix
+    return [(r, i) for _, r, i, _ in leaves], shared[: len(leaves)]
+
+
+def deep_nodes(shared: list[int]) -> list[tuple[int, int, int]]:
+    """Internal nodes (depth, first leaf, one past the last leaf) of a tree from its leaves' common
+    prefixes; a node's children come before it."""
+    out: list[tuple[int, int, int]] = []
+    open_nodes: list[tuple[int, int]] = []  # depth and first leaf, deeper ones later
+    for i, depth in enumerate([*shared[1:], 0], 1):
+        first = i - 1
+        while open_nodes and open_nodes[-1][0] > depth:
+            top, first = open_nodes.pop()
+            out.append((top, first, i))
+        if depth and (not open_nodes or open_nodes[-1][0] < depth):
+            open_nodes.append((depth, first))
     return out
 
 
-def merge_spans(starts: list[int], window: int) -> list[tuple[int, int]]:
-    """Word spans covered by windows that start at these places."""
-    spans: list[list[int]] = []
-    for s in sorted(starts):
-        if spans and s <= spans[-1][1]:
-            spans[-1][1] = s + window
+def maximal_repeats(runs: list[tuple[int, bytes]], window: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(depth, places) of the deep nodes whose leaves do not all follow one and the same word: the
+    repeats that can be extended neither way. A place is (run, first word)."""
+    leaves, shared = suffix_tree(runs, window)
+    words = [w.split(b" ") for _, w in runs]
+    found = []
+    for depth, low, high in deep_nodes(shared):
+        places = leaves[low:high]
+        if len({words[r][i - 1] if i else (r,) for r, i in places}) > 1:
+            found.append((depth, sorted(places)))
+    return found
+
+
+def subtree_repeats(runs: list[tuple[int, bytes]], window: int) -> list[list[tuple[int, int]]]:
+    """For each run the spans of words, from the run's first, that are repeated in the part.
+
+    Equal runs hang below the same nodes: they are one string of the tree, marked as a whole.
+    """
+    copies: dict[tuple[int, bytes], int] = {}
+    for run in runs:
+        copies[run] = copies.get(run, 0) + 1
+    spans: dict[tuple[int, bytes], list[tuple[int, int]]] = {run: [(0, run[0] + window - 1)] for run, n in copies.items() if n > 1}
+    if len(spans) < len(copies):
+        strings = list(copies)
+        leaves, shared = suffix_tree(strings, window)
+        above = [max(a, b) for a, b in zip(shared, [*shared[1:], 0], strict=True)]  # the depth of the deepest node above a leaf
+        found: list[list[tuple[int, int]]] = [[] for _ in strings]
+        for (r, i), depth in zip(leaves, above, strict=True):
+            if depth:
+                found[r].append((i, i + depth))
+        for run, marked in zip(strings, found, strict=True):
+            spans.setdefault(run, merge_spans(marked))
+    return [spans[run] for run in runs]
+
+
+def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words that touch or overlap as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
         else:
-            spans.append([s, s + window])
-    return [(a, b) for a, b in spans]
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
-def _subtree_marks(chunks: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, start, stop) of the spans that the subtrees of the cold anchors mark."""
+def _tree_marks(rows: DataFrame, window: int) -> DataFrame:
+    """(k1, k2, start, stop) of the spans that the suffix trees of the parts mark."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        core, held = None, []
         out: list[tuple] = []
 
         def close() -> None:
-            if len(held) > 1 or (held and held[0][4] > 1):
-                for row, found in zip(held, subtree_repeats([(r[3], r[4], r[5]) for r in held], window), strict=True):
-                    out.extend((row[1], row[2], a, b) for a, b in merge_spans(found, window))
+            if len(held) > 1 or (held and held[0][3] > 1):
+                for (k1, k2, first, _, _), spans in zip(held, subtree_repeats([(r[3], r[4]) for r in held], window), strict=True):
+                    out.extend((k1, k2, first + a, first + b) for a, b in spans)
             held.clear()
 
         def flush() -> pa.RecordBatch:
@@ -223,36 +309,42 @@ def _subtree_marks(chunks: DataFrame, window: int) -> DataFrame:
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and held[0][0] != row[0]:
+                if row[0] != core:
                     close()
-                held.append(row)
+                    core = row[0]
+                held.append(row[1:])
             if len(out) > 10_000:
                 yield flush()
         close()
         yield flush()
 
-    parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    return chunks.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(walk, "k1 long, k2 long, start long, stop long")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    return rows.select("core", "k1", "k2", "first", "n", "words").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(walk, "k1 long, k2 long, start long, stop long")
 
 
-def marks(texts: DataFrame, window: int) -> DataFrame:
+def marks(texts: DataFrame, window: int, keep: Scratch) -> DataFrame:
     """(k1, k2, spans): spans of repeated words (in order, may overlap) of the distinct texts."""
-    runs = _anchor_rows(texts, window)
-    several = durable(runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
+    runs = keep(_anchor_rows(texts, window))
+    several = keep(runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
 
     def live(which: DataFrame) -> DataFrame:
-        found = runs.join(which.select("g"), "g").groupBy("k1").agg(F.collect_list(F.struct("g", "run")).alias("live"))
-        return texts.join(found, "k1")
-
-    found = _subtree_marks(_suffix_rows(live(several.where(F.col("n") <= GROUP_ROWS)), window, False), window)
-    hot = several.where(F.col("n") > GROUP_ROWS)
-    if hot.limit(1).count():
-        leaves = durable(_suffix_rows(live(hot), window, True).select("words", F.struct("k1", "k2", "first").alias("place")))
-        deep = leaves.groupBy("words").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("words")
-        # most leaves of a hot anchor may be of one window: deal each window's leaves over SALTS parts
-        salt = F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int")
-        spread = deep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = found.union(leaves.withColumn("salt", salt).join(spread, ["words", "salt"]).select("place.k1", "place.k2", F.col("place.first").alias("start"), (F.col("place.first") + window).alias("stop")))
+        found = runs.join(which.select("core"), "core").groupBy("k1", F.col("k2").alias("j2")).agg(F.collect_list(F.struct("core", "run")).alias("live"))
+        # on k1 alone, by which both are dealt already
+        return _run_rows(texts.join(found, "k1").where(F.col("k2") - F.col("j2") == 0), window)
+
+    found = _tree_marks(live(several.where(F.col("n") <= GROUP_ROWS)), window)
+    large = several.where(F.col("n") > GROUP_ROWS)
+    rows = live(large)
+    width = window - GRAM + 1
+    while not large.isEmpty() and width > 1:
+        rows, width = keep(_split_rows(rows, window)), -(-width // 2)
+        counts = keep(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
+        large = counts.where(F.col("n") > GROUP_ROWS)
+        found = found.union(_tree_marks(rows.join(counts.where(F.col("n") <= GROUP_ROWS).select("core"), "core"), window))
+        rows = rows.join(large.select("core"), "core")
+        if width == 1 and not large.isEmpty():  # one window a part: every place of it is repeated, if the part is no accident of hashing
+            whole = rows.groupBy("words").agg(F.count("*").alias("n")).where("n > 1").select("words")
+            found = found.union(rows.join(whole, "words").select("k1", "k2", F.col("first").alias("start"), (F.col("first") + window).alias("stop")))
     return found.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
@@ -278,9 +370,21 @@ def deduplicate(docs: DataFrame, window: int = 35, text_col: str = "text", id_co
 
     `spans` are the removed words, `kept` the words that stay, joined by single spaces.
     """
-    prepare(docs.sparkSession)
-    texts = _texts_table(docs, text_col)
-    marked = texts.join(marks(texts, window), ["k1", "k2"], "left")
+    spark = docs.sparkSession
+    prepare(spark)
+    name = f"arbora_texts_{uuid.uuid4().hex}"
+    path = shared_folder(spark, "texts")
+    with Scratch(spark, "substring") as keep:
+        try:
+            texts = _texts_table(docs, text_col, name, path)
+            return durable(_removed(docs, texts, marks(texts, window, keep), window, text_col, id_col, keep_text))
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove_folder(spark, path)
+
+
+def _removed(docs: DataFrame, texts: DataFrame, found: DataFrame, window: int, text_col: str, id_col: str, keep_text: bool) -> DataFrame:
+    marked = texts.join(found, ["k1", "k2"], "left")
 
     @F.pandas_udf(f"struct<{RESULT.replace(' bigint', ':bigint').replace(' string', ':string').replace('spans ', 'spans:')},kept:binary>")
     def remove(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -298,7 +402,7 @@ def deduplicate(docs: DataFrame, window: int = 35, text_col: str = "text", id_co
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "spans", "kept"])
 
     result = marked.select("k1", "k2", remove("words", "copies", "spans").alias("r")).select("k1", "k2", "r.*")
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keys = docs.select(F.col(id_col).alias("id"), F.xxhash64(raw).alias("k1"), F.crc32(raw.cast("binary")).alias("k2"))
+    raw = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    keys = docs.select(column(id_col).alias("id"), F.xxhash64(raw).alias("k1"), F.crc32(raw.cast("binary")).alias("k2"))
     out = keys.join(result, ["k1", "k2"])
     return out.select("id", "n_words", "n_removed", "kept_sha256", "spans", *([F.col("kept").cast("string").alias("kept")] if keep_text else []))

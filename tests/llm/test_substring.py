@@ -52,3 +52,69 @@ def test_against_all_windows(spark, monkeypatch, window, group):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.deduplicate(df).count() == 0
+
+
+def test_nothing_is_left_behind(spark):
+    import os
+
+    before = {t.name for t in spark.catalog.listTables()}, set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    df = spark.createDataFrame([(1, "a b " * 60, {"x": 1})], "doc_id long, text string, `a.b` map<string,int>")
+    assert substring.deduplicate(df).count() == 1
+    after = {t.name for t in spark.catalog.listTables()}, set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    assert before[0] == after[0] and not [x for x in after[1] - before[1] if x.startswith("arbora_")]
+
+
+def plain_nodes(runs, window):
+    """{repeated words: places} of the repeats that cannot be extended to either side, from all substrings."""
+    words = [w.split(b" ") for _, w in runs]
+    places = {}
+    for r, ((n, _), w) in enumerate(zip(runs, words, strict=True)):
+        for i in range(n):
+            for j in range(i + window, len(w) + 1):
+                places.setdefault(tuple(w[i:j]), []).append((r, i))
+    out = {}
+    for text, at in places.items():
+        after = {words[r][i + len(text)] if i + len(text) < len(words[r]) else (r, i) for r, i in at}
+        before = {words[r][i - 1] if i else (r,) for r, i in at}
+        if len(at) > 1 and len(after) > 1 and len(before) > 1:
+            out[text] = sorted(at)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_deep_nodes_are_the_maximal_repeats(seed):
+    rng = random.Random(seed)
+    window, runs = 3, []
+    for _ in range(rng.randrange(2, 9)):
+        n = rng.randrange(1, 12)
+        runs.append((n, b" ".join(rng.choice([b"a", b"ab", b"b", b"\x01c"]) for _ in range(n + window - 1))))
+    found = substring.maximal_repeats(runs, window)
+    words = [w.split(b" ") for _, w in runs]
+    assert {tuple(words[at[0][0]][at[0][1] : at[0][1] + depth]): at for depth, at in found} == plain_nodes(runs, window)
+    assert len(found) == len({tuple(words[at[0][0]][at[0][1] : at[0][1] + depth]) for depth, at in found})
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_spans_of_a_part(seed):
+    rng = random.Random(seed)
+    window, runs = 4, []
+    for _ in range(12):
+        n = rng.randrange(1, 9)
+        runs.append((n, b" ".join(rng.choice([b"a", b"ab", b"b"]) for _ in range(n + window - 1))))
+    runs += runs[:2]
+    words = [w.split(b" ") for _, w in runs]
+    count = Counter(tuple(w[i : i + window]) for (n, _), w in zip(runs, words, strict=True) for i in range(n))
+    for (n, _), w, spans in zip(runs, words, substring.subtree_repeats(runs, window), strict=True):
+        want = {p for i in range(n) if count[tuple(w[i : i + window])] > 1 for p in range(i, i + window)}
+        assert {p for a, b in spans for p in range(a, b)} == want
+
+
+def test_halves_keep_every_window_once():
+    window, n, before = 35, 17, 20
+    words = [b"w%d" % i for i in range(n + window - 1)]
+    rows = [(0, 0, window - substring.GRAM, 1, 2, 100, n, before, b" ".join(words))]
+    while rows[0][1] < rows[0][2]:
+        rows = [h for r in rows for h in substring.halves(r, window)]
+        assert sorted(p for r in rows for p in range(r[5], r[5] + r[6])) == list(range(100, 100 + n))
+        assert all(r[1] <= r[7] - i <= r[2] for r in rows for i in range(r[6]))
+        assert all(r[8].split(b" ") == words[r[5] - 100 : r[5] - 100 + r[6] + window - 1] for r in rows)
