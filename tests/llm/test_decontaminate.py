@@ -51,11 +51,32 @@ def test_one_pass(spark):
     check(spark, 10)
 
 
-def test_blocks_of_items(spark, monkeypatch):
+def test_joined_patterns(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 120)
     check(spark, 5)
 
 
+def test_a_benchmark_of_fifty_blocks(spark, monkeypatch):
+    """Both plans find the same, and the larger benchmark is never collected."""
+    rng = random.Random(3)
+    items = [(i, " ".join(f"v{rng.randrange(3000)}" for _ in range(rng.randrange(1, 60)))) for i in range(1500)]
+    texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(rng.randrange(80))) + (" " + items[rng.randrange(1500)][1] if i % 3 == 0 else "") for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted(map(tuple, decontaminate.annotate(docs, bench, "h").select("doc_id", "h.*").collect()))
+    want = rows()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", sum(len(t) for _, t in items) // 50)
+    monkeypatch.setattr(decontaminate, "_search_udf", None)
+    assert rows() == want and sum(r[2] > 0 for r in want) > 60
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", {"k": 1})], "`doc.id` long, text string, hits string, `text_k1` map<string,int>")
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, bench).count() == 0
+    assert decontaminate.decontaminate(docs, bench.limit(0)).columns == docs.columns
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
