@@ -10,14 +10,16 @@ corpus's suffix tree. That tree is built in parts, and only where it can have su
    at anchors are parted by their first GRAM words; equal windows have equal anchors at equal
    offsets, so windows of different parts never match. An anchor that occurs once in the corpus
    leads to no repeat and goes no further.
-3. A part of over GROUP_ROWS runs is split by longer prefixes: its windows are halved by how many
+3. Consecutive windows with one anchor are a run. Equal runs hang below the same nodes, so each is
+   one string of the tree, with the number of its places; one with several is a repeat as a whole.
+4. A part of over GROUP_ROWS strings is split by longer prefixes: its windows are halved by how many
    words they begin before the anchor, and each half is keyed by all words that its windows have in
    common, which are 6, then 21, 28, 32, 34 and at last all 35. A part that is still too large has
-   one window alone, which needs no tree: every place of it is repeated.
-4. Every other part is one task's suffix tree, held as sorted suffixes with their common prefixes;
+   one window alone, which needs no tree: every string with it is marked.
+5. Every other part is one task's suffix tree, held as sorted suffixes with their common prefixes;
    a stack makes the internal nodes of these. What lies above a leaf at `window` words or deeper is a
    repeat of that leaf's text; its words are marked.
-5. Marks return to their texts, and the covered words are removed.
+6. Marks return to the places of their strings, and the covered words are removed.
 
 Defined results: null, empty and short texts have no window and nothing removed; all of a text
 with an equal copy is removed if it has a window; repeated rows are copies; very long texts are cut
@@ -43,7 +45,7 @@ from .quality_classifier import groups_of_bytes
 
 #: Words of an anchor.
 GRAM = 6
-#: Runs of a part that becomes one task's suffix tree, at most; it only sizes the parts.
+#: Strings of a part that becomes one task's suffix tree, at most; it only sizes the parts.
 GROUP_ROWS = 8_192
 
 SPANS = "array<struct<start:bigint,stop:bigint>>"
@@ -132,21 +134,25 @@ def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("k1", "k2", "words").mapInArrow(find, "core long, k1 long, k2 long, run long")
 
 
-#: A run of windows: its part, the range of words that its windows begin before the anchor, its text,
-#: its first window, their number, the words before the anchor and all its words.
-ROW = "core long, low int, high int, k1 long, k2 long, first long, n long, before long, words binary"
-_FIELDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-_NAMES = ["core", "low", "high", "k1", "k2", "first", "n", "before", "words"]
+#: A run of windows in its text: its part, the digest of its words, its text and its first window. The
+#: words come with the first of equal runs of a task, as do the number of windows and the words before the anchor.
+RUN = "core long, d1 long, d2 long, k1 long, k2 long, first long, n long, before long, words binary"
+_RUN_FIELDS = {"core": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "first": pa.int64(), "n": pa.int64(), "before": pa.int64(), "words": pa.binary()}
+#: A string of a part, or some consecutive windows of it from window `first`; `low` to `high` words of
+#: its windows lie before the anchor.
+ROW = "core long, low int, high int, d1 long, d2 long, first long, n long, before long, words binary"
+_FIELDS = {"core": pa.int64(), "low": pa.int32(), "high": pa.int32(), "d1": pa.int64(), "d2": pa.int64(), "first": pa.int64(), "n": pa.int64(), "before": pa.int64(), "words": pa.binary()}
 
 
-def _batch(rows: Sequence[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_FIELDS)], names=_NAMES)
+def _batch(rows: Sequence[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(fields.values())], names=list(fields))
 
 
 def _run_rows(joined: DataFrame, window: int) -> DataFrame:
-    """ROW of every live run: (k1, k2, words, live) with the whole text's words -> the words of each run."""
+    """RUN of every live run, from (k1, k2, words, live) with the whole text's words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
             rows: list[tuple] = []
             for k1, k2, blob, live in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
@@ -154,19 +160,26 @@ def _run_rows(joined: DataFrame, window: int) -> DataFrame:
                 starts, ends = _edges(words)
                 for x in live:
                     first, n, before = x["run"] >> 32, x["run"] >> 16 & 0xFFFF, x["run"] & 0xFFFF
-                    rows.append((x["core"], 0, window - GRAM, k1, k2, first, n, before, words[starts[first] : ends[first + n + window - 2]]))
+                    text = words[starts[first] : ends[first + n + window - 2]]
+                    digest = hashlib.blake2b(text, digest_size=16).digest()
+                    d1, d2 = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+                    if digest in seen:
+                        rows.append((x["core"], d1, d2, k1, k2, first, None, None, None))
+                    else:
+                        seen.add(digest)
+                        rows.append((x["core"], d1, d2, k1, k2, first, n, before, text))
                 while len(rows) >= 4096:
-                    yield _batch(rows[:4096])
+                    yield _batch(rows[:4096], _RUN_FIELDS)
                     del rows[:4096]
-            yield _batch(rows)
+            yield _batch(rows, _RUN_FIELDS)
 
-    return joined.select("k1", "k2", "words", "live").mapInArrow(cut, ROW)
+    return joined.select("k1", "k2", "words", "live").mapInArrow(cut, RUN)
 
 
 def halves(row: tuple, window: int) -> list[tuple]:
     """The run's windows in two halves by the words they begin before the anchor, each with the longer
     prefix that all windows of its half share as its part."""
-    _, low, high, k1, k2, first, n, before, words = row
+    _, low, high, d1, d2, first, n, before, words = row
     starts, ends = _edges(words)
     middle, out = (low + high) // 2, []
     for a, b in ((low, middle), (middle + 1, high)):
@@ -174,7 +187,7 @@ def halves(row: tuple, window: int) -> list[tuple]:
         if a <= b and i <= j:
             shared = words[starts[before - a] : ends[before + window - b - 1]]
             core = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=bytes([a, b])).digest(), "big", signed=True)
-            out.append((core, a, b, k1, k2, first + i, j - i + 1, before - i, words[starts[i] : ends[j + window - 1]]))
+            out.append((core, a, b, d1, d2, first + i, j - i + 1, before - i, words[starts[i] : ends[j + window - 1]]))
     return out
 
 
@@ -183,9 +196,9 @@ def _split_rows(rows: DataFrame, window: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                yield _batch([half for row in zip(*(part.column(i).to_pylist() for i in range(len(_NAMES))), strict=True) for half in halves(row, window)])
+                yield _batch([half for row in zip(*(part.column(i).to_pylist() for i in range(len(_FIELDS))), strict=True) for half in halves(row, window)], _FIELDS)
 
-    return rows.select(*_NAMES).mapInArrow(split, ROW)
+    return rows.select(*_FIELDS).mapInArrow(split, ROW)
 
 
 def _edges(words: bytes) -> tuple[list[int], list[int]]:
@@ -289,8 +302,11 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+_SPANS = {"d1": pa.int64(), "d2": pa.int64(), "start": pa.int64(), "stop": pa.int64()}
+
+
 def _tree_marks(rows: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, start, stop) of the spans that the suffix trees of the parts mark."""
+    """(d1, d2, start, stop) of the spans of their strings that the suffix trees of the parts mark."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, held = None, []
@@ -298,15 +314,10 @@ def _tree_marks(rows: DataFrame, window: int) -> DataFrame:
 
         def close() -> None:
             if len(held) > 1 or (held and held[0][3] > 1):
-                for (k1, k2, first, _, _), spans in zip(held, subtree_repeats([(r[3], r[4]) for r in held], window), strict=True):
-                    out.extend((k1, k2, first + a, first + b) for a, b in spans)
+                for (d1, d2, first, _, _), spans in zip(held, subtree_repeats([(r[3], r[4]) for r in held], window), strict=True):
+                    out.extend((d1, d2, first + a, first + b) for a, b in spans)
             held.clear()
 
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["k1", "k2", "start", "stop"])
-            out.clear()
-            return batch
-
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if row[0] != core:
@@ -314,38 +325,49 @@ def _tree_marks(rows: DataFrame, window: int) -> DataFrame:
                     core = row[0]
                 held.append(row[1:])
             if len(out) > 10_000:
-                yield flush()
+                yield _batch(out, _SPANS)
+                out.clear()
         close()
-        yield flush()
+        yield _batch(out, _SPANS)
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    return rows.select("core", "k1", "k2", "first", "n", "words").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(walk, "k1 long, k2 long, start long, stop long")
+    return rows.select("core", "d1", "d2", "first", "n", "words").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(walk, "d1 long, d2 long, start long, stop long")
+
+
+def string_marks(strings: DataFrame, window: int, keep: Scratch) -> DataFrame:
+    """ROW of all strings of all parts -> (d1, d2, start, stop): spans that occur in another place too."""
+    rows, width, found = strings, window - GRAM + 1, None
+    while True:
+        sizes = keep(rows.groupBy("core").agg(F.count("*").alias("size")))
+        large = sizes.where(F.col("size") > GROUP_ROWS)
+        fits = rows if large.isEmpty() else rows.join(large.select("core"), "core", "left_anti")
+        marked = _tree_marks(fits, window)
+        found = marked if found is None else found.union(marked)
+        if large.isEmpty():
+            return found
+        rows = rows.join(large.select("core"), "core", "left_semi")
+        if width == 1:  # one window a part: every string with it is marked, if the part is no accident of hashing
+            whole = rows.groupBy("words").agg(F.count("*").alias("size")).where("size > 1").select("words")
+            return found.union(rows.join(whole, "words").select("d1", "d2", F.col("first").alias("start"), (F.col("first") + window).alias("stop")))
+        rows, width = keep(_split_rows(rows, window)), -(-width // 2)
 
 
 def marks(texts: DataFrame, window: int, keep: Scratch) -> DataFrame:
     """(k1, k2, spans): spans of repeated words (in order, may overlap) of the distinct texts."""
-    runs = keep(_anchor_rows(texts, window))
-    several = keep(runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
-
-    def live(which: DataFrame) -> DataFrame:
-        found = runs.join(which.select("core"), "core").groupBy("k1", F.col("k2").alias("j2")).agg(F.collect_list(F.struct("core", "run")).alias("live"))
-        # on k1 alone, by which both are dealt already
-        return _run_rows(texts.join(found, "k1").where(F.col("k2") - F.col("j2") == 0), window)
-
-    found = _tree_marks(live(several.where(F.col("n") <= GROUP_ROWS)), window)
-    large = several.where(F.col("n") > GROUP_ROWS)
-    rows = live(large)
-    width = window - GRAM + 1
-    while not large.isEmpty() and width > 1:
-        rows, width = keep(_split_rows(rows, window)), -(-width // 2)
-        counts = keep(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
-        large = counts.where(F.col("n") > GROUP_ROWS)
-        found = found.union(_tree_marks(rows.join(counts.where(F.col("n") <= GROUP_ROWS).select("core"), "core"), window))
-        rows = rows.join(large.select("core"), "core")
-        if width == 1 and not large.isEmpty():  # one window a part: every place of it is repeated, if the part is no accident of hashing
-            whole = rows.groupBy("words").agg(F.count("*").alias("n")).where("n > 1").select("words")
-            found = found.union(rows.join(whole, "words").select("k1", "k2", F.col("first").alias("start"), (F.col("first") + window).alias("stop")))
-    return found.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    anchored = keep(_anchor_rows(texts, window))
+    several = anchored.groupBy("core").agg(F.count("*").alias("size")).where("size > 1").select("core")
+    live = anchored.join(several, "core").groupBy("k1", F.col("k2").alias("j2")).agg(F.collect_list(F.struct("core", "run")).alias("live"))
+    # on k1 alone, by which both are dealt already
+    runs = keep(_run_rows(texts.join(live, "k1").where(F.col("k2") - F.col("j2") == 0), window))
+    keep.drop(before=1)
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    strings = keep(runs.groupBy("core", "d1", "d2").agg(F.count("*").alias("places"), first("n"), first("before"), first("words")))
+    rows = strings.select("core", F.lit(0).alias("low"), F.lit(window - GRAM).alias("high"), "d1", "d2", F.lit(0).cast("long").alias("first"), "n", "before", "words")
+    whole = strings.where("places > 1").select("d1", "d2", F.lit(0).cast("long").alias("start"), (F.col("n") + (window - 1)).alias("stop"))
+    spans = string_marks(rows, window, keep).union(whole).groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    placed = runs.select("d1", "d2", "k1", "k2", "first").join(spans, ["d1", "d2"])
+    each = placed.select("k1", "k2", "first", F.explode("spans").alias("s"))
+    return each.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct((F.col("first") + F.col("s.start")).alias("start"), (F.col("first") + F.col("s.stop")).alias("stop")))).alias("spans"))
 
 
 RESULT = f"n_words bigint, n_removed bigint, kept_sha256 string, spans {SPANS}"
