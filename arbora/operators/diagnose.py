@@ -152,6 +152,23 @@ def squared_errors(scored_active: DataFrame, scored_shadow: DataFrame, log: Data
     return chosen.join(a, ["row_id", "arm"]).join(s, ["row_id", "arm"]).select("row_id", error("_a").alias("sq_err_active"), error("_s").alias("sq_err_shadow"))
 
 
+def counter_predictions(log: DataFrame, posterior: DataFrame, levels: int, eta: float = 0.5) -> DataFrame:
+    """`log` with `preds`: for the arm that was chosen, the sum of eta**l * theta over the first 1, 2, ...
+    `levels` levels. One lookup a level by (code, arm); arms that were not chosen are never scored."""
+    rows, sums = log, [F.lit(0.0)]
+    for level in range(levels):
+        look = posterior.where(F.col("level") == level).select(F.col("code").alias("_code"), F.col("arm").alias("_arm"), F.col("theta").alias(f"_theta_{level}"))
+        rows = rows.join(look, (F.get("codes", F.lit(level)) == F.col("_code")) & (F.col("arm") == F.col("_arm")), "left").drop("_code", "_arm")
+        sums.append(sums[-1] + eta**level * F.coalesce(f"_theta_{level}", F.lit(0.0)))
+    return rows.withColumn("preds", F.array(*sums[1:])).drop(*[f"_theta_{level}" for level in range(levels)])
+
+
+def depth_errors(predicted: DataFrame, active: int, shadow: int, *keep: str) -> DataFrame:
+    """(keep, sq_err_active, sq_err_shadow) at two depths, from `counter_predictions`."""
+    error = lambda depth: F.pow(F.col("reward") - sigmoid_clip(F.get("preds", F.lit(depth - 1))), F.lit(2.0))
+    return predicted.select(*keep, error(active).alias("sq_err_active"), error(shadow).alias("sq_err_shadow"))
+
+
 # ---------------------------------------------------------------------------
 # Promotion tests on windows of differences active - shadow of squared errors.
 
@@ -208,7 +225,7 @@ def freedman_log_p() -> Column:
 
 
 def paired_t_promotion(moments: DataFrame, alpha: float) -> DataFrame:
-    """`moments` with t and promote_t: one-sided p below alpha; without spread a positive mean promotes."""
+    """`moments` with t, p and promote_t: one-sided p below alpha; without spread a positive mean promotes."""
 
     @F.pandas_udf("double")
     def tail(t: pd.Series, n: pd.Series) -> pd.Series:
@@ -216,7 +233,8 @@ def paired_t_promotion(moments: DataFrame, alpha: float) -> DataFrame:
 
     p = tail(F.col("t"), F.col("n").cast("double"))
     flat = F.coalesce(F.col("sd"), F.lit(0.0)) == 0
-    return moments.withColumn("t", t_statistic()).withColumn("promote_t", F.when(flat, F.col("mean") > 0).otherwise((F.col("mean") > 0) & (p < alpha)))
+    tested = moments.withColumn("t", t_statistic()).withColumn("p", p)
+    return tested.withColumn("promote_t", F.when(flat, F.col("mean") > 0).otherwise((F.col("mean") > 0) & (F.col("p") < alpha)))
 
 
 def freedman_promotion(moments: DataFrame, alpha: float) -> DataFrame:

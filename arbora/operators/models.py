@@ -83,9 +83,9 @@ def fit_ridge_multi(df: DataFrame, n_out: int, alpha: float = 1.0, label_col: st
     return w, share - w @ mean
 
 
-def _pairs(encoded: DataFrame, depth: int) -> Column:
-    """(level, code) of the first levels as one position: level * 1,000,000 + code."""
-    return F.transform(F.slice("codes", 1, depth), lambda c, l: l * 1_000_000 + c)
+def _pairs(encoded: DataFrame, depth: int, nbits: int) -> Column:
+    """(level, code) of the first levels as one position: level * 2**nbits + code."""
+    return F.transform(F.slice("codes", 1, depth), lambda c, l: l * (1 << nbits) + c)
 
 
 def fit_additive_ols(encoded: DataFrame, n_arms: int, depth: int, nbits: int, ridge: float = 1e-8) -> list[np.ndarray]:
@@ -93,16 +93,15 @@ def fit_additive_ols(encoded: DataFrame, n_arms: int, depth: int, nbits: int, ri
     (2**nbits, n_arms) each, of least norm. Counts of code pairs and of codes by label are grouped
     sums; the design of indicators is never built."""
     b = 1 << nbits
-    flat = encoded.select("label", _pairs(encoded, depth).alias("p"))
+    flat = encoded.select("label", _pairs(encoded, depth, nbits).alias("p"))
     pairs = flat.select("p", F.explode("p").alias("i")).select("i", F.explode("p").alias("j")).where("i <= j").groupBy("i", "j").count().collect()
     sides = flat.select("label", F.explode("p").alias("i")).groupBy("i", "label").count().collect()
-    at = lambda v: (v // 1_000_000) * b + v % 1_000_000
     g, h = np.zeros((depth * b, depth * b)), np.zeros((depth * b, n_arms))
     for r in pairs:
-        g[at(r["i"]), at(r["j"])] = g[at(r["j"]), at(r["i"])] = r["count"]
+        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["count"]
     for r in sides:
         if r["label"] is not None and 0 <= r["label"] < n_arms:
-            h[at(r["i"]), r["label"]] = r["count"]
+            h[r["i"], r["label"]] = r["count"]
     theta = np.linalg.lstsq(g + ridge * np.eye(len(g)), h, rcond=1e-12)[0]
     return list(theta.reshape(depth, b, n_arms))
 

@@ -85,6 +85,20 @@ def shuffle_rounds(df: DataFrame, seed: int, run_cols: Sequence[str] = (), id_co
     return keyed.join(offsets, [*run_cols, "_b"]).withColumn("round", (F.row_number().over(inside) + F.col("_off")).cast("bigint")).drop("_u", "_b", "_off")
 
 
+def number_rounds(df: DataFrame, run_cols: Sequence[str], order_cols: Sequence[str], slice_col: Column, round_col: str = "round") -> DataFrame:
+    """`df` with the round of each row, 1 .. T within its run in the order of `order_cols`.
+
+    `slice_col` is a coarse part of that order, such as the hour of a time stamp: a run's rows are
+    numbered slice by slice and shifted by the rows of earlier slices, so a long run is not sorted in
+    one task.
+    """
+    keyed = df.withColumn("_slice", slice_col)
+    before = Window.partitionBy(*run_cols).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keyed.groupBy(*run_cols, "_slice").count().withColumn("_off", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    inside = Window.partitionBy(*run_cols, "_slice").orderBy(*order_cols)
+    return keyed.join(offsets, [*run_cols, "_slice"]).withColumn(round_col, (F.row_number().over(inside) + F.col("_off")).cast("bigint")).drop("_slice", "_off")
+
+
 def cap_rounds(df: DataFrame, max_rounds: int) -> DataFrame:
     """The first `max_rounds` rounds; 0 keeps all."""
     return df.where(F.col("round") <= max_rounds) if max_rounds else df
@@ -126,11 +140,17 @@ def inject_label_noise(df: DataFrame, rate: float, n_arms: int, seed: int, id_co
     return df.withColumn(label_col, F.when(noise.uniform(id_col, seed, 3) < rate, redrawn).otherwise(F.col(label_col)))
 
 
-def gaussian_clusters(spark: SparkSession, n: int, d: int, k: int, seed: int, spread: float = 3.0) -> DataFrame:
-    """n // k rows of each of k classes around standard normal centres times `spread`."""
-    rows = spark.range(n // k * k).withColumnRenamed("id", "row_id").withColumn("label", (F.col("row_id") % k).cast("int"))
+def cluster_points(rows: DataFrame, d: int, k: int, seed: int, spread: float = 3.0) -> DataFrame:
+    """(row_id, x, label) for rows with a row_id: standard normal points around k standard normal centres
+    times `spread`; the class is the row_id modulo k."""
+    labelled = rows.withColumn("label", F.pmod("row_id", F.lit(k)).cast("int"))
     point = [noise.normal("row_id", seed, j) + spread * noise.normal("label", seed + 1, j) for j in range(d)]
-    return rows.select("row_id", F.array(*point).alias("x"), "label")
+    return labelled.select("row_id", F.array(*point).alias("x"), "label")
+
+
+def gaussian_clusters(spark: SparkSession, n: int, d: int, k: int, seed: int, spread: float = 3.0) -> DataFrame:
+    """n // k rows of each of k classes (see `cluster_points`)."""
+    return cluster_points(spark.range(n // k * k).withColumnRenamed("id", "row_id"), d, k, seed, spread)
 
 
 def linear_contexts(spark: SparkSession, n: int, d: int, k: int, seed: int) -> DataFrame:

@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.functions import noise, vectors
-from arbora.functions.lineage import durable, ensure_checkpoint_dir
+from arbora.functions.lineage import durable, shared_folder
 from arbora.operators import decisions, diagnose, models, posterior, prepare, quantize, score
 from arbora.plans import inputs
-from arbora.plans.inputs import ARMS, EMB, EVT, ITERATIONS, LEVELS, LIN, NBITS, ORD, book_sql, log_sql
+from arbora.plans.inputs import ARMS, EMB, EVT, ITERATIONS, LEVELS, LIN, NBITS, ORD, additive_sql, book_sql, encode_sql, log_sql
 from arbora.sources import results, tables
 from arbora.sources.text import read_counted_text
 from arbora.streaming import micro
@@ -93,7 +93,7 @@ def delta_by_depth(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/arbora_{name}_{uuid4().hex}"
+    return shared_folder(spark, name)
 
 
 @query("SELECT vec_id AS row_id, label, len(embedding)::INT AS width, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) + 0.0 AS total FROM embeddings")
@@ -102,12 +102,11 @@ def s1_read_contexts(spark, sf_dir):
     return inputs.embeddings(spark, sf_dir).select("row_id", "label", F.size("x").alias("width"), (F.round(total, 4) + 0.0).alias("total"))
 
 
-@query("SELECT CASE l_returnflag WHEN 'N' THEN 1 ELSE 0 END AS label, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1")
+@query("SELECT (l_returnflag = 'N')::INT AS label, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1")
 def s2_read_counted_text(spark, sf_dir):
-    """Two of the three flags of lineitem written as counted text, and read back."""
-    li = inputs.lineitem(spark, sf_dir).where("label < 2")
-    n1 = li.where("label = 1").count()
-    n0 = li.count() - n1
+    """All of lineitem written as counted text, flag N as the signal, and read back."""
+    li = inputs.lineitem(spark, sf_dir).withColumn("label", (F.col("label") == 1).cast("int"))
+    n0, n1 = li.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
     line = F.array_join(F.transform("x", lambda v: v.cast("string")), " ")
     head = spark.createDataFrame([(2, f" {n1} {n0}")], "label int, value string")
     path = _scratch(spark, "counted")
@@ -256,6 +255,13 @@ def p16_inject_label_noise(spark, sf_dir):
     return prepare.inject_label_noise(inputs.orders(spark, sf_dir), 0.1, 5, 6).select("row_id", "label")
 
 
+@query(f"WITH {ORD}, r AS (SELECT row_id, (row_id % 5)::INT AS label FROM ctx) SELECT row_id, label, " + ", ".join(s6(f"{noise.normal_sql('row_id', 11, j)} + 3.0 * {noise.normal_sql('label', 12, j)}") + f" AS x{j}" for j in range(3)) + " FROM r")
+def p17_synthetic_contexts(spark, sf_dir):
+    """Load-test points, one for every order."""
+    points = prepare.cluster_points(inputs.orders(spark, sf_dir).select("row_id"), 3, 5, 11)
+    return points.select("row_id", "label", *[r6(F.get("x", F.lit(j))).alias(f"x{j}") for j in range(3)])
+
+
 # ------------------------------------------------------------- quantisation
 
 
@@ -294,6 +300,13 @@ def q6_code_histogram(spark, sf_dir):
     return quantize.code_histogram(inputs.encoded(durable(inputs.embeddings(spark, sf_dir)), False), ["label"]).select("level", "code", "label", "n")
 
 
+@query(f"WITH {ORD}, {book_sql(4, 4, 3)} SELECT row_id, codes[1] + 16 * codes[2] + 256 * codes[3] + 4096 * codes[4] AS packed FROM coded")
+def q2_encode_deep(spark, sf_dir):
+    """Four levels of 16 codes, packed."""
+    contexts = durable(inputs.orders(spark, sf_dir))
+    return quantize.encode(contexts, inputs.codebook(contexts, 4, 4, 3)).select("row_id", vectors.pack_codes(F.col("codes"), 4).alias("packed"))
+
+
 # --------------------------------------------------------------- posteriors
 
 
@@ -376,11 +389,34 @@ def a8_levelwise_diag_fit(spark, sf_dir):
     return fit.select("level", "code", "arm", F.posexplode(F.arrays_zip("prec", "f")).alias("i", "z")).select("level", "code", "arm", "i", r6("z.prec").alias("prec"), r6("z.f").alias("f"))
 
 
-@query(f"{_CODED_LOG} SELECT codes[1] AS code, arm, count(*) AS n, {s6('1 + sum(residuals[1][1] * residuals[1][1])')} AS a00, {s6('sum(residuals[1][1] * residuals[1][2])')} AS a01, {s6('1 + count(*)')}::DOUBLE AS a_last, {s6('sum((reward - 0.5) * residuals[1][1])')} AS f0 FROM log GROUP BY codes[1], arm")
+_ORDER_LOG = f"WITH {ORD}, {book_sql()}, {log_sql(5, source='coded')}"
+
+
+def _order_log(spark, sf_dir) -> DataFrame:
+    return durable(inputs.logged(inputs.encoded(durable(inputs.orders(spark, sf_dir))), 5))
+
+
+def _linear_sql(levels: int = LEVELS, eta: float = 0.5) -> str:
+    """CTEs s<l> (sums of two features and an intercept) and w<l> (weights and the inverse), level by level."""
+    out = ["l0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS p FROM log)"]
+    for level in range(levels):
+        lam, u, v, t = f"{0.25**level}::DOUBLE", f"residuals[{level + 1}][1]", f"residuals[{level + 1}][2]", "(reward - least(greatest(p + 0.5, 0), 1))"
+        out.append(f"s{level} AS MATERIALIZED (SELECT codes[{level + 1}] AS code, arm, count(*) AS n, {lam} + sum({u} * {u}) AS a, sum({u} * {v}) AS b, sum({u}) AS c, {lam} + sum({v} * {v}) AS d, sum({v}) AS e, {lam} + count(*) AS f, sum({t} * {u}) AS g, sum({t} * {v}) AS h, sum({t}) AS i FROM l{level} GROUP BY 1, 2)")
+        out.append(f"i{level} AS (SELECT *, d * f - e * e AS va, c * e - b * f AS vb, b * e - c * d AS vc, a * f - c * c AS vd, b * c - a * e AS ve, a * d - b * b AS vf, a * (d * f - e * e) + b * (c * e - b * f) + c * (b * e - c * d) AS det FROM s{level})")
+        out.append(f"w{level} AS MATERIALIZED (SELECT *, (va * g + vb * h + vc * i) / det AS m0, (vb * g + vd * h + ve * i) / det AS m1, (vc * g + ve * h + vf * i) / det AS m2 FROM i{level})")
+        out.append(f"l{level + 1} AS MATERIALIZED (SELECT l.*, p + {eta**level} * (m0 * {u} + m1 * {v} + m2) AS p FROM (SELECT * EXCLUDE (p) FROM l{level}) l JOIN l{level} o USING (row_id) JOIN w{level} w ON w.code = l.codes[{level + 1}] AND w.arm = l.arm)".replace(f"{u} + m1 * {v}", f"l.{u} + m1 * l.{v}"))
+    return ", ".join(out)
+
+
+_A9 = [f"SELECT {level} AS level, code, arm, n, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in 'abcdefghi')} FROM s{level}" for level in range(LEVELS)]
+
+
+@query(f"{_ORDER_LOG}, {_linear_sql()} {' UNION ALL '.join(_A9)}")
 def a9_levelwise_linear_fit(spark, sf_dir):
-    fit = posterior.levelwise_linear_fit(_coded_log(spark, sf_dir), LEVELS, ARMS, NBITS).where("level = 0")
-    at = lambda c, i: r6(F.get(c, F.lit(i)))
-    return fit.select("code", "arm", "n", at("a", 0).alias("a00"), at("a", 1).alias("a01"), r6(F.element_at("a", -1)).alias("a_last"), at("f", 0).alias("f0"))
+    """All levels; every cell of the matrices of two features and an intercept."""
+    fit = posterior.levelwise_linear_fit(_order_log(spark, sf_dir), LEVELS, 5, NBITS)
+    at = {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("a", 4), "e": ("a", 5), "f": ("a", 8), "g": ("f", 0), "h": ("f", 1), "i": ("f", 2)}
+    return fit.select("level", "code", "arm", "n", *[(F.round(F.get(c, F.lit(i)), 4) + 0.0).alias(name) for name, (c, i) in at.items()])
 
 
 # two features: the inverse has a closed form, so DuckDB can follow
@@ -431,27 +467,44 @@ def c3_score_diag(spark, sf_dir):
     return score.thompson(score.score_diag(contexts, p), 0.1, 8).select("row_id", "arm", r6("mean").alias("mean"), r6("score").alias("score"))
 
 
-@query()
+def _gamma_sql(shape: str, *keys: str | int) -> str:
+    d, tries = f"({shape} - 1.0 / 3)", []
+    for t in range(score.GAMMA_TRIES):
+        z, u = noise.normal_sql(*keys, 100 + t), noise.uniform_sql(*keys, 200 + t)
+        v = f"pow(1 + {z} / sqrt(9 * {d}), 3)"
+        tries.append(f"CASE WHEN {v} > 0 AND ln({u}) < {z} * {z} / 2 + {d} - {d} * {v} + {d} * ln(CASE WHEN {v} > 0 THEN {v} ELSE 1 END) THEN {d} * {v} END")
+    return f"coalesce({', '.join(tries)}, {d})"
+
+
+_NIG = _nig_sql("evt", 5).replace(s6("coalesce(s, 0) / (1 + coalesce(n, 0))"), "coalesce(s, 0) / (1 + coalesce(n, 0))").replace("(round(1 + coalesce(ss", "((1 + coalesce(ss").replace("END, 6) + 0.0) AS beta", "END)) AS beta")
+_NIG_DRAWS = f"WITH po AS MATERIALIZED ({_NIG}), dr AS (SELECT unnest(range((SELECT count(*) FROM events))) AS draw), v AS MATERIALIZED (SELECT draw, arm, mu, lam, beta / greatest({_gamma_sql('alpha', 'draw', 'arm', 3)}, 1e-10) AS variance FROM dr, po), dn AS (SELECT draw, arm, mu + {noise.normal_sql('draw', 'arm', 3)} * sqrt(variance / lam) AS mean, variance FROM v)"
+
+
+def _nig_draws(spark, sf_dir) -> tuple[DataFrame, int]:
+    e = inputs.events(spark, sf_dir)
+    return durable(posterior.nig_posterior(e, 5)), e.count()
+
+
+@query(f"{_NIG_DRAWS} SELECT draw, arm, {s6('mean')} AS mean, {s6('variance')} AS variance FROM dn")
 def c4_sample_nig_means(spark, sf_dir):
-    p = durable(posterior.nig_posterior(inputs.events(spark, sf_dir), 5))
-    return score.sample_nig_means(p, 2000, 3).groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("mean"), 2).alias("mean"))
+    """As many draws as there are events."""
+    return score.sample_nig_means(*_nig_draws(spark, sf_dir), 3).select("draw", "arm", r6("mean").alias("mean"), r6("variance").alias("variance"))
 
 
-@query()
+@query(f"{_NIG_DRAWS} SELECT draw, (-(max(struct_pack(s := mean, a := -arm)).a))::INT AS arm FROM dn GROUP BY draw")
 def c5_select_ts_nig(spark, sf_dir):
-    p = durable(posterior.nig_posterior(inputs.events(spark, sf_dir), 5))
-    return score.select_ts_nig(p, 2000, 3)
+    return score.select_ts_nig(*_nig_draws(spark, sf_dir), 3)
 
 
-def _unseen(value: str, prior: str) -> str:
-    return f"CASE WHEN t.arm IS NULL THEN {prior} ELSE {value} END"
+def _counter_scores_sql(seed: int) -> str:
+    return (
+        f"{_CODED_LOG}, {_counters_sql()}, ar AS (SELECT unnest(range({ARMS}))::INT AS arm), rows AS (SELECT row_id, arm, unnest([0, 1]) AS level, unnest(codes) AS code FROM coded, ar), "
+        "sc AS (SELECT row_id, r.arm, r.level, coalesce(theta, 0) AS mean, 1 / (coalesce(n, 0) + 1.0) AS var FROM rows r LEFT JOIN cnt t ON t.level = r.level AND t.code = r.code AND t.arm = r.arm), "
+        f"fs AS (SELECT row_id, arm, sum(0.5 ** level * mean) AS mean, sum(0.5 ** level * (mean + 0.1 * sqrt(var) * {noise.normal_sql('row_id', 'arm', 'level', seed)})) AS score FROM sc GROUP BY row_id, arm)"
+    )
 
 
-@query(
-    f"{_CODED_LOG}, {_counters_sql()}, ar AS (SELECT unnest(range({ARMS}))::INT AS arm), rows AS (SELECT row_id, arm, unnest([0, 1]) AS level, unnest(codes) AS code FROM coded, ar), "
-    f"sc AS (SELECT row_id, r.arm, r.level, coalesce(theta, 0) AS mean, 1 / (coalesce(n, 0) + 1.0) AS var FROM rows r LEFT JOIN cnt t ON t.level = r.level AND t.code = r.code AND t.arm = r.arm) "
-    f"SELECT row_id, arm, {s6('sum(0.5 ** level * mean)')} AS mean, {s6('sum(0.5 ** level * (mean + 0.1 * sqrt(var) * ' + noise.normal_sql('row_id', 'arm', 'level', 2) + '))')} AS score FROM sc GROUP BY row_id, arm"
-)
+@query(f"{_counter_scores_sql(2)} SELECT row_id, arm, {s6('mean')} AS mean, {s6('score')} AS score FROM fs")
 def c6_score_counter_rq(spark, sf_dir):
     log = _coded_log(spark, sf_dir)
     fit = posterior.levelwise_counter_fit(log, LEVELS, ARMS, NBITS)
@@ -459,20 +512,30 @@ def c6_score_counter_rq(spark, sf_dir):
 
 
 @query(
-    f"{_CODED_LOG}, {_diag_sql()}, ar AS (SELECT unnest(range({ARMS}))::INT AS arm), rows AS (SELECT row_id, arm, level, codes[level + 1] AS code, unnest(list_append(residuals[level + 1], 1.0)) AS v, generate_subscripts(list_append(residuals[level + 1], 1.0), 1) - 1 AS i FROM coded, ar, (SELECT unnest([0, 1]) AS level)) "
-    f"SELECT row_id, r.arm AS arm, {s6('sum(0.5 ** r.level * coalesce(f / prec, 0) * v)')} AS mean FROM rows r LEFT JOIN (SELECT * FROM d0 UNION ALL SELECT * FROM d1) t ON t.level = r.level AND t.code = r.code AND t.arm = r.arm AND t.i = r.i GROUP BY row_id, r.arm"
+    f"{_CODED_LOG}, {_diag_sql()}, ar AS (SELECT unnest(range({ARMS}))::INT AS arm), rows AS (SELECT row_id, arm, level, codes[level + 1] AS code, unnest(list_append(residuals[level + 1], 1.0)) AS v, generate_subscripts(list_append(residuals[level + 1], 1.0), 1) - 1 AS i FROM coded, ar, (SELECT unnest([0, 1]) AS level))"
+    f", lv AS (SELECT row_id, r.arm AS arm, r.level AS level, sum(coalesce(f / prec, 0) * v) AS m, sum(v * v / coalesce(prec, 1)) AS q FROM rows r LEFT JOIN (SELECT * FROM d0 UNION ALL SELECT * FROM d1) t ON t.level = r.level AND t.code = r.code AND t.arm = r.arm AND t.i = r.i GROUP BY 1, 2, 3) "
+    f"SELECT row_id, arm, {s6('sum(0.5 ** level * m)')} AS mean, {s6('sum(0.5 ** level * (m + 0.1 * sqrt(greatest(q, 0)) * ' + noise.normal_sql('row_id', 'arm', 'level', 2) + '))')} AS score FROM lv GROUP BY row_id, arm"
 )
 def c7_score_diag_rq(spark, sf_dir):
     log = _coded_log(spark, sf_dir)
     fit = posterior.levelwise_diag_fit(log, LEVELS, ARMS, NBITS)
-    return score.score_diag_rq(log, fit, LEVELS, ARMS).select("row_id", "arm", r6("mean").alias("mean"))
+    return score.score_diag_rq(log, fit, LEVELS, ARMS, nu=0.1, seed=2).select("row_id", "arm", r6("mean").alias("mean"), r6("score").alias("score"))
 
 
-@query()
+_LEVEL_ROWS = " UNION ALL ".join(f"SELECT row_id, {level} AS level, codes[{level + 1}] AS code, residuals[{level + 1}][1] AS u, residuals[{level + 1}][2] AS v FROM coded" for level in range(LEVELS))
+_LEVEL_MODELS = " UNION ALL ".join(f"SELECT {level} AS level, * FROM w{level}" for level in range(LEVELS))
+
+
+@query(
+    f"{_ORDER_LOG}, {_linear_sql()}, ar AS (SELECT unnest(range(5))::INT AS arm), lr AS ({_LEVEL_ROWS}), lv AS (SELECT row_id, ar.arm AS arm, lr.level AS level, coalesce(m0 * u + m1 * v + m2, 0) AS m, "
+    "coalesce((va * u * u + 2 * vb * u * v + 2 * vc * u + vd * v * v + 2 * ve * v + vf) / det, (u * u + v * v + 1) / 0.25 ** lr.level) + 1e-6 * 10.0 ** lr.level * (u * u + v * v + 1) / 0.01 AS q "
+    f"FROM lr CROSS JOIN ar LEFT JOIN ({_LEVEL_MODELS}) w ON w.level = lr.level AND w.code = lr.code AND w.arm = ar.arm) "
+    f"SELECT row_id, arm, {s6('sum(0.5 ** level * m)')} AS mean, {s6('sum(0.5 ** level * (m + 0.1 * sqrt(greatest(q, 0)) * ' + noise.normal_sql('row_id', 'arm', 'level', 2) + '))')} AS score FROM lv GROUP BY row_id, arm"
+)
 def c8_score_linear_rq(spark, sf_dir):
-    log = _coded_log(spark, sf_dir)
-    fit = posterior.levelwise_linear_fit(log, LEVELS, ARMS, NBITS)
-    return score.score_linear_rq(log, fit, LEVELS, ARMS, nu=0.1, seed=2).select("row_id", "arm", r6("mean").alias("mean"), r6("score").alias("score"))
+    log = _order_log(spark, sf_dir)
+    fit = posterior.levelwise_linear_fit(log, LEVELS, 5, NBITS)
+    return score.score_linear_rq(log, fit, LEVELS, 5, nu=0.1, seed=2).select("row_id", "arm", r6("mean").alias("mean"), r6("score").alias("score"))
 
 
 @query(f"{_SOLVED} SELECT row_id, arm, {s6('mean + 1.0 * sqrt(greatest(var, 0))')} AS score FROM sc")
@@ -519,14 +582,14 @@ def c13_select_uniform(spark, sf_dir):
 def m1_fit_reward_gbt(spark, sf_dir):
     """The summed importance of the fitted trees' features."""
     log = durable(inputs.logged(inputs.orders(spark, sf_dir), 5))
-    model = models.fit_reward_gbt(log, 5, trees=10)
+    model = models.fit_reward_gbt(log, 5)
     return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(model.featureImportances.toArray())], "feature int, importance double")
 
 
 @query()
 def m2_predict_reward(spark, sf_dir):
     contexts = durable(inputs.logged(inputs.orders(spark, sf_dir), 5))
-    model = models.fit_reward_gbt(contexts, 5, trees=10)
+    model = models.fit_reward_gbt(contexts, 5)
     return score.choose(models.predict_reward(model, contexts.select("row_id", "x"), 5))
 
 
@@ -534,7 +597,7 @@ def m2_predict_reward(spark, sf_dir):
 def m3_refit_every(spark, sf_dir):
     log = durable(prepare.shuffle_rounds(inputs.logged(inputs.orders(spark, sf_dir), 5), 4))
     every = max(1, log.count() // 3)
-    return models.refit_every(log, log, 5, every, trees=5).select("row_id", "round", "arm")
+    return models.refit_every(log, log, 5, every).select("row_id", "round", "arm")
 
 
 @query(f"WITH {ORD}, u AS (SELECT row_id, {noise.uniform_sql('row_id', 4)} AS u FROM ctx), rd AS (SELECT row_number() OVER (ORDER BY u, row_id) AS round FROM u) SELECT (length(bin((round - 1) // 500 + 1)) - 1)::INT AS phase, min(round) AS first, max(round) AS last FROM rd GROUP BY 1")
@@ -552,12 +615,16 @@ def m5_fit_ridge(spark, sf_dir):
     return spark.createDataFrame([(a, *(float(v) for v in w[a]), float(b[a])) for a in range(5)], "arm int, w0 double, w1 double, intercept double").select("arm", r6("w0").alias("w0"), r6("w1").alias("w1"), r6("intercept").alias("intercept"))
 
 
-@query(f"WITH {EMB}, {book_sql()} SELECT codes[1] AS code, {s6('count(*) FILTER (label = 3) / count(*)')} AS theta3, {s6('count(*) FILTER (label = 7) / count(*)')} AS theta7 FROM coded GROUP BY codes[1]")
+@query(f"WITH {EMB}, {book_sql()}, {additive_sql()} SELECT codes[1] AS code0, codes[2] AS code1, t0.arm AS arm, {s6('t0.t + t1.t')} AS prediction, count(*) AS n FROM coded JOIN t0 ON t0.code = codes[1] JOIN t1 ON t1.code = codes[2] AND t1.arm = t0.arm GROUP BY 1, 2, 3, t0.t, t1.t")
 def m6_fit_additive_ols(spark, sf_dir):
-    """One level, where least squares on indicators are the class shares of each code."""
+    """Predictions for all arms of all pairs of codes that occur; the weights themselves are not unique."""
     coded = durable(inputs.encoded(durable(inputs.embeddings(spark, sf_dir)), False))
-    theta = models.theta_table(spark, models.fit_additive_ols(coded, ARMS, 1, NBITS))
-    return theta.select("code", r6(F.get("theta", F.lit(3))).alias("theta3"), r6(F.get("theta", F.lit(7))).alias("theta7"))
+    theta = models.theta_table(spark, models.fit_additive_ols(coded, ARMS, LEVELS, NBITS))
+    rows = coded.groupBy(F.get("codes", F.lit(0)).alias("code0"), F.get("codes", F.lit(1)).alias("code1")).agg(F.count("*").alias("n"))
+    for level in range(LEVELS):
+        rows = rows.join(theta.where(F.col("level") == level).select(F.col("code").alias(f"code{level}"), F.col("theta").alias(f"t{level}")), f"code{level}")
+    each = rows.select("code0", "code1", "n", F.posexplode(vectors.weighted_sum("t0", "t1", 1.0)).alias("arm", "prediction"))
+    return each.select("code0", "code1", "arm", r6("prediction").alias("prediction"), "n")
 
 
 @query(f"WITH {EMB}, {book_sql()}, {_boosted_sql(LEVELS, NBITS)} SELECT level, code, arm, {s6('mean')} AS mean, {s6('smoothed')} AS smoothed FROM (SELECT 0 AS level, * FROM m0 UNION ALL SELECT 1, * FROM m1)")
@@ -570,14 +637,28 @@ def m7_fit_boosted_centroids(spark, sf_dir):
 # -------------------------------------------------------------- diagnostics
 
 
-@query(f"WITH {EMB}, {book_sql()}, ar AS (SELECT unnest(range({ARMS}))::INT AS arm), th AS (SELECT codes[1] AS code, arm, avg((label = arm)::INT) AS t FROM coded, ar GROUP BY 1, 2), e AS (SELECT row_id, max(abs((label = arm)::INT - t)) AS e FROM coded JOIN th ON th.code = codes[1] GROUP BY row_id) SELECT 1 AS depth, {s6('avg(e)')} AS delta, count(*) AS n FROM e")
+def _delta_sql(rows: str, depth: int) -> str:
+    second = "JOIN t1 ON t1.code = codes[2] AND t1.arm = t0.arm" if depth > 1 else "JOIN (SELECT DISTINCT arm, 0.0::DOUBLE AS t FROM t1) t1 ON t1.arm = t0.arm"
+    return f"SELECT {depth} AS depth, avg(e) AS delta, count(*) AS n FROM (SELECT row_id, max(abs((label = t0.arm)::INT - t0.t - t1.t)) AS e FROM {rows} JOIN t0 ON t0.code = codes[1] {second} GROUP BY row_id)"
+
+
+@query(f"WITH {EMB}, {book_sql()}, {additive_sql()} SELECT depth, {s6('delta')} AS delta, n FROM ({_delta_sql('coded', 2)})")
 def d1_delta_additive(spark, sf_dir):
     coded = durable(inputs.encoded(durable(inputs.embeddings(spark, sf_dir)), False))
-    theta = models.theta_table(spark, models.fit_additive_ols(coded, ARMS, 1, NBITS))
-    return diagnose.delta_additive(coded, theta, 1, ARMS).select("depth", r6("delta").alias("delta"), "n")
+    theta = models.theta_table(spark, models.fit_additive_ols(coded, ARMS, LEVELS, NBITS))
+    return diagnose.delta_additive(coded, theta, LEVELS, ARMS).select("depth", r6("delta").alias("delta"), "n")
 
 
-@query()
+def _sweep_sql(depth: int, seed: int) -> str:
+    """Error at one depth of a model that was fitted to a holdout of 200 rows."""
+    split = f"sp AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {noise.uniform_sql('row_id', seed)}, row_id) <= least(200, (SELECT count(*) FROM embeddings) // 2) AS holdout FROM al), ctx AS MATERIALIZED (SELECT row_id, x, label FROM sp WHERE holdout), ot AS (SELECT row_id, x, label FROM sp WHERE NOT holdout)"
+    return f"(WITH {EMB.replace('ctx AS', 'al AS')}, {split}, {book_sql()}, {encode_sql('ot')}, {additive_sql(depth=depth)} {_delta_sql('judged', depth)})"
+
+
+_SWEEP = " UNION ALL ".join(f"SELECT * FROM {_sweep_sql(depth, seed)}" for depth in (1, 2) for seed in (0, 1))
+
+
+@query(f"SELECT depth, {s6('avg(delta)')} AS delta, {s6('2 * avg(delta)')} AS twice, {s6('stddev_pop(delta)')} AS sd FROM ({_SWEEP}) GROUP BY depth")
 def d2_delta_sweep(spark, sf_dir):
     sweep = diagnose.delta_additive_sweep(durable(inputs.embeddings(spark, sf_dir)), (1, 2), (0, 1), 200, ARMS, NBITS, ITERATIONS)
     return diagnose.summarize_sweep(sweep).select("depth", r6("delta").alias("delta"), r6("twice").alias("twice"), r6("sd").alias("sd"))
@@ -599,9 +680,22 @@ def d4_delta_linear(spark, sf_dir):
     return diagnose.delta_linear(contexts, *models.fit_ridge_multi(contexts, 5)).select(r6("mae").alias("mae"))
 
 
-@query()
+_MAE = "avg(abs((label = arm)::INT - least(greatest(p, 0), 1)))"
+_REPORT = (
+    f"{_RIDGE}, {book_sql()}, {_boosted_sql(LEVELS, NBITS, 5)}, q1 AS (SELECT row_id, label, t.arm, a.smoothed AS p FROM p0 t JOIN m0 a ON a.code = codes[1] AND a.arm = t.arm), "
+    "q2 AS (SELECT row_id, label, t.arm, a.smoothed + 0.5 * b.smoothed AS p FROM p0 t JOIN m0 a ON a.code = codes[1] AND a.arm = t.arm JOIN m1 b ON b.code = codes[2] AND b.arm = t.arm), "
+    "lp AS (SELECT row_id, label, arm, least(greatest(w0 * x[1] + w1 * x[2] + b0, 0), 1) AS p FROM ctx, w), ls AS (SELECT label, arm, p / greatest(sum(p) OVER (PARTITION BY row_id), 1e-10) AS p FROM lp), li AS MATERIALIZED (SELECT avg(abs((label = arm)::INT - p)) AS mae FROM ls), "
+    "xo AS MATERIALIZED (SELECT label, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM ctx), xg AS (SELECT i, avg(v) AS m FROM xo GROUP BY i), xk AS (SELECT label, i, avg(v) AS m, count(*) AS n FROM xo GROUP BY 1, 2), "
+    "rh AS MATERIALIZED (SELECT sqrt((SELECT sum(n * (xk.m - xg.m) ** 2) FROM xk JOIN xg USING (i)) / (SELECT sum((v - m) ** 2) FROM xo JOIN xg USING (i))) AS rho), "
+    f"rq AS MATERIALIZED (SELECT 1 AS depth, (SELECT {_MAE} FROM p1) AS mae, (SELECT {_MAE} FROM q1) AS smooth UNION ALL SELECT 2, (SELECT {_MAE} FROM p2), (SELECT {_MAE} FROM q2)) "
+)
+_REPORT_COLUMNS = {"delta_rq_mae": "rq.mae", "delta_rq_mae_smoothed": "smooth", "delta_lin_mae": "li.mae", "delta_gap": "li.mae - rq.mae", "delta_gap_smoothed": "li.mae - smooth", "rho": "rho"}
+
+
+@query(f"{_REPORT} SELECT 'orders' AS dataset, (SELECT count(*) FROM ctx) AS N, 2 AS d, 5 AS C, depth, {', '.join(f'{s6(v)} AS {k}' for k, v in _REPORT_COLUMNS.items())} FROM rq, li, rh")
 def d5_delta_report(spark, sf_dir):
-    return diagnose.delta_report("embeddings", durable(inputs.embeddings(spark, sf_dir)), (1, 2), ARMS, NBITS, ITERATIONS)
+    report = diagnose.delta_report("orders", durable(inputs.orders(spark, sf_dir)), (1, 2), 5, NBITS, ITERATIONS)
+    return report.select("dataset", "N", "d", "C", "depth", *[r6(c).alias(c) for c in _REPORT_COLUMNS])
 
 
 @query(f"WITH {ORD}, c AS (SELECT label, count(*) AS c FROM ctx GROUP BY label) SELECT 'orders' AS dataset, 2 AS d, count(label) AS a, sum(c)::BIGINT AS n, 4 * count(label) AS d2a, round(max(c) / sum(c), 4) AS p_max FROM c")
@@ -631,7 +725,7 @@ _ERRORS = f"{_CODED_LOG}, {_counters_sql()}, er AS MATERIALIZED (SELECT l.row_id
 def _errors(spark, sf_dir) -> DataFrame:
     log = _coded_log(spark, sf_dir)
     fit = durable(posterior.levelwise_counter_fit(log, LEVELS, ARMS, NBITS))
-    return diagnose.squared_errors(score.score_counter_rq(log, fit, 1, ARMS), score.score_counter_rq(log, fit, 2, ARMS), log)
+    return diagnose.depth_errors(diagnose.counter_predictions(log, fit, LEVELS), 1, 2, "row_id")
 
 
 @query(f"{_ERRORS} SELECT row_id, {s6('sq_err_active')} AS sq_err_active, {s6('sq_err_shadow')} AS sq_err_shadow FROM er")
@@ -639,21 +733,32 @@ def d10_squared_errors(spark, sf_dir):
     return _errors(spark, sf_dir).select("row_id", r6("sq_err_active").alias("sq_err_active"), r6("sq_err_shadow").alias("sq_err_shadow"))
 
 
-# errors of two constant predictions of the events' rewards, by user
-_EVENT_ERRORS = f"WITH {EVT}, er AS MATERIALIZED (SELECT user_id % 7 AS run_id, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, row_id) AS round, (reward - 0.5) ** 2 AS sq_err_active, (reward - 0.6) ** 2 AS sq_err_shadow FROM evt), mo AS MATERIALIZED (SELECT run_id, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd, sum(d) AS total, var_pop(d) * count(*) AS spread, max(abs(d)) AS top FROM (SELECT run_id, sq_err_active - sq_err_shadow AS d FROM er) GROUP BY run_id)"
+# errors of two constant predictions of the events' rewards, by user; run 1 predicts the same at both depths
+_EVENT_ERRORS = f"WITH RECURSIVE {EVT}, er AS MATERIALIZED (SELECT user_id % 7 AS run_id, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, row_id) AS round, (reward - (0.45::DOUBLE + 0.05::DOUBLE * (user_id % 7))) ** 2 AS sq_err_active, (reward - 0.5) ** 2 AS sq_err_shadow FROM evt), mo AS MATERIALIZED (SELECT run_id, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd, sum(d) AS total, var_pop(d) * count(*) AS spread, max(abs(d)) AS top FROM (SELECT run_id, sq_err_active - sq_err_shadow AS d FROM er) GROUP BY run_id)"
+# Student's tail by Simpson's rule between 0 and t
+_TESTED = (
+    f"{_EVENT_ERRORS}, st AS (SELECT *, CASE WHEN sd > 0 THEN mean / (sd / sqrt(n)) END AS t, (n - 1)::DOUBLE AS df, CASE WHEN total > 0 THEN -(total * total) / (2 * spread + 2 * top * total / 3) END AS log_p FROM mo), "
+    "ig AS (SELECT run_id, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * (1 + (t * i / 4000) ** 2 / df) ** (-(df + 1) / 2)) * t / 12000 AS area FROM st, (SELECT unnest(range(4001)) AS i) GROUP BY run_id, t), "
+    "tt AS MATERIALIZED (SELECT st.*, 0.5 - area * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS p FROM st JOIN ig USING (run_id))"
+)
+_T_PROMOTES, _F_PROMOTES = "CASE WHEN sd > 0 THEN mean > 0 AND p < 0.05 ELSE mean > 0 END", "coalesce(log_p < ln(0.05), false)"
 
 
-def _event_errors(spark, sf_dir) -> DataFrame:
+def _event_errors(spark, sf_dir, rounds: bool = False) -> DataFrame:
     e = inputs.events(spark, sf_dir).withColumn("run_id", F.col("user_id") % 7)
-    return e.withColumn("round", F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "row_id")).cast("bigint")).select("run_id", "round", F.pow(F.col("reward") - 0.5, F.lit(2.0)).alias("sq_err_active"), F.pow(F.col("reward") - 0.6, F.lit(2.0)).alias("sq_err_shadow"))
+    if rounds:
+        e = prepare.number_rounds(e, ["run_id"], ["ts", "row_id"], F.date_trunc("hour", "ts"))
+    error = lambda c: F.pow(F.col("reward") - c, F.lit(2.0))
+    return e.select("run_id", *(["round"] if rounds else []), error(F.lit(0.45) + F.lit(0.05) * F.col("run_id")).alias("sq_err_active"), error(F.lit(0.5)).alias("sq_err_shadow"))
 
 
-@query(f"{_EVENT_ERRORS} SELECT run_id, n, round(mean / (sd / sqrt(n)), 4) AS t FROM mo")
+@query(f"{_TESTED} SELECT run_id, n, round(t, 4) AS t, {s6('p')} AS p, {_T_PROMOTES} AS promote FROM tt")
 def d11_paired_t(spark, sf_dir):
-    return diagnose.paired_t_promotion(diagnose.window_moments(_event_errors(spark, sf_dir), ["run_id"]), 0.05).select("run_id", "n", F.round("t", 4).alias("t"))
+    tested = diagnose.paired_t_promotion(diagnose.window_moments(_event_errors(spark, sf_dir), ["run_id"]), 0.05)
+    return tested.select("run_id", "n", F.round("t", 4).alias("t"), r6("p").alias("p"), F.col("promote_t").alias("promote"))
 
 
-@query(f"{_EVENT_ERRORS} SELECT run_id, round(CASE WHEN total > 0 THEN -total ** 2 / (2 * spread + 2 * top * total / 3) END, 4) AS log_p, coalesce(total > 0 AND -total ** 2 / (2 * spread + 2 * top * total / 3) < ln(0.05), false) AS promote FROM mo")
+@query(f"{_TESTED} SELECT run_id, round(log_p, 4) AS log_p, {_F_PROMOTES} AS promote FROM tt")
 def d12_freedman(spark, sf_dir):
     m = diagnose.freedman_promotion(diagnose.window_moments(_event_errors(spark, sf_dir), ["run_id"]), 0.05)
     return m.select("run_id", F.round("log_p", 4).alias("log_p"), F.col("promote_freedman").alias("promote"))
@@ -665,9 +770,17 @@ def d13_check_schedule(spark, sf_dir):
     return diagnose.check_schedule(spark, 50, 16, 2, 4).select("k", "t", F.round("alpha", 9).alias("alpha"), (F.lit(n) >= F.col("t")).alias("reached"))
 
 
-@query()
+_WALK = (
+    f"{_EVENT_ERRORS}, ck AS (SELECT k::INT AS k, (40 * 2 ** k)::BIGINT AS t FROM (SELECT unnest(range(12)) AS k)), la AS (SELECT run_id, max(round) AS last FROM er GROUP BY run_id), "
+    "wm AS MATERIALIZED (SELECT run_id, k, t, count(*) AS n, sum(d) AS total, var_pop(d) * count(*) AS spread, max(abs(d)) AS top FROM (SELECT er.run_id, k, t, sq_err_active - sq_err_shadow AS d FROM er JOIN la USING (run_id) JOIN ck ON t <= last AND round <= t AND round > t - 100) GROUP BY 1, 2, 3), "
+    "wk AS (SELECT run_id, -1 AS k, 1 AS depth, 0::BIGINT AS since, NULL::BIGINT AS t FROM la UNION ALL SELECT run_id, k, CASE WHEN won THEN depth + 1 ELSE depth END, CASE WHEN won THEN t ELSE since END, CASE WHEN won THEN t END FROM "
+    "(SELECT w.run_id, m.k, w.depth, w.since, m.t, w.depth < 8 AND m.n >= 100 AND m.t - w.since >= 100 AND m.total > 0 AND -(m.total * m.total) / (2 * m.spread + 2 * m.top * m.total / 3) < ln(0.05 / 12) AS won FROM wk w JOIN wm m ON m.run_id = w.run_id AND m.k = w.k + 1))"
+)
+
+
+@query(f"{_WALK} SELECT run_id, t, (depth - 1)::INT AS old_depth, depth::INT AS new_depth FROM wk WHERE t IS NOT NULL")
 def d14_promotion_log(spark, sf_dir):
-    return diagnose.promotion_log(_event_errors(spark, sf_dir), diagnose.check_schedule(spark, 5, 4, 2, 4), 40, "freedman")
+    return diagnose.promotion_log(_event_errors(spark, sf_dir, True), diagnose.check_schedule(spark, 5, 4, 2, 4), 100, "freedman")
 
 
 # ------------------------------------------------------- decision analytics
@@ -684,14 +797,14 @@ def t1_argmax_arm(spark, sf_dir):
 _RUNS = f"WITH {EVT}, lg AS MATERIALIZED (SELECT 'm' || (user_id % 3) AS method, user_id % 2 AS seed, row_number() OVER (PARTITION BY user_id % 3, user_id % 2 ORDER BY ts, row_id) AS round, reward FROM evt)"
 
 
-def _runs(spark, sf_dir) -> DataFrame:
+def _runs(spark, sf_dir, rounds: bool = False) -> DataFrame:
     e = inputs.events(spark, sf_dir).select(F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("method"), (F.col("user_id") % 2).alias("seed"), "ts", "row_id", "reward")
-    return e.withColumn("round", F.row_number().over(Window.partitionBy("method", "seed").orderBy("ts", "row_id")).cast("bigint"))
+    return prepare.number_rounds(e, ["method", "seed"], ["ts", "row_id"], F.date_trunc("hour", "ts")) if rounds else e
 
 
 @query(f"{_RUNS}, s AS (SELECT method, seed, (round - 1) // 100 AS b, sum(1 - reward) AS r, max(round) AS round FROM lg GROUP BY 1, 2, 3) SELECT method, seed, round, {s6('sum(r) OVER (PARTITION BY method, seed ORDER BY b)')} AS regret FROM s")
 def t2_regret_curve(spark, sf_dir):
-    return decisions.regret_curve(_runs(spark, sf_dir), 100).select("method", "seed", "round", r6("regret").alias("regret"))
+    return decisions.regret_curve(_runs(spark, sf_dir, True), 100).select("method", "seed", "round", r6("regret").alias("regret"))
 
 
 _FINAL = f"{_RUNS}, fin AS MATERIALIZED (SELECT method, seed, sum(1 - reward) AS final_regret, avg(1 - reward) AS regret_rate, count(*) AS rounds FROM lg GROUP BY 1, 2)"
@@ -724,9 +837,10 @@ def t7_keyed_gather(spark, sf_dir):
     return decisions.keyed_gather(inputs.table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), "user_id"), look, ["user_id"]).select("row_id", "name")
 
 
-@query(f"{_EVENT_ERRORS} SELECT run_id, round(mean / (sd / sqrt(n)), 4) AS t, round(CASE WHEN total > 0 THEN -total ** 2 / (2 * spread + 2 * top * total / 3) END, 4) AS log_p FROM mo")
+@query(f"{_TESTED} SELECT run_id, round(t, 4) AS t, {s6('p')} AS p, round(log_p, 4) AS log_p, {_T_PROMOTES} AS promote_t, {_F_PROMOTES} AS promote_freedman FROM tt")
 def t8_compare_promotion_tests(spark, sf_dir):
-    return diagnose.compare_promotion_tests(_event_errors(spark, sf_dir), ["run_id"], 0.05).select("run_id", F.round("t", 4).alias("t"), F.round("log_p", 4).alias("log_p"))
+    both = diagnose.compare_promotion_tests(_event_errors(spark, sf_dir), ["run_id"], 0.05)
+    return both.select("run_id", F.round("t", 4).alias("t"), r6("p").alias("p"), F.round("log_p", 4).alias("log_p"), "promote_t", "promote_freedman")
 
 
 @query(f"WITH {EVT} SELECT user_id % 7 AS run_id, '1->2 at ' || min(row_id) || ', 2->3 at ' || (max(row_id) + 1) AS report FROM evt GROUP BY 1")
@@ -745,25 +859,49 @@ def t10_sweep_grid(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming
 
+#: Rows of one file of a written stream, about.
+FILE_ROWS = 250_000
+BATCHES = 3
+_BATCH = f"floor({noise.uniform_sql('row_id', 1)} * {BATCHES})::INT"
 
-def _event_stream(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
-    """The events, split into files by a keyed hash, as a stream of one file a batch."""
-    path = _scratch(spark, "stream")
-    e = inputs.events(spark, sf_dir).withColumn("batch", F.floor(noise.uniform("row_id", 1) * batches).cast("int"))
-    for b in range(batches):
-        e.where(F.col("batch") == b).select("row_id", "arm", "reward").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema("row_id long, arm int, reward double").option("maxFilesPerTrigger", 1).parquet(path)
 
+def _with_batch(df: DataFrame) -> DataFrame:
+    return df.withColumn("batch", F.floor(noise.uniform("row_id", 1) * BATCHES).cast("int"))
 
-@query()
+
+def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Rows with `batch` 0, 1, ... as a stream of these batches: each is written as the same number of
+    files, and so many files make a batch."""
+    path, sizes = _scratch(spark, "stream"), {r["batch"]: r["count"] for r in df.groupBy("batch").count().collect()}
+    files = max(1, -(-max(sizes.values(), default=1) // FILE_ROWS))
+    for b in sorted(sizes):
+        df.where(F.col("batch") == b).drop("batch").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.drop("batch").schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, _with_batch(inputs.events(spark, sf_dir).select("row_id", "arm", "reward")))
+
+
+@query(f"{_counter_scores_sql(0)} SELECT row_id, (-(max(struct_pack(s := score, a := -arm)).a))::INT AS arm FROM fs GROUP BY row_id")
 def r1_decide_stream(spark, sf_dir):
     e = durable(inputs.embeddings(spark, sf_dir))
     book = inputs.codebook(e)
     folder = _scratch(spark, "r1")
     micro.write_version(posterior.levelwise_counter_fit(durable(inputs.logged(quantize.encode(e, book))), LEVELS, ARMS, NBITS), f"{folder}/counters", 0)
-    e.write.parquet(f"{folder}/contexts")
-    stream = spark.readStream.schema(e.schema).parquet(f"{folder}/contexts")
-    micro.decide_stream(stream, book, f"{folder}/counters", f"{folder}/out", LEVELS, ARMS, f"{folder}/checkpoint").awaitTermination()
+    decide = lambda batch, table: micro.decide_batch(batch, book, table, LEVELS, ARMS)
+    micro.decide_stream(_stream(spark, _with_batch(e)), decide, f"{folder}/counters", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("row_id", "arm")
+
+
+@query(f"{_SOLVED}, ts AS (SELECT row_id, arm, mean + 0.1 * sqrt(greatest(var, 0)) * {noise.normal_sql('row_id', 'arm', 8)} AS score FROM sc) SELECT row_id, (-(max(struct_pack(s := score, a := -arm)).a))::INT AS arm FROM ts GROUP BY row_id")
+def r1_decide_stream_flat(spark, sf_dir):
+    """Decisions of a stream of orders by a flat linear model."""
+    contexts, fitted = _order_posterior(spark, sf_dir)
+    folder = _scratch(spark, "r1")
+    micro.write_version(fitted, f"{folder}/linear", 0)
+    decide = lambda batch, table: micro.decide_flat_batch(batch, table, "linear", 0.1, 8)
+    micro.decide_stream(_stream(spark, _with_batch(contexts.select("row_id", "x"))), decide, f"{folder}/linear", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("row_id", "arm")
 
 
@@ -775,18 +913,86 @@ def r2_learn_stream(spark, sf_dir):
     return _nig_out(micro.read_version(spark, f"{folder}/nig"))
 
 
-@query()
+_SUMS = {"a": "u * u", "b": "u * v", "c": "u", "d": "v * v", "e": "v", "g": "t * u", "h": "t * v", "i": "t"}
+
+
+def _folded_sql(kind: str) -> str:
+    """CTEs b0, b1, ...: sums (level, code, arm, n, a .. i) of two-level models of two features and an
+    intercept as they are before each batch; targets use the models at the batch's start."""
+    total = ", ".join(f"sum({c}) AS {c}" for c in ["n", *_SUMS])
+    out = [f"rb AS MATERIALIZED (SELECT *, {_BATCH} AS batch FROM log)", "b0 AS (SELECT 0 AS level, 0 AS code, 0 AS arm, 0 AS n, " + ", ".join(f"0.0::DOUBLE AS {c}" for c in _SUMS) + " WHERE false)"]
+    for b in range(BATCHES):
+        if kind == "diag":
+            w = "SELECT code, arm, g / (1 + a) AS m0, h / (1 + d) AS m1, i / (1 + n) AS m2"
+            model = f"{w} FROM b{b} WHERE level = 0"
+        else:
+            p = "(SELECT code, arm, 1 + a AS a, b, c, 1 + d AS d, e, 1 + n AS f, g, h, i FROM b{} WHERE level = 0)".format(b)
+            det = "(a * (d * f - e * e) + b * (c * e - b * f) + c * (b * e - c * d))"
+            model = f"SELECT code, arm, ((d * f - e * e) * g + (c * e - b * f) * h + (b * e - c * d) * i) / {det} AS m0, ((c * e - b * f) * g + (a * f - c * c) * h + (b * c - a * e) * i) / {det} AS m1, ((b * e - c * d) * g + (b * c - a * e) * h + (a * d - b * b) * i) / {det} AS m2 FROM {p}"
+        out.append(f"p{b} AS MATERIALIZED (SELECT l.arm, l.codes, l.residuals, l.reward, coalesce(m0 * l.residuals[1][1] + m1 * l.residuals[1][2] + m2, 0) AS m FROM rb l LEFT JOIN ({model}) w ON w.code = l.codes[1] AND w.arm = l.arm WHERE l.batch = {b})")
+        rows = f"SELECT 0 AS level, codes[1] AS code, arm, residuals[1][1] AS u, residuals[1][2] AS v, reward - 0.5 AS t FROM p{b} UNION ALL SELECT 1, codes[2], arm, residuals[2][1], residuals[2][2], reward - least(greatest(m + 0.5, 0), 1) FROM p{b}"
+        new = f"SELECT level, code, arm, count(*) AS n, {', '.join(f'sum({e}) AS {c}' for c, e in _SUMS.items())} FROM ({rows}) GROUP BY level, code, arm"
+        out.append(f"b{b + 1} AS MATERIALIZED (SELECT level, code, arm, {total} FROM (SELECT * FROM b{b} UNION ALL {new}) GROUP BY level, code, arm)")
+    return ", ".join(out)
+
+
+def _order_stream(spark, sf_dir) -> DataFrame:
+    return _stream(spark, _with_batch(_order_log(spark, sf_dir).select("row_id", "codes", "residuals", "arm", "reward")))
+
+
+@query(f"{_ORDER_LOG}, {_folded_sql('diag')} SELECT level, code, arm, n::BIGINT AS n, {', '.join(f'round({e}, 4) + 0.0 AS {c}' for c, e in (('p0', '1 + a'), ('p1', '1 + d'), ('p2', '1.0::DOUBLE + n'), ('f0', 'g'), ('f1', 'h'), ('f2', 'i')))} FROM b{BATCHES}")
+def r2_learn_stream_diag(spark, sf_dir):
+    folder = _scratch(spark, "r2")
+    fold = lambda table, batch: micro.fold_diag(table, batch, LEVELS)
+    micro.learn_stream(_order_stream(spark, sf_dir), f"{folder}/diag", f"{folder}/checkpoint", fold).awaitTermination()
+    found = micro.read_version(spark, f"{folder}/diag")
+    return found.select("level", "code", "arm", "n", *[(F.round(F.get(c, F.lit(j)), 4) + 0.0).alias(f"{name}{j}") for name, c in (("p", "prec"), ("f", "f")) for j in range(3)])
+
+
+_LINEAR_SUMS = {"a": (0, 0), "b": (0, 1), "c": (0, 2), "d": (1, 1), "e": (1, 2), "g": (0, -1), "h": (1, -1), "i": (2, -1)}
+
+
+@query(f"{_ORDER_LOG}, {_folded_sql('linear')} " + " UNION ALL ".join(f"SELECT level, code, arm, {i} AS i, {j} AS j, round({c}::DOUBLE, 4) + 0.0 AS v, n::BIGINT AS n FROM b{BATCHES}" for c, (i, j) in {**_LINEAR_SUMS, "n": (2, 2)}.items()))
+def r2_learn_stream_linear(spark, sf_dir):
+    folder = _scratch(spark, "r2")
+    fold = lambda table, batch: micro.fold_linear(table, batch, LEVELS)
+    micro.learn_stream(_order_stream(spark, sf_dir), f"{folder}/linear", f"{folder}/checkpoint", fold).awaitTermination()
+    return micro.read_version(spark, f"{folder}/linear").select("level", "code", "arm", "i", "j", (F.round("v", 4) + 0.0).alias("v"), "n")
+
+
+def _promoted_sql() -> str:
+    """CTE pe (batch, active, shadow, promoted): errors and promotions of three batches of rounds."""
+    out = [
+        f"rn AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {noise.uniform_sql('row_id', 2)}, row_id) AS round, (SELECT count(*) FROM log) AS total FROM log)",
+        f"rb AS MATERIALIZED (SELECT *, (SELECT min(b) FROM (SELECT unnest(range({BATCHES})) AS b) WHERE round <= (b + 1) * total // {BATCHES}) AS batch FROM rn)",
+        "k0 AS (SELECT 0 AS level, 0 AS code, 0 AS arm, 0 AS n, 0.0::DOUBLE AS f, 0.0::DOUBLE AS theta WHERE false)",
+    ]
+    for b in range(BATCHES):
+        out.append(f"x{b} AS MATERIALIZED (SELECT l.*, coalesce(t0.theta, 0) AS h0, coalesce(t1.theta, 0) AS h1 FROM rb l LEFT JOIN k{b} t0 ON t0.level = 0 AND t0.code = l.codes[1] AND t0.arm = l.arm LEFT JOIN k{b} t1 ON t1.level = 1 AND t1.code = l.codes[2] AND t1.arm = l.arm WHERE batch = {b})")
+        new = f"SELECT 0 AS level, codes[1] AS code, arm, count(*) AS n, sum(reward - 0.5) AS f FROM x{b} GROUP BY 2, 3 UNION ALL SELECT 1, codes[2], arm, count(*), sum(reward - least(greatest(h0 + 0.5, 0), 1)) FROM x{b} GROUP BY 2, 3"
+        out.append(f"k{b + 1} AS MATERIALIZED (SELECT level, code, arm, sum(n) AS n, sum(f) AS f, sum(f) / (sum(n) + 1) AS theta FROM (SELECT level, code, arm, n, f FROM k{b} UNION ALL {new}) GROUP BY 1, 2, 3)")
+    rows = " UNION ALL ".join(f"SELECT * FROM x{b}" for b in range(BATCHES))
+    out.append(f"xs AS MATERIALIZED (SELECT batch, round, total, (reward - least(greatest(h0 + 0.5, 0), 1)) ** 2 AS e1, (reward - least(greatest(h0 + 0.5 * h1 + 0.5, 0), 1)) ** 2 AS e2 FROM ({rows}))")
+    test = "SELECT coalesce(sum(e1 - e2) > 0 AND -(sum(e1 - e2) * sum(e1 - e2)) / (2 * var_pop(e1 - e2) * count(*) + 2 * max(abs(e1 - e2)) * sum(e1 - e2) / 3) < ln({}), false) AS won FROM xs WHERE round <= {} AND round > {} - total // 4"
+    out += [f"w1 AS ({test.format(0.9, 'total // 2', 'total // 2')})", f"w2 AS ({test.format(0.9, 'total', 'total')})"]
+    out.append("pe AS (SELECT batch, CASE WHEN w1.won AND round > total // 2 THEN e2 ELSE e1 END AS active, e2 AS shadow, CASE WHEN w1.won AND round = total // 2 THEN round WHEN NOT w1.won AND w2.won AND round = total THEN round END AS promoted FROM xs, w1, w2)")
+    return ", ".join(out)
+
+
+@query(f"{_CODED_LOG}, {_promoted_sql()} SELECT batch::BIGINT AS batch_id, count(*) AS n, {s6('sum(active)')} AS active, {s6('sum(shadow)')} AS shadow, max(promoted) AS promoted FROM pe GROUP BY batch")
 def r3_promote_stream(spark, sf_dir):
+    """Errors of every batch, and the round of its promotion if there is one."""
     e = durable(inputs.embeddings(spark, sf_dir))
     book = inputs.codebook(e)
     folder = _scratch(spark, "r3")
     log = durable(prepare.shuffle_rounds(inputs.logged(e), 2).select("row_id", "round", "x", "arm", "reward"))
     n = log.count()
-    for b in range(3):
-        log.where((F.col("round") > b * n // 3) & (F.col("round") <= (b + 1) * n // 3)).coalesce(1).write.mode("append").parquet(f"{folder}/log")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
-    micro.promote_stream(stream, book, folder, f"{folder}/checkpoint", [(n // 2, 0.05), (n, 0.05)], n // 4, LEVELS, ARMS).awaitTermination()
-    return spark.read.schema("round long, sq_err_active double, sq_err_shadow double, batch_id long").parquet(f"{folder}/errors").groupBy("batch_id").agg(F.count("*").alias("n"))
+    batch = sum(((F.col("round") > (b + 1) * n // BATCHES).cast("int") for b in range(BATCHES - 1)), F.lit(0))
+    micro.promote_stream(_stream(spark, log.withColumn("batch", batch)), book, folder, f"{folder}/checkpoint", [(n // 2, 0.9), (n, 0.9)], n // 4, LEVELS, ARMS).awaitTermination()
+    errors = spark.read.schema("round long, sq_err_active double, sq_err_shadow double, batch_id long").parquet(f"{folder}/errors")
+    promoted = spark.read.schema("t long, old_depth int, new_depth int, batch_id long").parquet(f"{folder}/promotions")
+    sums = errors.groupBy("batch_id").agg(F.count("*").alias("n"), r6(F.sum("sq_err_active")).alias("active"), r6(F.sum("sq_err_shadow")).alias("shadow"))
+    return sums.join(promoted.groupBy("batch_id").agg(F.max("t").alias("promoted")), "batch_id", "left")
 
 
 @query(f"WITH {EVT} SELECT arm, count(*) AS n, {s6('sum(reward)')} AS s, {s6('sum(reward * reward)')} AS ss FROM evt GROUP BY arm")

@@ -99,3 +99,27 @@ def book_sql(levels: int = LEVELS, nbits: int = NBITS, iterations: int = ITERATI
     rest = ", ".join(f"r{level}.r" for level in range(levels))
     out.append(f"coded AS MATERIALIZED (SELECT row_id, r0.label, r0.r AS x, [{codes}] AS codes, [{rest}] AS residuals FROM r0 {joins})")
     return ",\n".join(out)
+
+
+def encode_sql(source: str, levels: int = LEVELS) -> str:
+    """CTE `judged` (row_id, label, codes): rows of `source` by the codebook that `book_sql` trained."""
+    out = [f"j0 AS MATERIALIZED (SELECT row_id, label, x AS r, [] AS codes FROM {source})"]
+    for level in range(levels):
+        near = f"SELECT row_id, min(struct_pack(d := round(list_distance(r, c) ** 2, 9), c := code)).c AS code FROM j{level}, (SELECT * FROM book WHERE level = {level}) GROUP BY row_id"
+        out.append(f"j{level + 1} AS MATERIALIZED (SELECT row_id, label, list_transform(list_zip(r, c), lambda z: z[1] - z[2]) AS r, list_append(codes, code) AS codes FROM j{level} JOIN ({near}) USING (row_id) JOIN (SELECT code, c FROM book WHERE level = {level}) USING (code))")
+    return ", ".join([*out, f"judged AS MATERIALIZED (SELECT row_id, label, codes FROM j{levels})"])
+
+
+def additive_sql(arms: int = ARMS, rounds: int = 60, depth: int = 2) -> str:
+    """CTEs t0 (code, arm, t) and t1: the additive least-squares model of the arm indicators on the codes
+    of `coded`, by fitting the levels in turn until nothing moves."""
+    out = [
+        f"cells AS MATERIALIZED (SELECT codes[1] AS c0, {'codes[2]' if depth > 1 else '0'} AS c1, arm, count(*) AS n, sum((label = arm)::INT) AS y FROM coded, (SELECT unnest(range({arms}))::INT AS arm) GROUP BY 1, 2, 3)",
+        "v0 AS (SELECT DISTINCT c1, arm, 0.0::DOUBLE AS t FROM cells)",
+    ]
+    for k in range(rounds if depth > 1 else 1):
+        out.append(f"u{k} AS MATERIALIZED (SELECT c0, cells.arm, sum(y - n * t) / sum(n) AS t FROM cells JOIN v{k} v ON v.c1 = cells.c1 AND v.arm = cells.arm GROUP BY 1, 2)")
+        step = f"sum(y - n * t) / sum(n) AS t FROM cells JOIN u{k} u ON u.c0 = cells.c0 AND u.arm = cells.arm" if depth > 1 else "0.0::DOUBLE AS t FROM cells"
+        out.append(f"v{k + 1} AS MATERIALIZED (SELECT c1, cells.arm, {step} GROUP BY 1, 2)")
+    last = rounds if depth > 1 else 1
+    return ", ".join([*out, f"t0 AS (SELECT c0 AS code, arm, t FROM u{last - 1})", f"t1 AS (SELECT c1 AS code, arm, t FROM v{last})"])

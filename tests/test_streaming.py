@@ -55,7 +55,8 @@ def test_fold_gram_sums(spark, log):
 
 def test_decide_and_promote(spark, log, tmp_path):
     book = quantize.train_codebook(log, 2, 1, 2)
-    micro.decide_stream(stream(spark, log, f"{tmp_path}/d"), book, f"{tmp_path}/none", f"{tmp_path}/out", 2, 3, f"{tmp_path}/dc", nu=0.5).awaitTermination()
+    decide = lambda batch, table: micro.decide_batch(batch, book, table, 2, 3, nu=0.5)
+    micro.decide_stream(stream(spark, log, f"{tmp_path}/d"), decide, f"{tmp_path}/none", f"{tmp_path}/out", f"{tmp_path}/dc").awaitTermination()
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.count() == 90 and out.select("arm").distinct().count() == 3
     micro.promote_stream(stream(spark, log, f"{tmp_path}/p"), book, f"{tmp_path}/pr", f"{tmp_path}/pc", [(60, 0.05)], 20, 2, 3).awaitTermination()
