@@ -82,8 +82,19 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def may_have_long_runs(text: str) -> bool:
+    """Quick test without regular expressions: False only if no run is longer than RUN_CHARS."""
+    words = text.split()
+    lengths = list(map(len, words))
+    spare = len(text) - sum(lengths) - len(words) + 1  # white space beyond one between words
+    return spare > RUN_CHARS or max(lengths, default=0) > RUN_CHARS or any(c in text for c in "\x1c\x1d\x1e\x1f")  # these part words here, but not in _SPACE
+
+
 def cut_runs(text: str) -> Iterator[str]:
     """The text in pieces, whole but for runs of over RUN_CHARS characters."""
+    if not may_have_long_runs(text):
+        yield text
+        return
     at = 0
     for run in _LONG_RUN.finditer(text):
         for cut in range(run.start() + RUN_CHARS, run.end(), RUN_CHARS):
