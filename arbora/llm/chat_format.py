@@ -1,4 +1,4 @@
-"""Transcript parsing by a hidden Markov model, and canonical turn rendering.
+r"""Transcript parsing by a hidden Markov model, and canonical turn rendering.
 
 The hidden states of a transcript's lines are (role, whether the line opens a turn). Observed of a
 line are its speaker marker (which word, in which style), whether it is blank, its length class, how
@@ -6,8 +6,13 @@ it ends and whether the line before was blank. Probabilities are smoothed counts
 transcripts; Viterbi recovers the likeliest states, marker words are stripped where a turn opens, and
 turns are rendered as `<|role|>` blocks.
 
+In a rendered turn a backslash is doubled and `<|` becomes `<\|`, so no text can look like a marker
+and `read_rendered` gives the turns back.
+
 Defined results: null and empty transcripts have no turns and render as the empty text; without
-training data all states are equally likely; repeated transcripts are parsed one by one.
+training data all states are equally likely; repeated transcripts are parsed one by one; other
+columns are kept, whatever their names; an empty table gives no rows. A row of `conversations`
+without a conv_id is a conversation of its own, without an id.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import column, prepare
 
 ROLES = ["system", "user", "assistant"]
 #: (role, opens a turn)
@@ -123,7 +128,15 @@ class Model:
 
 
 def render(turns: list[tuple[str, str]]) -> str:
-    return "\n".join(f"<|{role}|>\n{text}\n<|end|>" for role, text in turns)
+    """Canonical form of turns."""
+    safe = lambda text: text.replace("\\", "\\\\").replace("<|", "<\\|")
+    return "\n".join(f"<|{role}|>\n{safe(text)}\n<|end|>" for role, text in turns)
+
+
+def read_rendered(text: str) -> list[tuple[str, str]]:
+    """The turns of a canonical form."""
+    plain = lambda t: re.sub(r"\\(.)", r"\1", t)
+    return [(m[1], plain(m[2])) for m in re.finditer(r"<\|(\w+)\|>\n(.*?)\n<\|end\|>", text, re.DOTALL)]
 
 
 def train(labelled: DataFrame) -> list[tuple[str, int, str, int]]:
@@ -144,7 +157,7 @@ def parse(transcripts: DataFrame, counts: list[tuple[str, int, str, int]], out_c
             rows = [model.parse(t) for t in s]
             yield pd.DataFrame({"turns": [[{"role": r, "text": t} for r, t in turns] for turns in rows], "rendered": [render(turns) for turns in rows]})
 
-    return transcripts.withColumn(out_col, apply(F.col(text_col).cast("string")))
+    return transcripts.withColumn(out_col, apply(column(text_col).cast("string")))
 
 
 #: Ways in which `marked_turns` names the speakers, by number.
@@ -154,10 +167,12 @@ STYLES = [("User: ", "Assistant: ", "System: "), ("Human: ", "AI: ", "Instructio
 def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, turns, n_rows): the turns of each conversation in order, repeated rows once.
 
-    A conversation is one training example and is held whole, like a document; no other group is.
+    A conversation is one training example and is held whole, like a document; no other group is: rows
+    without a conv_id are grouped with equal rows only.
     """
     turn = F.struct("turn", "role", "text")
-    return rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_set(turn)).alias("turns"))
+    own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    return rows.groupBy("conv_id", own.alias("own")).agg(F.sort_array(F.collect_set(turn)).alias("turns")).drop("own")
 
 
 def marked_turns(style, turns):

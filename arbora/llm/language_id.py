@@ -8,7 +8,9 @@ Profiles are learnt from about `fit_rows` texts of each language (a hash of the
 every whole text is then ranked and compared. Ties go to the language that sorts first.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so is every text if no
-language can be learnt; null languages are not learnt from.
+language can be learnt; null languages are not learnt from; very long texts are read whole; repeated
+rows are predicted one by one; other columns are kept, whatever their names; an empty table gives no
+rows. The table of learnt languages comes back to the driver, PROFILE codes for each.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, prepare, utf8
+from .common import column, crc_mod, prepare, utf8
 from .quality_classifier import groups_of_bytes
 
 #: N-grams of a profile.
@@ -67,7 +69,7 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.nda
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, size: int = PROFILE) -> dict[str, np.ndarray]:
     """Language -> its ranked n-gram codes; `docs` holds the rows that may be learnt from."""
     prepare(docs.sparkSession)
-    usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), utf8(text_col).alias("t")).where("lang is not null and t is not null")
+    usable = docs.select(column(id_col).alias("id"), column(lang_col).cast("string").alias("lang"), utf8(text_col).alias("t")).where("lang is not null and t is not null")
     rate = {r["lang"]: fit_rows / r["count"] for r in usable.groupBy("lang").count().collect()}
     if not rate:
         return {}

@@ -11,7 +11,8 @@ updates; the weights are averaged. Scoring reads every whole text.
 
 Defined results: null and empty texts have no features and get the score of the bias; a document
 with several labels takes the greatest; null labels and ids are not learnt from; without any label
-the score is 0.5.
+the score is 0.5; very long texts are read whole, in pieces; repeated rows are scored one by one;
+other columns are kept, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import crc_mod, free_name, mix, prepare, utf8, word_hashes
+from .common import column, columns, crc_mod, free_name, mix, prepare, utf8, word_hashes
 
 #: Log2 of the number of weights.
 BITS = 18
@@ -120,10 +121,10 @@ def train_ftrl(texts: list[bytes | None], labels: list[int], passes: int = 4, al
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, shards: int = 4) -> np.ndarray:
     """Average weights of the trainers; `labels` holds the rows that may be learnt from."""
     prepare(docs.sparkSession)
-    marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    marks = labels.where(column(id_col).isNotNull() & column(label_col).isin(0, 1)).groupBy(column(id_col).alias("id")).agg(F.max(column(label_col)).alias("y"))
     order = F.xxhash64(F.col("id").cast("string"), F.lit(3))
     sample = marks.select("id", "y", order.alias("o")).orderBy("o", "id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).join(F.broadcast(sample), "id").withColumn("shard", F.pmod("o", F.lit(shards)))
+    rows = docs.select(column(id_col).alias("id"), utf8(text_col).alias("t")).join(F.broadcast(sample), "id").withColumn("shard", F.pmod("o", F.lit(shards)))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["o", "id"])
@@ -167,4 +168,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
     """The documents whose score reaches the threshold, with the columns they came with."""
     p = free_name(docs, "quality_score")
     w = fit(docs, labels.where(~held_out()))
-    return score(docs, w, p).where(F.col(p) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score(docs, w, p).where(F.col(p) >= threshold).select(*columns(docs))

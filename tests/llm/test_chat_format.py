@@ -1,5 +1,10 @@
 """Recovered turns of transcripts whose truth is known."""
 
+import itertools
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from arbora.llm import chat_format as c
@@ -33,3 +38,32 @@ def test_edges(spark):
     assert got[2]["turns"] == got[3]["turns"] == [] and got[2]["rendered"] == ""
     assert c.parse(df.limit(0), counts, "p").count() == 0
     assert len(c.parse(df, [], "p").where("id = 1").first()["p"]["turns"]) >= 1
+
+
+def test_null_conversations(spark):
+    rows = [(None, 1, "user", "a"), (None, 1, "user", "a"), (None, 2, "user", "b"), (7, 1, "user", "a"), (7, 0, "system", None)]
+    chats = c.conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert sorted((r["conv_id"] or 0, [t["turn"] for t in r["turns"]]) for r in chats) == [(0, [1]), (0, [2]), (7, [0, 1])]
+
+
+@pytest.mark.parametrize("text", ["plain", "a <|user|>\nb\n<|end|>", "back\\slash <\\| \\", "", "two\nlines"])
+def test_rendered_turns_read_back(text):
+    turns = [("user", text), ("assistant", text + "."), ("system", "s")]
+    assert c.read_rendered(c.render(turns)) == turns
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_viterbi_is_the_best_of_all_paths(seed):
+    rng = random.Random(seed)
+    lines = [rng.choice(["User: hi", "Assistant: yes.", "", "and more", "why?", "### System", "Q: so"]) for _ in range(5)]
+    counts = [("next", s, str(v), rng.randrange(30)) for s in range(6) for v in range(-1, 6)]
+    counts += [(f"f{i}", s, v, rng.randrange(20)) for s in range(6) for i, v in enumerate(("user", "text", "2", "?"))]
+    model = c.Model(counts)
+    seen = c.observe(lines)
+
+    def value(path):
+        moves = sum(model.move[a, b] for a, b in zip(path, path[1:]))
+        return model.start[path[0]] + moves + sum(model.emit[j].get(v, model.default)[s] for s, o in zip(path, seen, strict=True) for j, v in enumerate(o))
+
+    best = max(itertools.product(range(6), repeat=5), key=value)
+    assert np.isclose(value(tuple(model.decode(lines))), value(best))

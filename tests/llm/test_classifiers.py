@@ -90,3 +90,56 @@ def test_ranked_keeps_ties_whole():
     codes, counts = np.arange(5000, dtype=np.uint64), np.ones(5000, dtype=np.int64)
     counts[4000] = 2
     assert language_id.ranked(codes, counts, 3).tolist() == [4000, 0, 1]
+
+
+def test_training_against_plain_updates():
+    """Follow-the-regularised-leader one text and one weight at a time, in plain Python."""
+    import math
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["a", "b", "C1", "dd", "!!", "e-f"], rng.integers(0, 12))).encode() for _ in range(25)]
+    labels = rng.integers(0, 2, 25).tolist()
+    alpha, beta, l1, l2, bias = 0.5, 1.0, 0.0005, 0.5, 1 << quality_classifier.BITS
+    z, g2 = {}, {}
+
+    def weight(i):
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(g2.get(i, 0.0))) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(4):
+        for r in order.permutation(25):
+            index, n = quality_classifier.features([texts[r]])
+            x = {bias: 1.0}
+            for i in index.ravel().tolist():
+                x[i] = x.get(i, 0.0) + 1 / n[0]
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, v in x.items():
+                w, g = weight(i), (p - labels[r]) * v
+                sigma = (math.sqrt(g2.get(i, 0.0) + g * g) - math.sqrt(g2.get(i, 0.0))) / alpha
+                z[i], g2[i] = z.get(i, 0.0) + g - sigma * w, g2.get(i, 0.0) + g * g
+    found = quality_classifier.train_ftrl(texts, labels, 4, alpha, beta, l1, l2)
+    assert set(np.flatnonzero(found)) == {i for i in z if weight(i)}
+    assert all(found[i] == pytest.approx(weight(i)) for i in z)
+    for t, p in zip(texts, quality_classifier.score_texts(texts, found), strict=True):
+        index, n = quality_classifier.features([t])
+        dot = sum(weight(i) for i in index.ravel().tolist()) / max(n[0], 1) + weight(bias)
+        assert p == pytest.approx(1 / (1 + math.exp(-dot)))
+
+
+def test_out_of_place_distance():
+    """Distances against a plain walk over both ranked lists."""
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdé f") for _ in range(300)).encode() for _ in range(6)]
+    profiles = {f"l{i}": language_id.ranked(*language_id.grams(t)) for i, t in enumerate(texts[:3])}
+    model = language_id.Profiles(profiles)
+    for t in texts:
+        own = language_id.ranked(*language_id.grams(t)).tolist()
+        far = {}
+        for lang, profile in profiles.items():
+            place = {g: r for r, g in enumerate(profile.tolist())}
+            far[lang] = sum(abs(place[g] - r) if g in place else language_id.PROFILE for r, g in enumerate(own))
+        best = min(far, key=lambda k: (far[k], k))
+        assert model.nearest(t) == (best, pytest.approx(1 - far[best] / (language_id.PROFILE * len(own))))
