@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
@@ -29,15 +29,21 @@ def predict_reward(model: GBTRegressionModel, contexts: DataFrame, n_arms: int)
     return model.transform(rows).select("row_id", "arm", F.col("prediction").alias("score"))
 
 
-def refit_every(log: DataFrame, contexts: DataFrame, n_arms: int, every: int, **settings) -> DataFrame:
+def refit_every(log: DataFrame, contexts: DataFrame, n_arms: int, every: int, fit: Callable | None = None, predict: Callable | None = None, **settings) -> DataFrame:
     """(row_id, round, arm): each context is decided by a model of all logged rounds before its
-    stretch of `every` rounds; the first stretch has none (null arm). One fit a stretch."""
+    stretch of `every` rounds; the first stretch has none (null arm). One fit a stretch.
+
+    `fit` takes the logged rows, `predict` the model and contexts and gives (row_id, arm, score);
+    boosted trees with these `settings` by default.
+    """
+    fit = fit or (lambda rows: fit_reward_gbt(rows, n_arms, **settings))
+    predict = predict or (lambda model, rows: predict_reward(model, rows, n_arms))
     last = contexts.agg(F.max("round")).first()[0] or 0
     out = contexts.where(F.col("round") <= every).select("row_id", "round", F.lit(None).cast("int").alias("arm"))
-    for end in range(every, last, every):
-        part = contexts.where((F.col("round") > end) & (F.col("round") <= end + every))
-        model = fit_reward_gbt(log.where(F.col("round") <= end), n_arms, **settings)
-        picked = choose(predict_reward(model, part, n_arms))
+    for start in range(every, last, every):
+        model = fit(log.where(F.col("round") <= start))
+        part = contexts.where((F.col("round") > start) & (F.col("round") <= start + every))
+        picked = choose(predict(model, part))
         out = out.unionByName(part.select("row_id", "round").join(picked, "row_id"))
     return out
 

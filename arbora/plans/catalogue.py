@@ -217,11 +217,37 @@ def p10_cap_rounds(spark, sf_dir):
     return prepare.cap_rounds(prepare.shuffle_rounds(inputs.orders(spark, sf_dir), 4), 500).select("row_id", "round")
 
 
-@query()
+def _pca_sql(k: int, holdout: int, seed: int, squarings: int = 14) -> str:
+    """Components one after another: the covariance is squared until only its leading direction is left,
+    which is then taken out of it."""
+    out = [
+        f"{EMB}, sp AS MATERIALIZED (SELECT row_id, x, row_number() OVER (ORDER BY {noise.uniform_sql('row_id', seed)}, row_id) <= least({holdout}, (SELECT count(*) FROM ctx) // 2) AS holdout FROM ctx)",
+        "e AS MATERIALIZED (SELECT row_id, holdout, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM sp)",
+        "m AS MATERIALIZED (SELECT i, avg(v) AS m FROM e WHERE holdout GROUP BY i)",
+        "z AS MATERIALIZED (SELECT row_id, holdout, i, v - m AS v FROM e JOIN m USING (i))",
+        "q0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) / ((SELECT count(*) FROM sp WHERE holdout) - 1) AS v FROM z a JOIN z b USING (row_id) WHERE a.holdout GROUP BY 1, 2)",
+    ]
+    for c in range(k):
+        out.append(f"s{c}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM q{c} WHERE i = j) AS v FROM q{c})")
+        for t in range(squarings):
+            out.append(f"y{c}_{t} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM s{c}_{t} a JOIN s{c}_{t} b ON a.j = b.i GROUP BY 1, 2)")
+            out.append(f"s{c}_{t + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM y{c}_{t} WHERE i = j) AS v FROM y{c}_{t})")
+        last = f"s{c}_{squarings}"
+        out.append(f"d{c} AS MATERIALIZED (SELECT i, v / sqrt((SELECT max(v) FROM {last} WHERE i = j)) AS w FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j))")
+        out.append(f"g{c} AS MATERIALIZED (SELECT sum(v * a.w * b.w) AS g FROM q{c} JOIN d{c} a USING (i) JOIN d{c} b ON b.i = q{c}.j)")
+        out.append(f"q{c + 1} AS MATERIALIZED (SELECT q{c}.i, q{c}.j, v - (SELECT g FROM g{c}) * a.w * b.w AS v FROM q{c} JOIN d{c} a USING (i) JOIN d{c} b ON b.i = q{c}.j)")
+    each = " UNION ALL ".join(f"SELECT row_id, {c} AS c, abs(sum(v * w)) AS p FROM z JOIN d{c} USING (i) GROUP BY row_id" for c in range(k))
+    share = " + ".join(f"(SELECT g FROM g{c})" for c in range(k))
+    return f"WITH {', '.join(out)} SELECT row_id, string_agg(round(p * 1e3)::BIGINT::VARCHAR, ',' ORDER BY c) AS pc, round(({share}) / (SELECT sum(v) FROM q0 WHERE i = j), 6) AS explained FROM ({each}) GROUP BY row_id"
+
+
+@query(_pca_sql(8, 200, 5))
 def p11_pca(spark, sf_dir):
+    """Eight components; their signs are free, so sizes are compared."""
     e = prepare.split_holdout(inputs.embeddings(spark, sf_dir), 200, 5)
     out, share = prepare.pca_fit_transform(e.where("holdout"), e, 8)
-    return out.select("row_id", _vector("pc", "pc"), F.lit(round(share, 6)).alias("explained"))
+    sizes = F.transform("pc", lambda v: F.round(F.abs(v) * 1e3).cast("bigint").cast("string"))
+    return out.select("row_id", F.array_join(sizes, ",").alias("pc"), F.lit(round(share, 6)).alias("explained"))
 
 
 @query(f"WITH {EVT} SELECT row_id, {s6('least(greatest(reward - 0.75 + 0.5, 0), 1)')} AS s, {s6('least(greatest(reward - 0.75, 0), 1)')} AS c FROM evt")
@@ -600,6 +626,21 @@ def m3_refit_every(spark, sf_dir):
     return models.refit_every(log, log, 5, every).select("row_id", "round", "arm")
 
 
+_STRETCHES = (
+    f"WITH {ORD}, {log_sql(5)}, rd AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {noise.uniform_sql('row_id', 4)}, row_id) AS round, greatest(1, (SELECT count(*) FROM log) // 3) AS every FROM log), st AS MATERIALIZED (SELECT DISTINCT (round - 1) // every AS s FROM rd), "
+    "g AS (SELECT s, arm, 1 + sum(x[1] * x[1]) AS a, sum(x[1] * x[2]) AS b, 1 + sum(x[2] * x[2]) AS c, sum(reward * x[1]) AS f, sum(reward * x[2]) AS h FROM st JOIN rd ON round <= s * every GROUP BY 1, 2), "
+    "w AS MATERIALIZED (SELECT s, arm, (c * f - b * h) / (a * c - b * b) AS m0, (a * h - b * f) / (a * c - b * b) AS m1 FROM g)"
+)
+
+
+@query(f"{_STRETCHES} SELECT row_id, round, (-(max(struct_pack(s := m0 * x[1] + m1 * x[2], a := -w.arm)).a))::INT AS arm FROM rd JOIN w ON w.s = (round - 1) // every GROUP BY row_id, round UNION ALL SELECT row_id, round, NULL FROM rd WHERE round <= every")
+def m3_refit_every_linear(spark, sf_dir):
+    """The same schedule with linear posteriors in place of trees."""
+    log = durable(prepare.shuffle_rounds(inputs.logged(inputs.orders(spark, sf_dir), 5), 4))
+    every = max(1, log.count() // 3)
+    return models.refit_every(log, log.drop("arm"), 5, every, lambda rows: durable(posterior.linear_posterior(rows)), lambda model, rows: score.score_mean_linear(rows, model)).select("row_id", "round", "arm")
+
+
 @query(f"WITH {ORD}, u AS (SELECT row_id, {noise.uniform_sql('row_id', 4)} AS u FROM ctx), rd AS (SELECT row_number() OVER (ORDER BY u, row_id) AS round FROM u) SELECT (length(bin((round - 1) // 500 + 1)) - 1)::INT AS phase, min(round) AS first, max(round) AS last FROM rd GROUP BY 1")
 def m4_doubling_schedule(spark, sf_dir):
     rounds = prepare.shuffle_rounds(inputs.orders(spark, sf_dir), 4)
