@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.vectors import clip01, doubles, one_hot, sigmoid_clip, weighted_sum
 from arbora.operators import models, quantize
+from arbora.operators.posterior import position_sums
 from arbora.operators.prepare import split_holdout
 
 
@@ -87,8 +88,7 @@ def delta_linear(contexts: DataFrame, weights: np.ndarray, intercepts: np.ndarra
 
 def correlation_ratio(df: DataFrame, x_col: str = "x", label_col: str = "label") -> DataFrame:
     """(rho): root of between-class over total sum of squares, all features; 0 if the total is below 1e-15."""
-    each = df.select(F.col(label_col).alias("k"), F.posexplode(doubles(x_col)).alias("i", "v"))
-    by = each.groupBy("k", "i").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    by = position_sums(df, [label_col], x_col, F.lit(0.0))
     per = by.groupBy("i").agg(F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum("s").alias("s"), F.sum("n").alias("n"))
     base = F.col("s") * F.col("s") / F.col("n")
     return per.agg(F.sum(F.col("b") - base).alias("between"), F.sum(F.col("q") - base).alias("total")).select(F.when(F.col("total") < 1e-15, 0.0).otherwise(F.sqrt(F.greatest(F.col("between"), F.lit(0.0)) / F.col("total"))).alias("rho"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.lineage import durable
 from arbora.functions.vectors import clip01, context_arm_features, doubles, one_hot, weighted_sum
-from arbora.operators.posterior import gram
+from arbora.operators.posterior import gram, position_sums
 from arbora.operators.prepare import expand_arms
 from arbora.operators.score import choose
 
@@ -78,7 +78,7 @@ def fit_ridge_multi(df: DataFrame, n_out: int, alpha: float = 1.0, label_col: st
     a = np.zeros((d + 1, d + 1))
     for r in rows:
         a[r["i"], r["j"]] = a[r["j"], r["i"]] = r["v"]
-    by = df.select(F.col(label_col).alias("k"), F.posexplode(doubles(x_col)).alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"), F.count("v").alias("n"))
+    by = position_sums(df, [label_col], x_col, F.lit(0.0)).select(F.col(label_col).alias("k"), "i", F.col("s").alias("v"), "n")
     n, mean = a[d, d], a[d, :d] / a[d, d]
     right, share = np.zeros((n_out, d)), np.zeros(n_out)
     for r in by.where(F.col("k").between(0, n_out - 1)).collect():

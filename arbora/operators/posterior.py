@@ -10,9 +10,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbora.functions.arrow import by_key
 from arbora.functions.lineage import durable
 from arbora.functions.vectors import add_intercept, dot, doubles, sigmoid_clip
 
@@ -55,29 +57,21 @@ def gram(df: DataFrame, keys: Sequence[str], x_col: str = "x", reward_col: str |
     names = [f"k{i}" for i in range(len(keys))]
     rewarded = reward_col is not None
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
-        for pdf in batches:
-            for key, part in pdf.groupby(names, sort=False) if names else [((), pdf)]:
-                if not len(part):
-                    continue
-                x = np.stack(part["x"].to_numpy()).astype(float)
-                f = x.T @ part["reward"].to_numpy(dtype=float) if rewarded else np.zeros(x.shape[1])
-                if key in held:
-                    held[key][0] += x.T @ x
-                    held[key][1] += f
-                    held[key][2] += len(x)
-                else:
-                    held[key] = [x.T @ x, f, len(x)]
+        for b in batches:
+            for key, x, reward in by_key(b, len(names)):
+                new = [x.T @ x, x.T @ reward if rewarded else np.zeros(x.shape[1]), len(x)]
+                held[key] = [p + q for p, q in zip(held[key], new, strict=True)] if key in held else new
         for key, (a, f, n) in held.items():
             i, j = np.triu_indices(len(f))
-            out = {k: v for k, v in zip(names, key, strict=True)}
-            yield pd.DataFrame({**out, "i": np.concatenate([i, np.arange(len(f))]).astype("int32"), "j": np.concatenate([j, np.full(len(f), -1)]).astype("int32"), "v": np.concatenate([a[i, j], f]), "n": n})
+            rows = [np.concatenate([i, np.arange(len(f))]), np.concatenate([j, np.full(len(f), -1)]), np.concatenate([a[i, j], f])]
+            yield key_rows(names, key, {"i": pa.array(rows[0], pa.int32()), "j": pa.array(rows[1], pa.int32()), "v": pa.array(rows[2]), "n": pa.array(np.full(len(rows[2]), n))})
 
     cols = [F.col(k).cast("int").alias(a) for k, a in zip(keys, names, strict=True)]
-    rows = df.select(*cols, doubles(x_col).alias("x"), *([F.col(reward_col).cast("double").alias("reward")] if rewarded else []))
+    rows = df.select(*cols, doubles(x_col).alias("x"), (F.col(reward_col).cast("double") if rewarded else F.lit(0.0)).alias("reward"))
     schema = ", ".join([*(f"{a} int" for a in names), "i int, j int, v double, n long"])
-    summed = rows.mapInPandas(partial, schema).groupBy(*names, "i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    summed = rows.mapInArrow(partial, schema).groupBy(*names, "i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     return summed.select(*[F.col(a).alias(k) for k, a in zip(keys, names, strict=True)], "i", "j", "v", "n")
 
 
@@ -110,12 +104,38 @@ def linear_posterior(log: DataFrame, lam: float = 1.0, x_col: str = "x") -> Data
     return solve(gram(log, ["arm"], x_col), ["arm"], lam)
 
 
+def key_rows(names: Sequence[str], key: tuple, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch of `columns` with one key repeated."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([*[pa.array(np.full(n, k), pa.int32()) for k in key], *columns.values()], names=[*names, *columns])
+
+
+def position_sums(df: DataFrame, keys: Sequence[str], x_col: str, value: Column) -> DataFrame:
+    """(keys, i, n, s, q, f): sums of 1, x[i], x[i] * x[i] and value * x[i], position by position. Tasks
+    add up first, so the shuffle carries one vector a key and task."""
+    names = [f"k{i}" for i in range(len(keys))]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for b in batches:
+            for key, x, v in by_key(b, len(names)):
+                new = [len(x), x.sum(axis=0), (x * x).sum(axis=0), v @ x]
+                held[key] = [p + q for p, q in zip(held[key], new, strict=True)] if key in held else new
+        for key, (n, s, q, f) in held.items():
+            yield key_rows(names, key, {"i": pa.array(np.arange(len(s)), pa.int32()), "n": pa.array(np.full(len(s), n)), "s": pa.array(s), "q": pa.array(q), "f": pa.array(f)})
+
+    cols = [F.col(k).cast("int").alias(a) for k, a in zip(keys, names, strict=True)]
+    schema = ", ".join([*(f"{a} int" for a in names), "i int, n long, s double, q double, f double"])
+    parts = df.select(*cols, doubles(x_col).alias("x"), value.cast("double").alias("v")).mapInArrow(partial, schema)
+    summed = parts.groupBy(*names, "i").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "f")])
+    return summed.select(*[F.col(a).alias(k) for k, a in zip(keys, names, strict=True)], "i", "n", "s", "q", "f")
+
+
 def diag_sums(df: DataFrame, keys: Sequence[str], x_col: str, target: Column) -> DataFrame:
     """(keys, n, s2, f): position-wise sums of x*x and target*x as arrays."""
-    each = df.select(*keys, target.alias("_t"), F.posexplode(x_col).alias("i", "v"))
-    by = each.groupBy(*keys, "i").agg(F.sum(F.col("v") * F.col("v")).alias("s2"), F.sum(F.col("v") * F.col("_t")).alias("f"), F.count("v").alias("n"))
-    rows = by.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "s2", "f"))).alias("p"), F.max("n").alias("n"))
-    return rows.select(*keys, "n", F.transform("p", lambda p: p["s2"]).alias("s2"), F.transform("p", lambda p: p["f"]).alias("f"))
+    by = position_sums(df, keys, x_col, target)
+    rows = by.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "q", "f"))).alias("p"), F.max("n").alias("n"))
+    return rows.select(*keys, "n", F.transform("p", lambda p: p["q"]).alias("s2"), F.transform("p", lambda p: p["f"]).alias("f"))
 
 
 def diag_posterior(log: DataFrame, lam: float = 1.0, x_col: str = "x") -> DataFrame:

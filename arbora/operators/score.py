@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from arbora.functions import noise
+from arbora.functions.arrow import matrix
 from arbora.functions.vectors import add_intercept, argmax_arm, dot, doubles, squared_norm
 from arbora.operators.prepare import expand_arms
 
@@ -36,15 +37,6 @@ def _bytes(table: DataFrame, *arrays: str) -> int:
     return 8 * sum(v or 0 for v in table.agg(*[F.sum(F.size(c)) for c in arrays]).first())
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of a batch as rows, and which of them are there; null vectors are rows of NaN."""
-    there = np.asarray(column.is_valid())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    x = np.full((len(column), len(flat) // max(1, int(there.sum()))), np.nan)
-    x[there] = flat.reshape(int(there.sum()), -1)
-    return x, there
-
-
 def _salted_join(rows: DataFrame, models: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join with a model table of few keys, each key's rows dealt over SALTS tasks."""
     spread = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -76,7 +68,7 @@ def score_linear(contexts: DataFrame, posterior: DataFrame, x_col: str = "x", va
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         means, covs = shared.value
         for b in batches:
-            x, there = _matrix(b.column(b.num_columns - 1))
+            x, there = matrix(b.column(b.num_columns - 1))
             if not len(arms) or not there.any():
                 x = np.full((len(there), 0 if means is None else means.shape[0]), np.nan)
             row = np.repeat(np.arange(len(x)), len(arms))
@@ -238,7 +230,7 @@ def _score_cells(encoded: DataFrame, posterior: DataFrame, fields: tuple[str, st
             mean, var = np.zeros((n, n_arms, depth)), np.zeros((n, n_arms, depth))
             for level in range(depth):
                 code = b.column(1 + 2 * level).to_numpy(zero_copy_only=False)
-                z, _ = _matrix(b.column(2 + 2 * level))
+                z, _ = matrix(b.column(2 + 2 * level))
                 for c in np.unique(code[~np.isnan(code.astype(float))]):
                     at = np.flatnonzero(code == c)
                     mean[at, :, level], var[at, :, level] = model(z[at], shared.value.get((level, int(c)), {}), level)
