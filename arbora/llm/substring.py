@@ -355,11 +355,11 @@ def string_marks(strings: DataFrame, window: int, keep: Scratch) -> DataFrame:
 def marks(texts: DataFrame, window: int, keep: Scratch) -> DataFrame:
     """(k1, k2, spans): spans of repeated words (in order, may overlap) of the distinct texts."""
     anchored = keep(_anchor_rows(texts, window))
-    several = anchored.groupBy("core").agg(F.count("*").alias("size")).where("size > 1").select("core")
+    several = keep(anchored.groupBy("core").agg(F.count("*").alias("size")).where("size > 1").select("core"))
     live = anchored.join(several, "core").groupBy("k1", F.col("k2").alias("j2")).agg(F.collect_list(F.struct("core", "run")).alias("live"))
     # on k1 alone, by which both are dealt already
     runs = keep(_run_rows(texts.join(live, "k1").where(F.col("k2") - F.col("j2") == 0), window))
-    keep.drop(before=1)
+    keep.drop(before=1)  # anchors are not read any more
     first = lambda c: F.first(c, ignorenulls=True).alias(c)
     strings = keep(runs.groupBy("core", "d1", "d2").agg(F.count("*").alias("places"), first("n"), first("before"), first("words")))
     rows = strings.select("core", F.lit(0).alias("low"), F.lit(window - GRAM).alias("high"), "d1", "d2", F.lit(0).cast("long").alias("first"), "n", "before", "words")
