@@ -12,7 +12,9 @@ by these rules. Copies of one text count once. All of it is DataFrame expression
 
 Defined results: a null text has no words and no symbols and fails the base rule; a null stratum is
 a stratum of its own; a document with several labels counts as good if one of them says so; labels
-without a document, null labels and labels of null ids are not used.
+without a document, null labels and labels of null ids are not used; equal values of a measure are on
+one side of a cutoff; repeated rows are judged one by one; other columns are not read, whatever
+their names; very long texts are measured whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, durable
+from .common import WHITE, column, durable
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -77,8 +79,8 @@ def _covered(grams: Column, size: int) -> Column:
 
 def measures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", stratum_col: str = "lang", repeat_window: int = 5) -> DataFrame:
     """(id, stratum, text_hash, counts ...): one row per document, computed within the row."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    a = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"), text.alias("t"))
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    a = docs.select(column(id_col).alias("id"), column(stratum_col).cast("string").alias("stratum"), text.alias("t"))
     b = a.withColumn("w", words_array(F.col("t")))
     c = b.select("id", "stratum", "t", "w", _grams(F.col("w"), repeat_window).alias("g"))
     lines = let(F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
@@ -120,7 +122,7 @@ def _critical_counts(sizes: DataFrame, rate: float, tests: Column) -> DataFrame:
 
 def cutoffs(found: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.05, label_col: str = "quality", id_col: str = "doc_id") -> DataFrame:
     """(stratum, one nullable cutoff per rule) from the measured documents and labels 1 (good) / 0."""
-    marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("good"))
+    marks = labels.where(column(id_col).isNotNull() & column(label_col).isin(0, 1)).groupBy(column(id_col).alias("id")).agg(F.max(column(label_col)).alias("good"))
     rows = found.where(~base_failed()).join(marks, "id").select(F.coalesce("stratum", F.lit("")).alias("stratum"), "text_hash", "good", *[measure(r).alias(r) for r in RULES])
     one = rows.groupBy("stratum", "text_hash").agg(F.max("good").alias("good"), *[F.max(r).alias(r) for r in RULES])
     tried = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES])
