@@ -2,17 +2,21 @@
 
 Each stage takes what the one before it kept, judges it on that input and returns the columns of
 documents; only the last adds the shard and the slot.
+
+Defined results: a document without a text is judged as an empty one; null ids, sources and languages
+are values like any other; of rows equal in every column one is kept and may then be repeated by the
+mixing; further columns are kept, whatever their names, but one that is called shard or slot, in any
+case, is replaced by the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from arbora.llm import decontaminate, mixing, quality_classifier, sharding, simhash
-from arbora.llm.common import ensure_checkpoint_dir, table
+from arbora.llm.common import remove_folder, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arbora_pipeline_{uuid4().hex}"
+    """All stages over documents; each result is written as Parquet, read again by the next stage and
+    removed after it. The last stays for the result."""
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{folder}/{i}")
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove_folder(spark, f"{folder}/{i - 1}")
     return docs
