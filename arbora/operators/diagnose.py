@@ -14,6 +14,7 @@ from arbora.functions.vectors import clip01, doubles, one_hot, sigmoid_clip, wei
 from arbora.operators import models, quantize
 from arbora.operators.posterior import position_sums
 from arbora.operators.prepare import split_holdout
+from arbora.operators.score import sent
 
 
 def _level_sum(encoded: DataFrame, table: DataFrame, value: str, depth: int, n_arms: int, eta: float | None) -> DataFrame:
@@ -155,10 +156,10 @@ def squared_errors(scored_active: DataFrame, scored_shadow: DataFrame, log: Data
 def counter_predictions(log: DataFrame, posterior: DataFrame, levels: int, eta: float = 0.5) -> DataFrame:
     """`log` with `preds`: for the arm that was chosen, the sum of eta**l * theta over the first 1, 2, ...
     `levels` levels. One lookup a level by (code, arm); arms that were not chosen are never scored."""
-    rows, sums = log, [F.lit(0.0)]
+    rows, sums, size = log, [F.lit(0.0)], posterior.count()
     for level in range(levels):
         look = posterior.where(F.col("level") == level).select(F.col("code").alias("_code"), F.col("arm").alias("_arm"), F.col("theta").alias(f"_theta_{level}"))
-        rows = rows.join(look, (F.get("codes", F.lit(level)) == F.col("_code")) & (F.col("arm") == F.col("_arm")), "left").drop("_code", "_arm")
+        rows = rows.join(sent(look, size), (F.get("codes", F.lit(level)) == F.col("_code")) & (F.col("arm") == F.col("_arm")), "left").drop("_code", "_arm")
         sums.append(sums[-1] + eta**level * F.coalesce(f"_theta_{level}", F.lit(0.0)))
     return rows.withColumn("preds", F.array(*sums[1:])).drop(*[f"_theta_{level}" for level in range(levels)])
 

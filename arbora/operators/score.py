@@ -37,6 +37,11 @@ def _bytes(table: DataFrame, *arrays: str) -> int:
     return 8 * sum(v or 0 for v in table.agg(*[F.sum(F.size(c)) for c in arrays]).first())
 
 
+def sent(look: DataFrame, cells: int, cell_bytes: int = 64) -> DataFrame:
+    """A lookup table, broadcast where its counted cells are within SEND_BYTES."""
+    return F.broadcast(look) if cells * cell_bytes <= SEND_BYTES else look
+
+
 def _salted_join(rows: DataFrame, models: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join with a model table of few keys, each key's rows dealt over SALTS tasks."""
     spread = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -202,11 +207,11 @@ def score_counter_rq(encoded: DataFrame, posterior: DataFrame, depth: int, n_arm
     A cell that was never seen has the prior: theta 0, inverse precision 1 / lam. Each level is one
     lookup of all arms' cells by the context's code; rows are never exchanged where the table is small.
     """
-    rows = encoded.select("row_id", F.slice("codes", 1, depth).alias("codes"))
+    rows, size = encoded.select("row_id", F.slice("codes", 1, depth).alias("codes")), posterior.count()
     for level in range(depth):
         cells = F.map_from_entries(F.collect_list(F.struct("arm", F.struct("n", "theta"))))
         look = posterior.where(F.col("level") == level).groupBy(F.col("code").alias("_code")).agg(cells.alias(f"_cells_{level}"))
-        rows = rows.join(look, F.get("codes", F.lit(level)) == F.col("_code"), "left").drop("_code")
+        rows = rows.join(sent(look, size), F.get("codes", F.lit(level)) == F.col("_code"), "left").drop("_code")
     long = expand_arms(rows, n_arms)
     mean = F.array(*[F.coalesce(F.try_element_at(F.col(f"_cells_{level}"), F.col("arm"))["theta"], F.lit(0.0)) for level in range(depth)])
     var = F.array(*[1 / (F.coalesce(F.try_element_at(F.col(f"_cells_{level}"), F.col("arm"))["n"], F.lit(0)) + F.lit(float(lam))) for level in range(depth)])
