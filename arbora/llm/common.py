@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,8 @@ def prepare(spark: SparkSession) -> None:
     as they are.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+    size = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(name).strip().lower())
+    if not size or not 0 < int(size[1]) << 10 * " kmgtp".index(size[2] or " ") <= BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 

@@ -64,3 +64,14 @@ def test_stage(spark, docs, tmp_path, name, stage):
     if name == "near duplicates":
         assert {0, 3, 5, 10} <= kept and not {1, 2, 4, 6, 12} & kept
     assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+@pytest.mark.parametrize("given,want", [("64m", "4194304b"), ("67108864b", "4194304b"), ("1m", "1m"), ("2048", "2048"), ("1g", "4194304b")])
+def test_batches_are_only_lowered(spark, given, want):
+    from arbora.llm.common import prepare
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, given)
+    prepare(spark)
+    assert spark.conf.get(name) == want
+    spark.conf.unset(name)
