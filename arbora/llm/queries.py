@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, oracle, quality_classifier, quality_rules, sharding, simhash, substring, token_output
+from . import chat_format, decontaminate, divergence, language_id, mixing, neighbours, oracle, quality_classifier, quality_rules, sharding, simhash, substring, token_output, whitening
 from .common import crc_mod, shared_folder, table
 
 
@@ -82,6 +82,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows, "embedding")
+    found = whitening.transform(rows, model, "embedding", "found")
+    n, explained, error = (model.n, model.explained, model.identity_error) if model else (0, [], 0.0)
+    each = found.select("vec_id", "found.deviation", F.posexplode("found.whitened").alias("at", "whitened"))
+    shares = F.array(*[F.lit(e) for e in explained]).cast("array<double>")
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
@@ -93,5 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
+    "op11_neighbours": op11_neighbours,
+    "op12_divergence": op12_divergence,
+    "op13_whitening": op13_whitening,
 }
-ORACLE: dict[str, str] = {"op2_decontaminate": oracle.OP2, "op5_quality_rules": oracle.OP5, "op7_substring": oracle.OP7}
+ORACLE: dict[str, str] = {"op2_decontaminate": oracle.OP2, "op5_quality_rules": oracle.OP5, "op7_substring": oracle.OP7, "op12_divergence": oracle.OP12}
