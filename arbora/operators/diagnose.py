@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.functions.vectors import clip01, doubles, one_hot, sigmoid_clip, weighted_sum
+from arbora.functions.arrow import matrix
+from arbora.functions.vectors import add_intercept, clip01, dot, doubles, one_hot, sigmoid_clip, weighted_sum
 from arbora.operators import models, quantize
 from arbora.operators.posterior import position_sums
 from arbora.operators.prepare import split_holdout
-from arbora.operators.score import sent
+from arbora.operators.score import SEND_BYTES, sent
 
 
 def _level_sum(encoded: DataFrame, table: DataFrame, value: str, depth: int, n_arms: int, eta: float | None) -> DataFrame:
@@ -164,6 +166,51 @@ def counter_predictions(log: DataFrame, posterior: DataFrame, levels: int, eta:
     return rows.withColumn("preds", F.array(*sums[1:])).drop(*[f"_theta_{level}" for level in range(levels)])
 
 
+def weights(kind: str, models: DataFrame) -> DataFrame:
+    """(level, code, arm, w): the mean weights of diagonal (`diag`) or full (`linear`) models."""
+    return models.select("level", "code", "arm", (F.zip_with("f", "prec", lambda f, p: f / p) if kind == "diag" else F.col("mean")).alias("w"))
+
+
+def chosen_predictions(log: DataFrame, cells: DataFrame, levels: int, eta: float = 0.5) -> DataFrame:
+    """`log` with `preds` as from `counter_predictions`, for models of weights `w` on each level's
+    residual and an intercept. A cell without weights adds nothing.
+
+    The weights are measured. Up to SEND_BYTES they go to the tasks, which take the rows of a batch by
+    cell; beyond, each level is one join by (code, arm). Arms that were not chosen are never scored.
+    """
+    rows = log.drop("preds")
+    z = lambda level: add_intercept(F.get("residuals", F.lit(level)))
+    if 8 * (cells.agg(F.sum(F.size("w"))).first()[0] or 0) > SEND_BYTES:
+        sums = [F.lit(0.0)]
+        for level in range(levels):
+            look = cells.where(F.col("level") == level).select(F.col("code").alias("_code"), F.col("arm").alias("_arm"), F.col("w").alias(f"_w{level}"))
+            rows = rows.join(look, (F.get("codes", F.lit(level)) == F.col("_code")) & (F.col("arm") == F.col("_arm")), "left").drop("_code", "_arm")
+            sums.append(sums[-1] + eta**level * F.coalesce(dot(F.col(f"_w{level}"), z(level)), F.lit(0.0)))
+        return rows.withColumn("preds", F.array(*sums[1:])).drop(*[f"_w{level}" for level in range(levels)])
+    tables: dict[tuple[int, int, int], np.ndarray] = {(r["level"], r["code"], r["arm"]): np.array(r["w"]) for r in cells.where(F.col("level") < levels).collect()}
+    shared = log.sparkSession.sparkContext.broadcast(tables)
+
+    @F.arrow_udf("array<double>")
+    def look(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for arm, *parts in batches:
+            n, total, out = len(arm), np.zeros(len(arm)), np.zeros((len(arm), levels))
+            for level in range(levels):
+                code, (x, there) = parts[2 * level], matrix(parts[2 * level + 1])
+                usable = np.flatnonzero(np.asarray(arm.is_valid()) & np.asarray(code.is_valid()) & there)
+                pairs = np.stack([code.fill_null(-1).to_numpy(), arm.fill_null(-1).to_numpy()], axis=1)[usable]
+                found, at = np.unique(pairs, axis=0, return_inverse=True)
+                for k, (c, a) in enumerate(found.tolist()):
+                    w = shared.value.get((level, c, a))
+                    if w is not None:
+                        own = usable[at.ravel() == k]
+                        total[own] += eta**level * (x[own] @ w)
+                out[:, level] = total
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, n * levels + 1, levels, dtype=np.int32)), pa.array(out.ravel()))
+
+    columns = [c for level in range(levels) for c in (F.get("codes", F.lit(level)), z(level))]
+    return rows.withColumn("preds", look(F.col("arm").cast("int"), *columns))
+
+
 def depth_errors(predicted: DataFrame, active: int, shadow: int, *keep: str) -> DataFrame:
     """(keep, sq_err_active, sq_err_shadow) at two depths, from `counter_predictions`."""
     error = lambda depth: F.pow(F.col("reward") - sigmoid_clip(F.get("preds", F.lit(depth - 1))), F.lit(2.0))

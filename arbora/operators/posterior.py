@@ -156,14 +156,16 @@ def _small(table: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     return F.broadcast(table) if rows <= limit else table
 
 
-def levelwise_counter_fit(log: DataFrame, levels: int, n_arms: int, nbits: int = 4, lam: float = 1.0, eta: float = 0.5) -> DataFrame:
+def levelwise_counter_fit(log: DataFrame, levels: int, n_arms: int, nbits: int = 4, lam: float = 1.0, eta: float = 0.5, trained: Column | None = None) -> DataFrame:
     """Counter posteriors of all levels, fitted in turn.
 
     The target of a level is reward - clip(1/2 + sum over lower levels of eta**level * theta); level l
-    is fitted when the levels below are final. `log` has codes, arm and reward.
+    is fitted when the levels below are final. `log` has codes, arm and reward; with `trained` a row
+    counts for so many levels only (those that were active, and the shadow, when it was decided).
     """
-    out, rest = [], log.withColumn("_pred", F.lit(0.0))
+    out, rest = [], log.withColumn("_pred", F.lit(0.0)).withColumn("_upto", F.lit(levels) if trained is None else trained)
     for level in range(levels):
+        rest = rest.where(F.col("_upto") > level)
         table = durable(counter_posterior(rest, level, lam, F.col("reward") - sigmoid_clip(F.col("_pred"))))
         out.append(table)
         look = _small(table.select("code", "arm", "theta"), (1 << nbits) * n_arms)
@@ -178,11 +180,12 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return first
 
 
-def levelwise_diag_fit(log: DataFrame, levels: int, n_arms: int, nbits: int = 4, lam: float = 1.0, eta: float = 0.5) -> DataFrame:
-    """(level, code, arm, n, prec, f): diagonal models on residuals with an intercept, level by level."""
-    out, rest = [], log.withColumn("_pred", F.lit(0.0))
+def levelwise_diag_fit(log: DataFrame, levels: int, n_arms: int, nbits: int = 4, lam: float = 1.0, eta: float = 0.5, trained: Column | None = None) -> DataFrame:
+    """(level, code, arm, n, prec, f): diagonal models on residuals with an intercept, level by level;
+    `trained` as for the counters."""
+    out, rest = [], log.withColumn("_pred", F.lit(0.0)).withColumn("_upto", F.lit(levels) if trained is None else trained)
     for level in range(levels):
-        at = rest.withColumn("code", F.get("codes", F.lit(level))).withColumn("_z", add_intercept(F.get("residuals", F.lit(level))))
+        at = rest.where(F.col("_upto") > level).withColumn("code", F.get("codes", F.lit(level))).withColumn("_z", add_intercept(F.get("residuals", F.lit(level))))
         sums = diag_sums(at, ["code", "arm"], "_z", F.col("reward") - sigmoid_clip(F.col("_pred")))
         table = durable(sums.select(F.lit(level).alias("level"), "code", "arm", "n", F.transform("s2", lambda v: v + lam).alias("prec"), "f"))
         out.append(table)
@@ -191,12 +194,12 @@ def levelwise_diag_fit(log: DataFrame, levels: int, n_arms: int, nbits: int = 4,
     return _union(out)
 
 
-def levelwise_linear_fit(log: DataFrame, levels: int, n_arms: int, nbits: int = 4, lam: float = 1.0, eta: float = 0.5) -> DataFrame:
+def levelwise_linear_fit(log: DataFrame, levels: int, n_arms: int, nbits: int = 4, lam: float = 1.0, eta: float = 0.5, trained: Column | None = None) -> DataFrame:
     """(level, code, arm, n, a, f, cov, mean): full models on residuals with an intercept; the prior of
-    level l is lam * 0.25**l."""
-    out, rest = [], log.withColumn("_pred", F.lit(0.0))
+    level l is lam * 0.25**l; `trained` as for the counters."""
+    out, rest = [], log.withColumn("_pred", F.lit(0.0)).withColumn("_upto", F.lit(levels) if trained is None else trained)
     for level in range(levels):
-        at = rest.withColumn("code", F.get("codes", F.lit(level))).withColumn("_z", add_intercept(F.get("residuals", F.lit(level)))).withColumn("_t", F.col("reward") - sigmoid_clip(F.col("_pred")))
+        at = rest.where(F.col("_upto") > level).withColumn("code", F.get("codes", F.lit(level))).withColumn("_z", add_intercept(F.get("residuals", F.lit(level)))).withColumn("_t", F.col("reward") - sigmoid_clip(F.col("_pred")))
         table = durable(solve(gram(at, ["code", "arm"], "_z", "_t"), ["code", "arm"], lam * 0.25**level).withColumn("level", F.lit(level)))
         out.append(table)
         look = _small(table.select("code", "arm", F.col("mean").alias("_w")), (1 << nbits) * n_arms)
