@@ -12,12 +12,19 @@ import pyarrow.compute as pc
 def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of a batch as rows, and which of them are there; null vectors are rows of NaN."""
     there = np.asarray(column.is_valid())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    x = np.full((len(column), len(flat) // max(1, int(there.sum()))), np.nan)
-    x[there] = flat.reshape(int(there.sum()), -1)
+    flat, n = column.flatten().to_numpy(zero_copy_only=False), int(there.sum())
+    x = np.full((len(column), len(flat) // max(1, n)), np.nan)
+    if n:
+        x[there] = flat.reshape(n, -1)
     return x, there
 
 
+def rows_of(x: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+    """A list a row of a matrix; null where a row is not there."""
+    ends = pa.array(np.arange(0, len(x) * x.shape[1] + 1, x.shape[1], dtype=np.int32) if x.shape[1] else np.zeros(len(x) + 1, dtype=np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(x.ravel()), mask=None if there is None or there.all() else pa.array(~there))
+
+
 def by_key(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple[int, ...], np.ndarray, np.ndarray]]:
     """(key, vectors, values) of each key of a batch of whole-number keys, a vector and a value; rows
     with a null among them are left out."""

@@ -76,17 +76,21 @@ def delta_boosted(encoded: DataFrame, means: DataFrame, depth: int, n_arms: int,
 
 
 def delta_linear(contexts: DataFrame, weights: np.ndarray, intercepts: np.ndarray) -> DataFrame:
-    """(mae): predictions clipped to [0, 1], divided by their sum (1e-10 at least), against indicators."""
+    """(mae): predictions clipped to [0, 1], divided by their sum (1e-10 at least), against indicators.
+    Rows with a null vector are left out; a null label is no class."""
 
-    @F.pandas_udf("double")
-    def error(x: pd.Series, label: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=float)
-        p = np.clip(np.stack(x.to_numpy()) @ weights.T + intercepts, 0, 1)
-        p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-10)
-        return pd.Series(np.abs(p - (label.to_numpy()[:, None] == np.arange(len(intercepts)))).mean(axis=1))
+    @F.arrow_udf("double")
+    def error(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, label in batches:
+            v, there = matrix(x)
+            out = np.zeros(len(v))
+            if there.any():
+                p = np.clip(v[there] @ weights.T + intercepts, 0, 1)
+                p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-10)
+                out[there] = np.abs(p - (label.fill_null(-1).to_numpy()[there][:, None] == np.arange(len(intercepts)))).mean(axis=1)
+            yield pa.array(out, mask=~there)
 
-    return contexts.select(error(doubles("x"), "label").alias("_e")).agg(F.avg("_e").alias("mae"))
+    return contexts.select(error(doubles("x"), F.col("label").cast("int")).alias("_e")).agg(F.avg("_e").alias("mae"))
 
 
 def correlation_ratio(df: DataFrame, x_col: str = "x", label_col: str = "label") -> DataFrame:
@@ -290,6 +294,16 @@ def freedman_promotion(moments: DataFrame, alpha: float) -> DataFrame:
     return moments.withColumn("log_p", freedman_log_p()).withColumn("promote_freedman", F.coalesce(F.col("log_p") < math.log(alpha), F.lit(False)))
 
 
+def wins(test: str, n: int, mean: float, sd: float | None, total: float, spread: float, top: float, alpha: float) -> bool:
+    """One test (`ttest` or `freedman`) on the moments of one window, as `paired_t_promotion` and
+    `freedman_promotion` do it for tables of them."""
+    if test == "freedman":
+        return total > 0 and -total * total / (2 * spread + 2 * top * total / 3) < math.log(alpha)
+    if not (sd or 0) > 0:
+        return mean > 0
+    return mean > 0 and t_tail(mean / (sd / math.sqrt(n)), n - 1) < alpha
+
+
 def check_schedule(spark: SparkSession, c: int = 50, b: int = 16, n_arms: int = 2, max_depth: int = 8, alpha: float = 0.05) -> DataFrame:
     """(k, t, alpha): check rounds T0 * 2**k, T0 = c * b * K, 3 * max_depth of them, alpha shared evenly."""
     t0, checks = int(c * b * n_arms), 3 * max_depth
@@ -319,12 +333,7 @@ def promotion_log(errors: DataFrame, schedule: DataFrame, window: int, test: str
         for r in pdf.sort_values("t").itertuples(index=False):
             if depth >= max_level or r.n < window or r.t - since < window:
                 continue
-            if test == "freedman":
-                win = r.total > 0 and -r.total * r.total / (2 * r.spread + 2 * r.top * r.total / 3) < math.log(r.alpha)
-            elif not r.sd > 0:
-                win = r.mean > 0
-            else:
-                win = r.mean > 0 and t_tail(r.mean / (r.sd / math.sqrt(r.n)), r.n - 1) < r.alpha
+            win = wins(test, r.n, r.mean, r.sd, r.total, r.spread, r.top, r.alpha)
             if win:
                 out.append((r.run_id, r.t, depth, depth + 1))
                 depth, since = depth + 1, r.t

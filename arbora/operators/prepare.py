@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.functions import noise
+from arbora.functions.arrow import matrix
 from arbora.functions.vectors import doubles, one_hot
 
 
@@ -116,12 +117,17 @@ def pca_fit_transform(holdout: DataFrame, rows: DataFrame, k: int, x_col: str =
 
 
 def label_by_linear_argmax(df: DataFrame, weights: Sequence[Sequence[float]], x_col: str = "x", out_col: str = "label") -> DataFrame:
-    """Label = arm of the greatest x . w; the lowest arm of equal ones."""
+    """Label = arm of the greatest x . w; the lowest arm of equal ones. A null vector has no label."""
     w = np.asarray(weights, dtype=float)
 
-    @F.pandas_udf("int")
-    def best(x: pd.Series) -> pd.Series:
-        return pd.Series(np.argmax(np.stack(x.to_numpy()) @ w.T, axis=1).astype("int32") if len(x) else np.zeros(0, dtype="int32"))
+    @F.arrow_udf("int")
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in batches:
+            v, there = matrix(x)
+            label = np.zeros(len(v), dtype=np.int32)
+            if there.any():
+                label[there] = np.argmax(v[there] @ w.T, axis=1)
+            yield pa.array(label, mask=~there)
 
     return df.withColumn(out_col, best(doubles(x_col)))
 

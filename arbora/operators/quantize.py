@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.functions.arrow import matrix, rows_of
 from arbora.functions.vectors import doubles
 
 #: A level's centroids, by code.
@@ -53,10 +55,10 @@ def train_codebook(df: DataFrame, levels: int = 4, nbits: int = 4, iterations: i
 
     Starts from the 2**nbits rows of the lowest ids. An empty code keeps its centroid. Each iteration
     is one pass: tasks add up sums and counts of their rows by code, and 2**nbits sums come back. Rows
-    are neither shuffled nor gathered; `df` is worth caching.
+    are neither shuffled nor gathered; `df` is worth caching. Null vectors are left out.
     """
     b = 1 << nbits
-    first = df.select(F.col(id_col), doubles(x_col).alias("x")).orderBy(id_col).limit(b).collect()
+    first = df.select(F.col(id_col), doubles(x_col).alias("x")).where("x is not null").orderBy(id_col).limit(b).collect()
     if not first:
         raise ValueError("no rows to train on")
     start = np.array([r["x"] for r in first])
@@ -89,7 +91,7 @@ def _sums(df: DataFrame, x_col: str, codebook: Codebook) -> tuple[np.ndarray, np
         seen = np.flatnonzero(n)
         yield pd.DataFrame({"code": seen.astype("int32"), "n": n[seen], "s": pd.Series(total[seen].tolist(), dtype=object)})
 
-    parts = df.select(doubles(x_col).alias("x")).mapInPandas(add, "code int, n long, s array<double>")
+    parts = df.select(doubles(x_col).alias("x")).where("x is not null").mapInPandas(add, "code int, n long, s array<double>")
     each = parts.select("code", "n", F.posexplode("s").alias("i", "v")).groupBy("code", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     sums, counts = np.zeros((b, d)), np.zeros(b, dtype=np.int64)
     for r in each.collect():
@@ -100,21 +102,37 @@ def _sums(df: DataFrame, x_col: str, codebook: Codebook) -> tuple[np.ndarray, np
 
 def encode(df: DataFrame, codebook: Codebook, x_col: str = "x", residuals: bool = False) -> DataFrame:
     """`df` with `codes`, and with `residuals` (the vector before every level) if asked: one matrix
-    product a level and batch, no shuffle. The codebook goes along with the function."""
+    product a level and batch, no shuffle. The codebook goes along with the function. A null vector has
+    null codes and residuals."""
+    levels, d = len(codebook), codebook[0].shape[1] if codebook else 0
+
+    def walked(x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v, there = matrix(x)
+        codes, left = np.zeros((len(v), levels), dtype=np.int32), np.zeros((len(v), levels, d if residuals else 0))
+        if there.any():
+            found, rest = _walk(v[there], codebook)
+            codes[there] = np.stack(found, axis=1)
+            if residuals:
+                left[there] = np.stack(rest[:-1], axis=1)
+        return codes, left, there
+
     if not residuals:
 
-        @F.pandas_udf("array<int>")
-        def look(x: pd.Series) -> pd.Series:
-            return pd.Series(np.stack(_walk(_stack(x), codebook)[0], axis=1).tolist() if len(x) else [], dtype=object)
+        @F.arrow_udf("array<int>")
+        def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for x in batches:
+                codes, _, there = walked(x)
+                yield rows_of(codes, there)
 
         return df.withColumn("codes", look(doubles(x_col)))
 
-    @F.pandas_udf("struct<codes:array<int>,residuals:array<array<double>>>")
-    def walk(x: pd.Series) -> pd.DataFrame:
-        if not len(x):
-            return pd.DataFrame({"codes": [], "residuals": []})
-        codes, left = _walk(_stack(x), codebook)
-        return pd.DataFrame({"codes": np.stack(codes, axis=1).tolist(), "residuals": np.stack(left[:-1], axis=1).tolist()})
+    @F.arrow_udf("struct<codes:array<int>,residuals:array<array<double>>>")
+    def walk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in batches:
+            codes, left, there = walked(x)
+            ends = pa.array(np.arange(0, len(left) * levels + 1, levels, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(ends, rows_of(left.reshape(-1, d)), mask=None if there.all() else pa.array(~there))
+            yield pa.StructArray.from_arrays([rows_of(codes, there), lists], names=["codes", "residuals"])
 
     return df.withColumn("_rq", walk(doubles(x_col))).withColumns({"codes": F.col("_rq.codes"), "residuals": F.col("_rq.residuals")}).drop("_rq")
 

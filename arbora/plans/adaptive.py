@@ -83,15 +83,13 @@ def r1_adaptive_stream(spark, sf_dir):
 @query(f"{_ADAPTIVE} SELECT level, code, arm, n::BIGINT AS n, {s6('f')} AS f FROM k{PARTS}")
 def r3_shadow_training(spark, sf_dir):
     """Counters after the run: levels below the shadow are trained from their turn on."""
-    learner = _adaptive_run(spark, sf_dir)
-    return learner.ledger.read(spark).select("level", "code", "arm", "n", r6("f").alias("f"))
+    return _adaptive_run(spark, sf_dir).ledger.read(spark).select("level", "code", "arm", "n", r6("f").alias("f"))
 
 
 @query(f"{_ADAPTIVE} " + " UNION ALL ".join(f"SELECT {b}::BIGINT AS batch_id, (SELECT max(round) FROM x{b}) AS t, d{b}.depth AS old_depth, d{b + 1}.depth AS new_depth FROM d{b}, d{b + 1} WHERE d{b}.depth < d{b + 1}.depth" for b in range(PARTS)))
 def r3_promotions(spark, sf_dir):
     """The promotions of the run."""
-    learner = _adaptive_run(spark, sf_dir)
-    return adaptive.read_batches(spark, f"{learner.folder}/promotions", "t long, old_depth int, new_depth int").select("batch_id", "t", "old_depth", "new_depth")
+    return _adaptive_run(spark, sf_dir).promotions(spark)
 
 
 def _errors(predicted: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ _EMPTY = {
 }
 _SCORES = {"counter": score.score_counter_rq, "diag": score.score_diag_rq, "linear": score.score_linear_rq}
 _ERRORS = "round long, sq_err_active double, sq_err_shadow double"
-_STATE = "depth int, since long, seen long"
+_STATE = "depth int, since long, seen long, promoted array<struct<t:long,old_depth:int,new_depth:int>>"
 
 
 def level_sums(kind: str, rows: DataFrame, trained: Column) -> DataFrame:
@@ -170,9 +170,8 @@ class AdaptiveLearner:
             append_checkpoints(self._errors(predicted, depths), f"{self.folder}/errors", batch_id)
             self.ledger.append(level_sums(self.kind, predicted, F.least(at + 1, F.lit(self.levels))), batch_id)
             promoted = [(t, d - 1, d) for t, d in depths[1:]]
-            append_checkpoints(spark.createDataFrame(promoted, "t long, old_depth int, new_depth int"), f"{self.folder}/promotions", batch_id)
             new = State(batch_id, depth, since, old.seen + n)
-            spark.createDataFrame([(new.depth, new.since, new.seen)], _STATE).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/state/version={batch_id}")
+            spark.createDataFrame([(new.depth, new.since, new.seen, promoted)], _STATE).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/state/version={batch_id}")
             return new
         finally:
             predicted.unpersist()
@@ -198,8 +197,13 @@ class AdaptiveLearner:
             return False
         earlier = read_batches(predicted.sparkSession, f"{self.folder}/errors", _ERRORS, batch_id).drop("batch_id")
         seen = earlier.unionByName(self._errors(predicted, depths)).where((F.col("round") <= t) & (F.col("round") > t - self.window))
-        found = diagnose.compare_promotion_tests(seen.withColumn("run_id", F.lit(0)), ["run_id"], alpha).first()
-        return bool(found and found["n"] >= self.window and found["promote_freedman" if self.test == "freedman" else "promote_t"])
+        found = diagnose.window_moments(seen, []).first()
+        return found["n"] >= self.window and diagnose.wins(self.test, *[found[c] for c in ("n", "mean", "sd", "total", "spread", "top")], alpha)
+
+    def promotions(self, spark: SparkSession) -> DataFrame:
+        """(batch_id, t, old_depth, new_depth) of all batches."""
+        rows = spark.read.schema(f"{_STATE}, version long").parquet(f"{self.folder}/state")
+        return rows.select(F.col("version").alias("batch_id"), F.inline("promoted"))
 
 
 def read_batches(spark: SparkSession, folder: str, schema: str, before: int | None = None) -> DataFrame:

@@ -168,7 +168,9 @@ def promote_stream(rewards: DataFrame, codebook: quantize.Codebook, folder: str,
     `folder`/promotions. Rows after a promotion, and later checks of the same batch, are judged at the
     new depth.
 
-    Rows carry row_id, round, x, arm and reward. Errors are those of the batch-start tables.
+    Rows carry row_id, round, x, arm and reward. Errors are those of the batch-start tables. All levels
+    are trained from the start and no decision reads the depth; `streaming.adaptive` has learners of every
+    kind that train up to their shadow and decide by the depth they reached.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:

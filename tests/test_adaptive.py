@@ -127,8 +127,7 @@ def test_learner_against_walk(spark, coded, tmp_path, kind):
         state = learner.learn(part, b)
         assert (state.depth, state.since, state.seen) == (walk.depth, walk.since, 60 * b + 60)
     assert len(walk.promoted) == 2 if kind == "counter" else walk.promoted
-    promoted = adaptive.read_batches(spark, f"{tmp_path}/promotions", "t long, old_depth int, new_depth int")
-    assert key(promoted, "t", "old_depth", "new_depth") == walk.promoted
+    assert key(learner.promotions(spark), "t", "old_depth", "new_depth") == walk.promoted
     errors = adaptive.read_batches(spark, f"{tmp_path}/errors", "round long, sq_err_active double, sq_err_shadow double")
     assert np.allclose(key(errors, "round", "sq_err_active", "sq_err_shadow"), sorted(walk.errors), atol=1e-7)
     found = learner.ledger.read(spark).collect()
