@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from arbora.functions.arrow import matrix
 from arbora.functions.vectors import add_intercept, clip01, dot, doubles, one_hot, sigmoid_clip, weighted_sum
-from arbora.operators import models, quantize
+from arbora.operators import models, sweep
 from arbora.operators.posterior import position_sums
-from arbora.operators.prepare import split_holdout
 from arbora.operators.score import SEND_BYTES, sent
 
 
@@ -43,23 +42,9 @@ def delta_additive_sweep(contexts: DataFrame, depths: Sequence[int], seeds: Sequ
     """(depth, seed, delta, n_fit, n_eval): codebook and model from a holdout, error on the rest.
 
     One codebook of the greatest depth a seed; depth l uses its first l levels, as levels are fitted
-    greedily.
+    greedily. All seeds and depths are run together (see `sweep`).
     """
-    spark = contexts.sparkSession
-    out = []
-    for seed in seeds:
-        split = split_holdout(contexts, holdout, seed).cache()
-        fit = split.where("holdout")
-        book = quantize.train_codebook(fit, max(depths), nbits, iterations)
-        coded = quantize.encode(split, book).select("row_id", "label", "holdout", "codes").cache()
-        n_fit, n_eval = coded.agg(F.count_if("holdout"), F.count_if(~F.col("holdout"))).first()
-        for depth in depths:
-            theta = models.theta_table(spark, models.fit_additive_ols(coded.where("holdout"), n_arms, depth, nbits))
-            delta = delta_additive(coded.where(~F.col("holdout")), theta, depth, n_arms).first()["delta"]
-            out.append((depth, seed, delta, n_fit, n_eval))
-        split.unpersist()
-        coded.unpersist()
-    return spark.createDataFrame(out, "depth int, seed int, delta double, n_fit long, n_eval long")
+    return sweep.delta_grid(contexts, depths, seeds, holdout, n_arms, nbits, iterations)
 
 
 def summarize_sweep(sweep: DataFrame) -> DataFrame:
@@ -104,30 +89,28 @@ def correlation_ratio(df: DataFrame, x_col: str = "x", label_col: str = "label")
 def delta_report(dataset: str, contexts: DataFrame, depths: Sequence[int], n_arms: int, nbits: int = 4, iterations: int = 10, eta: float = 0.5, alpha: float = 1.0, folds: int = 0) -> DataFrame:
     """One row a depth: code-based and linear error, their gaps, rho, N, d and the number of classes.
 
-    In-sample by default; with `folds` = k each fold (a hash of the row id) is judged by models of the
-    other folds, and errors are averaged over rows.
+    In-sample by default; with `folds` = k each fold (a keyed hash of the row id) is judged by models of
+    the other folds, and errors are averaged over rows. All folds share each job.
     """
-    spark = contexts.sparkSession
+    spark, runs = contexts.sparkSession, max(folds, 1)
     rho = correlation_ratio(contexts).first()["rho"]
     n, d = contexts.agg(F.count("*"), F.max(F.size("x"))).first()
-    fold = F.pmod(F.xxhash64("row_id"), F.lit(max(folds, 1)))
-    parts = [(contexts, contexts)] if not folds else [(contexts.where(fold != f), contexts.where(fold == f)) for f in range(folds)]
-    sums: dict[int, list[float]] = {depth: [0.0, 0.0] for depth in depths}
-    lin = seen = 0.0
-    for fit, judge in parts:
-        k = judge.count()
-        w, b = models.fit_ridge_multi(fit, n_arms, alpha)
-        lin += k * delta_linear(judge, w, b).first()["mae"]
-        book = quantize.train_codebook(fit, max(depths), nbits, iterations)
-        means = models.fit_boosted_centroids(quantize.encode(fit, book), n_arms, max(depths), nbits, eta)
-        coded = quantize.encode(judge, book)
-        for depth in depths:
-            r = delta_boosted(coded, means, depth, n_arms, eta).first()
-            sums[depth][0] += k * r["mae"]
-            sums[depth][1] += k * r["mae_smoothed"]
-        seen += k
-    rows = [(dataset, n, d, n_arms, depth, a / seen, s / seen, lin / seen, lin / seen - a / seen, lin / seen - s / seen, rho) for depth, (a, s) in sums.items()]
-    return spark.createDataFrame(rows, "dataset string, N long, d int, C int, depth int, delta_rq_mae double, delta_rq_mae_smoothed double, delta_lin_mae double, delta_gap double, delta_gap_smoothed double, rho double")
+    fold = sweep.fold_of(runs)
+    if folds:
+        w, b = models.fit_ridge_folds(contexts, fold, folds, n_arms, alpha)
+    else:
+        w, b = (v[None] for v in models.fit_ridge_multi(contexts, n_arms, alpha))
+    error, seen = sweep.linear_errors(contexts, fold, w, b).sum(axis=0)
+    rows = sweep.with_runs(contexts, [fold != f for f in range(folds)] if folds else [F.lit(True)]).persist()
+    books = sweep.train_codebooks(rows, runs, max(depths), nbits, iterations)
+    coded = sweep.encode_runs(rows, books).select("row_id", "fit", "codes", "label").persist()
+    mean, smooth = sweep.class_means(coded, runs, max(depths), n_arms, nbits, eta)
+    sums = sweep.boosted_errors(coded, None if folds else [F.lit(True)], mean, smooth, depths, eta).sum(axis=0)
+    coded.unpersist()
+    rows.unpersist()
+    lin = error / seen
+    out = [(dataset, n, d, n_arms, depth, plain / k, soft / k, lin, lin - plain / k, lin - soft / k, rho) for depth, (plain, soft, k) in zip(depths, sums.tolist(), strict=True)]
+    return spark.createDataFrame([tuple(v.item() if isinstance(v, np.generic) else v for v in r) for r in out], "dataset string, N long, d int, C int, depth int, delta_rq_mae double, delta_rq_mae_smoothed double, delta_lin_mae double, delta_gap double, delta_gap_smoothed double, rho double")
 
 
 def dataset_stats(df: DataFrame, dataset: str, label_col: str = "label", x_col: str = "x") -> DataFrame:

@@ -73,17 +73,39 @@ def fit_ridge_multi(df: DataFrame, n_out: int, alpha: float = 1.0, label_col: st
     system is solved once for all outputs.
     """
     sums = gram(df.withColumn("_z", F.array_append(doubles(x_col), F.lit(1.0))), [], "_z", None)
+    return _solve_ridge(*_ridge_sums(sums, position_sums(df, [label_col], x_col, F.lit(0.0)), [], label_col, n_out)[()], alpha)
+
+
+def fit_ridge_folds(df: DataFrame, fold: Column, folds: int, n_out: int, alpha: float = 1.0, label_col: str = "label", x_col: str = "x") -> tuple[np.ndarray, np.ndarray]:
+    """Weights (folds, n_out, d) and intercepts (folds, n_out) of models that each leave one fold out: the
+    sums are made once, by fold, and each model takes those of the other folds."""
+    rows = df.withColumn("_fold", fold).withColumn("_z", F.array_append(doubles(x_col), F.lit(1.0)))
+    parts = _ridge_sums(gram(rows, ["_fold"], "_z", None), position_sums(rows, ["_fold", label_col], x_col, F.lit(0.0)), ["_fold"], label_col, n_out)
+    total = [sum(p[i] for p in parts.values()) for i in range(3)]
+    zero = [np.zeros_like(t) for t in total]
+    found = [_solve_ridge(*[t - p for t, p in zip(total, parts.get((f,), zero), strict=True)], alpha) for f in range(folds)]
+    return np.stack([w for w, _ in found]), np.stack([b for _, b in found])
+
+
+def _ridge_sums(sums: DataFrame, by: DataFrame, keys: list[str], label_col: str, n_out: int) -> dict[tuple, list[np.ndarray]]:
+    """By key: sums of z z' (z: the vector and 1), of x by label, and numbers of rows by label."""
     rows = sums.where("j >= 0").collect()
     d = max(r["i"] for r in rows)
-    a = np.zeros((d + 1, d + 1))
+    out: dict[tuple, list[np.ndarray]] = {}
+    new = lambda: [np.zeros((d + 1, d + 1)), np.zeros((n_out, d)), np.zeros(n_out)]
     for r in rows:
+        a = out.setdefault(tuple(r[k] for k in keys), new())[0]
         a[r["i"], r["j"]] = a[r["j"], r["i"]] = r["v"]
-    by = position_sums(df, [label_col], x_col, F.lit(0.0)).select(F.col(label_col).alias("k"), "i", F.col("s").alias("v"), "n")
-    n, mean = a[d, d], a[d, :d] / a[d, d]
-    right, share = np.zeros((n_out, d)), np.zeros(n_out)
-    for r in by.where(F.col("k").between(0, n_out - 1)).collect():
-        right[r["k"], r["i"]] = r["v"]
-        share[r["k"]] = r["n"] / n
+    for r in by.where(F.col(label_col).between(0, n_out - 1)).collect():
+        _, right, n = out.setdefault(tuple(r[k] for k in keys), new())
+        right[r[label_col], r["i"]] = r["s"]
+        n[r[label_col]] = r["n"]
+    return out
+
+
+def _solve_ridge(a: np.ndarray, right: np.ndarray, by_label: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    d = len(a) - 1
+    n, mean, share = a[d, d], a[d, :d] / a[d, d], by_label / a[d, d]
     centred = a[:d, :d] - n * np.outer(mean, mean)
     w = np.linalg.solve(centred + alpha * np.eye(d), (right - n * share[:, None] * mean).T).T
     return w, share - w @ mean

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -159,28 +158,69 @@ def gaussian_clusters(spark: SparkSession, n: int, d: int, k: int, seed: int, sp
     return cluster_points(spark.range(n // k * k).withColumnRenamed("id", "row_id"), d, k, seed, spread)
 
 
+def linear_weights(d: int, k: int, seed: int) -> np.ndarray:
+    """Keyed normal weights (k, d) times 0.3."""
+    return np.array([[0.3 * noise.normal_value(seed + 1, a, j) for j in range(d)] for a in range(k)])
+
+
+def linear_points(rows: DataFrame, d: int, k: int, seed: int) -> DataFrame:
+    """(row_id, x, label) for rows with a row_id: standardised normal features, labelled by the arm of
+    the greatest score under `linear_weights`."""
+    drawn = rows.select("row_id", F.array(*[noise.normal("row_id", seed, j) for j in range(d)]).alias("x"))
+    return label_by_linear_argmax(standardize(drawn, "eps"), linear_weights(d, k, seed))
+
+
 def linear_contexts(spark: SparkSession, n: int, d: int, k: int, seed: int) -> DataFrame:
-    """Standard normal rows labelled by the arm of the greatest linear score, weights times 0.3."""
-    rng = np.random.default_rng(seed)
-    rows = spark.range(n).select(F.col("id").alias("row_id"), F.array(*[noise.normal("id", seed, j) for j in range(d)]).alias("x"))
-    return label_by_linear_argmax(rows, rng.normal(size=(k, d)) * 0.3)
+    """n rows of `linear_points`."""
+    return linear_points(spark.range(n).withColumnRenamed("id", "row_id"), d, k, seed)
+
+
+class TabularRule:
+    """What a tabular table is drawn by, all of it keyed by `seed`.
+
+    Of d features half are continuous, in groups of 3 to 5 that share a factor, and the rest binary.
+    Labels follow a tree of 3 splits (4 beyond ten features) whose leaves are dealt to the classes in
+    turn, in a keyed order.
+    """
+
+    def __init__(self, d: int, k: int, seed: int):
+        u = lambda *keys: noise.uniform_value(seed, *keys)
+        self.seed, self.continuous, self.binary = seed, d // 2, d - d // 2
+        self.group: list[int] = []
+        while len(self.group) < self.continuous:
+            g = self.group[-1] + 1 if self.group else 0
+            self.group += [g] * min(3 + int(3 * u("size", g)), self.continuous - len(self.group))
+        self.weight = [0.5 + u("weight", j) for j in range(self.continuous)]
+        self.frequency = [0.1 + 0.8 * u("frequency", j) for j in range(self.binary)]
+        depth = 4 if d > 10 else 3
+        order = sorted(range(d), key=lambda j: u("split", j))
+        features = [order[i % d] for i in range(depth)]
+        self.splits = [(f, u("threshold", i) - 0.5 if f < self.continuous else 0.5) for i, f in enumerate(features)]
+        ranked = sorted(range(1 << depth), key=lambda leaf: u("leaf", leaf))
+        self.leaf_class = [ranked.index(leaf) % k for leaf in range(1 << depth)]
+
+    def features(self) -> Column:
+        """Continuous features before they are standardised, then the binary ones."""
+        factor = lambda g: noise.normal("row_id", self.seed, F.lit("factor"), g)
+        own = [factor(g) * w + 0.5 * noise.normal("row_id", self.seed, F.lit("own"), j) for j, (g, w) in enumerate(zip(self.group, self.weight, strict=True))]
+        flags = [(noise.uniform("row_id", self.seed, F.lit("flag"), j) < f).cast("double") for j, f in enumerate(self.frequency)]
+        return F.array(*own, *flags)
+
+
+def tabular_points(rows: DataFrame, d: int, k: int, seed: int, noise_rate: float = 0.1) -> DataFrame:
+    """(row_id, x, label) for rows with a row_id, by a `TabularRule` and a share of label noise. The
+    continuous features are standardised."""
+    rule = TabularRule(d, k, seed)
+    drawn = rows.select("row_id", rule.features().alias("x"))
+    moments = {r["i"]: (r["mean"], r["sd"] + 1e-8) for r in column_moments(drawn).collect()}  # d rows
+    scaled = [(F.get("x", F.lit(j)) - m) / s for j in range(rule.continuous) for m, s in [moments.get(j, (0.0, 1.0))]]
+    x = F.concat(F.array(*scaled).cast("array<double>"), F.slice("x", rule.continuous + 1, d))
+    return inject_label_noise(label_by_tree(drawn.withColumn("x", x), rule.splits, rule.leaf_class), noise_rate, k, seed)
 
 
 def tabular_contexts(spark: SparkSession, n: int, d: int, k: int, seed: int, noise_rate: float = 0.1) -> DataFrame:
-    """Half correlated continuous features in groups of 3 to 5, half binary; labels by a small tree
-    with a share of noise."""
-    rng = np.random.default_rng(seed)
-    continuous, features, group = d // 2, [], 0
-    while len(features) < continuous:
-        for _ in range(min(int(rng.integers(3, 6)), continuous - len(features))):
-            features.append(0.8 * noise.normal("id", seed, 1000 + group) + 0.6 * noise.normal("id", seed, len(features)))
-        group += 1
-    features += [(noise.uniform("id", seed, 2000 + j) < float(rng.uniform(0.2, 0.8))).cast("double") for j in range(d - continuous)]
-    rows = spark.range(n).select(F.col("id").alias("row_id"), F.array(*features).alias("x"))
-    depth = max(3, math.ceil(math.log2(max(k, 2))))
-    splits = [(int(f), 0.0 if f < continuous else 0.5) for f in rng.choice(d, depth, replace=d < depth)]
-    leaves = rng.permutation(np.arange(2**depth) % k)
-    return inject_label_noise(label_by_tree(rows, splits, leaves.tolist()), noise_rate, k, seed)
+    """n rows of `tabular_points`."""
+    return tabular_points(spark.range(n).withColumnRenamed("id", "row_id"), d, k, seed, noise_rate)
 
 
 def synthetic_contexts(spark: SparkSession, kind: str, n: int, d: int, k: int, seed: int) -> DataFrame:
