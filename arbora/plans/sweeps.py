@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from arbora.functions import noise
 from arbora.functions.lineage import durable
-from arbora.operators import diagnose, prepare, sweep
+from arbora.operators import diagnose, prepare, quantize, seeding, sweep
 from arbora.plans import inputs
-from arbora.plans.catalogue import _REPORT_COLUMNS, _RIDGE, _boosted_sql, _delta_sql, query, r6, s6
+from arbora.plans.catalogue import _REPORT_COLUMNS, _RIDGE, _boosted_sql, _delta_sql, _vector, query, r6, s6
 from arbora.plans.inputs import ARMS, EMB, ITERATIONS, LEVELS, NBITS, ORD, additive_sql, book_sql, encode_sql
 
 _FOLDS, _K = 2, 5
@@ -125,3 +125,11 @@ def t10_sufficiency_sweep(spark, sf_dir):
     """A grid of dimensions, arms and seeds as one set of jobs, over the orders' ids."""
     found = sweep.sufficiency_sweep(inputs.orders(spark, sf_dir).select("row_id"), _GRID, "diag")
     return found.select("d", "K", r6("ratio").alias("ratio"), "method", "seed", "final_regret", r6("regret_rate").alias("regret_rate"))
+
+
+@query()
+def q1_train_seeded(spark, sf_dir):
+    """Four levels of 16 codes from oversampled seeds. Its draws on weighted candidates have no twin; tests
+    hold its passes against plain ones."""
+    books, _ = seeding.train(inputs.embeddings(spark, sf_dir), 4, 4)
+    return quantize.codebook_table(spark, books).select("level", "code", _vector("centroid", "centroid"))
