@@ -45,9 +45,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many words as there are, as evenly from all sources as a quarter of repeats at most allows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs, epoch_col="epoch")
-    return mixed.select("doc_id", "source", mixing.word_count("text").alias("n_words"), "epoch")
+    mixed = mixing.mix(docs, target_entropy=None, max_repeat=1.25, epoch_col="epoch", extra={"tokens": "n_words", "weight": "weight", "exponent": "exponent"})
+    return mixed.select("doc_id", "source", "n_words", "epoch", F.round("weight", 9).alias("weight"), F.round("exponent", 9).alias("exponent"))
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
