@@ -35,8 +35,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rare sources are repeated, up to four times; no source is cut below one epoch."""
-    return mixing.mix(docs, target_entropy=0.93, max_repeat=4.0, budget="cover")
+    """As evenly from all sources as repeating the rarest up to twice allows; none is cut below one epoch."""
+    return mixing.mix(docs, target_entropy=None, max_repeat=2.0, budget="cover")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
