@@ -8,7 +8,7 @@ Profiles are learnt from about `fit_rows` texts of each language (a hash of the
 every whole text is then ranked and compared. Ties go to the language that sorts first.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so is every text if no
-language can be learnt; null languages are not learnt from; very long texts are read whole; repeated
+language can be learnt; null languages are not learnt from; very long texts are read whole, piece by piece; repeated
 rows are predicted one by one; other columns are kept, whatever their names; an empty table gives no
 rows. The table of learnt languages comes back to the driver, PROFILE codes for each.
 """
@@ -29,6 +29,8 @@ from .quality_classifier import groups_of_bytes
 PROFILE = 300
 #: Texts to learn a language from, about.
 FIT_ROWS = 1_500
+#: Characters of a piece of a long text, and codes that are held before they are added up.
+PIECE, MERGE = 1 << 18, 1 << 20
 UNKNOWN = "und"
 _MAX = 0x110000
 _letters: list[np.ndarray] = []
@@ -42,20 +44,44 @@ def _is_letter() -> np.ndarray:
 
 def grams(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of a text's n-grams. A code holds up to three code points of 21 bits; every
-    run of other characters is one blank, and the text begins and ends with one."""
-    c = np.frombuffer((text or b"").decode("utf-8", "replace").lower().encode("utf-32-le"), dtype=np.uint32)
-    letter = _is_letter()[c]
-    if not letter.any():
+    run of other characters is one blank, and the text begins and ends with one.
+
+    A long text is counted piece by piece, each with the two code points before it, and what was
+    counted is added up whenever it outgrows MERGE: what is held follows the number of different
+    n-grams, not the text's length.
+    """
+    letters = (text or b"").decode("utf-8", "replace").lower()
+    codes, counts, held, tail, found = [], [], 0, np.zeros(1, dtype=np.uint64), False
+    for at in range(0, len(letters), PIECE):
+        c = np.frombuffer(letters[at : at + PIECE].encode("utf-32-le"), dtype=np.uint32)
+        letter = _is_letter()[c]
+        found = found or bool(letter.any())
+        c = np.concatenate((tail, np.where(letter, c, 0), [0] if at + PIECE >= len(letters) else [])).astype(np.uint64)
+        keep = np.ones(len(c), dtype=bool)
+        keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
+        c, old = c[keep], len(tail)
+        one, two = c[old:], (c[old - 1 : -1] << np.uint64(21)) | c[old:]
+        three = (c[max(old - 2, 0) : -2] << np.uint64(42)) | (c[max(old - 2, 0) + 1 : -1] << np.uint64(21)) | c[max(old - 2, 0) + 2 :]
+        # lengths are told apart by the two top bits
+        new = np.unique(np.concatenate((one[one != 0], two | np.uint64(1 << 63), three)), return_counts=True)
+        codes.append(new[0])
+        counts.append(new[1])
+        held += len(new[0])
+        tail = c[-2:]
+        if held > MERGE:
+            codes, counts = ([v] for v in _added(codes, counts))
+            held = len(codes[0])
+    if not found:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    c = np.concatenate(([0], np.where(letter, c, 0), [0])).astype(np.uint64)
-    keep = np.ones(len(c), dtype=bool)
-    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
-    c = c[keep]
-    two = (c[:-1] << np.uint64(21)) | c[1:]
-    three = (two[:-1] << np.uint64(21)) | c[2:]
-    one = c[c != 0]
-    # lengths are told apart by the two top bits
-    return np.unique(np.concatenate((one, two | np.uint64(1 << 63), three)), return_counts=True)
+    return (codes[0], counts[0]) if len(codes) == 1 else _added(codes, counts)
+
+
+def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal codes, added up."""
+    each, at = np.unique(np.concatenate(codes), return_inverse=True)
+    total = np.zeros(len(each), dtype=np.int64)
+    np.add.at(total, at, np.concatenate(counts))
+    return each, total
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
