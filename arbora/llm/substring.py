@@ -1,24 +1,28 @@
-"""Substring de-duplication by prefix-partitioned suffix trees over words.
+"""Substring de-duplication by suffix trees over words, built in parts.
 
 A window of `window` words is repeated if its word sequence starts at a second place, in the same
 text or another: its suffix then hangs below an internal node of depth `window` or more of the
 corpus's suffix tree. That tree is built in parts, and only where it can have such nodes:
 
 1. Texts are keyed, equal texts meet and are kept once with their number of copies, in a bucketed
-   table, so that later joins with the texts need no shuffle.
-2. Every window has an anchor: the GRAM-word run inside it with the least hash. Suffixes that start
-   at anchors are parted by their first GRAM words; equal windows have equal anchors at equal
-   offsets, so windows of different parts never match. An anchor that occurs once in the corpus
-   leads to no repeat and goes no further.
+   table, so that later joins with the texts need no shuffle. All of an equal text is removed.
+2. Every window has an anchor: the GRAM-word run inside it with the least hash. Parts are keyed by the
+   words of the anchor, and hold the suffixes of the windows that have it, up to `window` - GRAM words
+   before it. So a part's suffixes share a stretch of words and not their first ones, as they would if
+   every suffix of the corpus were dealt by its own prefix: that sends about `window` words for each
+   word of text, many times the input. Equal windows have equal anchors at equal offsets, so windows of
+   different parts never match. An anchor that occurs once in the corpus leads to no repeat and goes
+   no further.
 3. Consecutive windows with one anchor are a run. Equal runs hang below the same nodes, so each is
-   one string of the tree, with the number of its places; one with several is a repeat as a whole.
-4. A part of over GROUP_ROWS strings is split by longer prefixes: its windows are halved by how many
+   one string of its part, with the number of its places; a digest brings them together.
+4. A part of over GROUP_ROWS strings is split by longer stretches: its windows are halved by how many
    words they begin before the anchor, and each half is keyed by all words that its windows have in
    common, which are 6, then 21, 28, 32, 34 and at last all 35. A part that is still too large has
-   one window alone, which needs no tree: every string with it is marked.
-5. Every other part is one task's suffix tree, held as sorted suffixes with their common prefixes;
-   a stack makes the internal nodes of these. What lies above a leaf at `window` words or deeper is a
-   repeat of that leaf's text; its words are marked.
+   one window alone, which needs no tree: it is repeated if it has a second place.
+5. Every other part is one task's suffix tree, held as sorted suffixes with their common prefixes.
+   Its internal nodes of `window` words or more decide: a stack makes them from the common prefixes,
+   and a string of several places is a node itself, whose leaves are these places. A node's words are
+   marked in every leaf below it.
 6. Marks return to the places of their strings, and the covered words are removed.
 
 Defined results: null, empty and short texts have no window and nothing removed; all of a text
@@ -37,7 +41,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, Scratch, column, durable, ngram_hashes, prepare, remove_folder, shared_folder, word_hashes
@@ -48,6 +52,9 @@ GRAM = 6
 #: Strings of a part that becomes one task's suffix tree, at most; it only sizes the parts.
 GROUP_ROWS = 8_192
 
+#: Texts or runs that a task remembers to send their words once only; then it begins anew.
+REMEMBERED = 1 << 19
+
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 
@@ -81,6 +88,12 @@ def anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
     return g[q[at]], text[at], p[at] - starts[text[at]], size, q[at] - starts[text[at]]
 
 
+def _text_key(raw: Column) -> tuple[Column, Column]:
+    """128 bits of the text's SHA-256, which no two texts can be made to share."""
+    digest = F.sha2(raw.cast("binary"), 256)
+    return tuple(F.conv(F.substring(digest, at, 16), 16, -10).cast("bigint") for at in (1, 17))
+
+
 def _texts_table(docs: DataFrame, text_col: str, name: str, path: str) -> DataFrame:
     """Distinct texts (k1, k2, copies, words) in a table bucketed by k1; words are zstd-compressed,
     one space between two. Copies within a partition meet before the shuffle."""
@@ -90,7 +103,16 @@ def _texts_table(docs: DataFrame, text_col: str, name: str, path: str) -> DataFr
         again: dict[tuple[int, int], int] = {}
         pack = zstandard.ZstdCompressor(level=6)
         schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("copies", pa.int64()), ("words", pa.binary())])
+
+        def late() -> Iterator[pa.RecordBatch]:
+            rest = [(*k, n, None) for k, n in again.items() if n]
+            again.clear()
+            for i in range(0, len(rest), BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rest[i : i + BATCH_ROWS], strict=True), schema.types, strict=True)], schema=schema)
+
         for b in batches:
+            if len(again) > REMEMBERED:
+                yield from late()
             rows: list[tuple] = []
             for k1, k2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if (k1, k2) in again:
@@ -99,12 +121,11 @@ def _texts_table(docs: DataFrame, text_col: str, name: str, path: str) -> DataFr
                     again[k1, k2] = 0
                     rows.append((k1, k2, 1, pack.compress(b" ".join(text.split()))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema.types, strict=True)], schema=schema)
-        late = [(*k, n, None) for k, n in again.items() if n]
-        for i in range(0, len(late), BATCH_ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*late[i : i + BATCH_ROWS], strict=True), schema.types, strict=True)], schema=schema)
+        yield from late()
 
     raw = F.coalesce(column(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.xxhash64(raw).alias("k1"), F.crc32(raw.cast("binary")).alias("k2"), raw.cast("binary").alias("t"))
+    k1, k2 = _text_key(raw)
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), raw.cast("binary").alias("t"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     combined = keyed.mapInArrow(combine, "k1 long, k2 long, copies long, words binary")
     distinct = combined.repartition(parts, "k1").groupBy("k1", "k2").agg(F.sum("copies").alias("copies"), F.first("words", ignorenulls=True).alias("words"))
@@ -139,9 +160,9 @@ def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
 RUN = "core long, d1 long, d2 long, k1 long, k2 long, first long, n long, before long, words binary"
 _RUN_FIELDS = {"core": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "first": pa.int64(), "n": pa.int64(), "before": pa.int64(), "words": pa.binary()}
 #: A string of a part, or some consecutive windows of it from window `first`; `low` to `high` words of
-#: its windows lie before the anchor.
-ROW = "core long, low int, high int, d1 long, d2 long, first long, n long, before long, words binary"
-_FIELDS = {"core": pa.int64(), "low": pa.int32(), "high": pa.int32(), "d1": pa.int64(), "d2": pa.int64(), "first": pa.int64(), "n": pa.int64(), "before": pa.int64(), "words": pa.binary()}
+#: its windows lie before the anchor; the string occurs in so many places.
+ROW = "core long, low int, high int, d1 long, d2 long, first long, n long, before long, words binary, places long"
+_FIELDS = {"core": pa.int64(), "low": pa.int32(), "high": pa.int32(), "d1": pa.int64(), "d2": pa.int64(), "first": pa.int64(), "n": pa.int64(), "before": pa.int64(), "words": pa.binary(), "places": pa.int64()}
 
 
 def _batch(rows: Sequence[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -163,6 +184,8 @@ def _run_rows(joined: DataFrame, window: int) -> DataFrame:
                     text = words[starts[first] : ends[first + n + window - 2]]
                     digest = hashlib.blake2b(text, digest_size=16).digest()
                     d1, d2 = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
                     if digest in seen:
                         rows.append((x["core"], d1, d2, k1, k2, first, None, None, None))
                     else:
@@ -179,7 +202,7 @@ def _run_rows(joined: DataFrame, window: int) -> DataFrame:
 def halves(row: tuple, window: int) -> list[tuple]:
     """The run's windows in two halves by the words they begin before the anchor, each with the longer
     prefix that all windows of its half share as its part."""
-    _, low, high, d1, d2, first, n, before, words = row
+    _, low, high, d1, d2, first, n, before, words, places = row
     starts, ends = _edges(words)
     middle, out = (low + high) // 2, []
     for a, b in ((low, middle), (middle + 1, high)):
@@ -187,7 +210,7 @@ def halves(row: tuple, window: int) -> list[tuple]:
         if a <= b and i <= j:
             shared = words[starts[before - a] : ends[before + window - b - 1]]
             core = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=bytes([a, b])).digest(), "big", signed=True)
-            out.append((core, a, b, d1, d2, first + i, j - i + 1, before - i, words[starts[i] : ends[j + window - 1]]))
+            out.append((core, a, b, d1, d2, first + i, j - i + 1, before - i, words[starts[i] : ends[j + window - 1]], places))
     return out
 
 
@@ -256,39 +279,44 @@ def deep_nodes(shared: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def maximal_repeats(runs: list[tuple[int, bytes]], window: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(depth, places) of the deep nodes whose leaves do not all follow one and the same word: the
-    repeats that can be extended neither way. A place is (run, first word)."""
-    leaves, shared = suffix_tree(runs, window)
-    words = [w.split(b" ") for _, w in runs]
-    found = []
+def deepest_nodes(shared: list[int]) -> list[int]:
+    """For each leaf the depth of the deepest internal node above it, 0 if there is none. Nodes come
+    children first, so the first one that covers a leaf counts; covered leaves are skipped."""
+    out, after = [0] * len(shared), list(range(len(shared) + 1))  # the next leaf that may still be uncovered
+
+    def free(i: int) -> int:
+        while after[i] != i:
+            after[i] = after[after[i]]
+            i = after[i]
+        return i
+
     for depth, low, high in deep_nodes(shared):
-        places = leaves[low:high]
-        if len({words[r][i - 1] if i else (r,) for r, i in places}) > 1:
-            found.append((depth, sorted(places)))
-    return found
+        i = free(low)
+        while i < high:
+            out[i], after[i] = depth, i + 1
+            i = free(i + 1)
+    return out
 
 
-def subtree_repeats(runs: list[tuple[int, bytes]], window: int) -> list[list[tuple[int, int]]]:
-    """For each run the spans of words, from the run's first, that are repeated in the part.
+def subtree_repeats(strings: list[tuple[int, bytes, int]], window: int) -> list[list[tuple[int, int]]]:
+    """For each string (number of windows, words, places) of a part the spans of words, from its first,
+    that hang below an internal node of `window` words or more.
 
-    Equal runs hang below the same nodes: they are one string of the tree, marked as a whole.
+    A string of several places is such a node for each of its suffixes: its leaves are the places.
+    Equal strings, as halves of different runs can be, count as one of all their places.
     """
-    copies: dict[tuple[int, bytes], int] = {}
-    for run in runs:
-        copies[run] = copies.get(run, 0) + 1
-    spans: dict[tuple[int, bytes], list[tuple[int, int]]] = {run: [(0, run[0] + window - 1)] for run, n in copies.items() if n > 1}
-    if len(spans) < len(copies):
-        strings = list(copies)
-        leaves, shared = suffix_tree(strings, window)
-        above = [max(a, b) for a, b in zip(shared, [*shared[1:], 0], strict=True)]  # the depth of the deepest node above a leaf
-        found: list[list[tuple[int, int]]] = [[] for _ in strings]
-        for (r, i), depth in zip(leaves, above, strict=True):
+    places: dict[tuple[int, bytes], int] = {}
+    for n, words, k in strings:
+        places[n, words] = places.get((n, words), 0) + k
+    own = list(places)
+    found: list[list[tuple[int, int]]] = [[(0, n + window - 1)] if places[n, words] > 1 else [] for n, words in own]
+    if len(own) > 1:
+        leaves, shared = suffix_tree(own, window)
+        for (r, i), depth in zip(leaves, deepest_nodes(shared), strict=True):
             if depth:
                 found[r].append((i, i + depth))
-        for run, marked in zip(strings, found, strict=True):
-            spans.setdefault(run, merge_spans(marked))
-    return [spans[run] for run in runs]
+    spans = {string: merge_spans(marked) for string, marked in zip(own, found, strict=True)}
+    return [spans[n, words] for n, words, _ in strings]
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -313,13 +341,13 @@ def _tree_marks(rows: DataFrame, window: int) -> DataFrame:
         out: list[tuple] = []
 
         def close() -> None:
-            if len(held) > 1 or (held and held[0][3] > 1):
-                for (d1, d2, first, _, _), spans in zip(held, subtree_repeats([(r[3], r[4]) for r in held], window), strict=True):
+            if len(held) > 1 or (held and (held[0][3] > 1 or held[0][5] > 1)):
+                for (d1, d2, first, *_), spans in zip(held, subtree_repeats([r[3:] for r in held], window), strict=True):
                     out.extend((d1, d2, first + a, first + b) for a, b in spans)
             held.clear()
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if row[0] != core:
                     close()
                     core = row[0]
@@ -331,7 +359,7 @@ def _tree_marks(rows: DataFrame, window: int) -> DataFrame:
         yield _batch(out, _SPANS)
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    return rows.select("core", "d1", "d2", "first", "n", "words").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(walk, "d1 long, d2 long, start long, stop long")
+    return rows.select("core", "d1", "d2", "first", "n", "words", "places").repartition(parts, "core").sortWithinPartitions("core").mapInArrow(walk, "d1 long, d2 long, start long, stop long")
 
 
 def string_marks(strings: DataFrame, window: int, keep: Scratch) -> DataFrame:
@@ -346,8 +374,8 @@ def string_marks(strings: DataFrame, window: int, keep: Scratch) -> DataFrame:
         if large.isEmpty():
             return found
         rows = rows.join(large.select("core"), "core", "left_semi")
-        if width == 1:  # one window a part: every string with it is marked, if the part is no accident of hashing
-            whole = rows.groupBy("words").agg(F.count("*").alias("size")).where("size > 1").select("words")
+        if width == 1:  # one window a part: it is repeated if it has a second place
+            whole = rows.groupBy("words").agg(F.sum("places").alias("size")).where("size > 1").select("words")
             return found.union(rows.join(whole, "words").select("d1", "d2", F.col("first").alias("start"), (F.col("first") + window).alias("stop")))
         rows, width = keep(_split_rows(rows, window)), -(-width // 2)
 
@@ -362,9 +390,8 @@ def marks(texts: DataFrame, window: int, keep: Scratch) -> DataFrame:
     keep.drop(before=1)  # anchors are not read any more
     first = lambda c: F.first(c, ignorenulls=True).alias(c)
     strings = keep(runs.groupBy("core", "d1", "d2").agg(F.count("*").alias("places"), first("n"), first("before"), first("words")))
-    rows = strings.select("core", F.lit(0).alias("low"), F.lit(window - GRAM).alias("high"), "d1", "d2", F.lit(0).cast("long").alias("first"), "n", "before", "words")
-    whole = strings.where("places > 1").select("d1", "d2", F.lit(0).cast("long").alias("start"), (F.col("n") + (window - 1)).alias("stop"))
-    spans = string_marks(rows, window, keep).union(whole).groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    rows = strings.select("core", F.lit(0).alias("low"), F.lit(window - GRAM).alias("high"), "d1", "d2", F.lit(0).cast("long").alias("first"), "n", "before", "words", "places")
+    spans = string_marks(rows, window, keep).groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     placed = runs.select("d1", "d2", "k1", "k2", "first").join(spans, ["d1", "d2"])
     each = placed.select("k1", "k2", "first", F.explode("spans").alias("s"))
     return each.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct((F.col("first") + F.col("s.start")).alias("start"), (F.col("first") + F.col("s.stop")).alias("stop")))).alias("spans"))
@@ -425,6 +452,7 @@ def _removed(docs: DataFrame, texts: DataFrame, found: DataFrame, window: int, t
 
     result = marked.select("k1", "k2", remove("words", "copies", "spans").alias("r")).select("k1", "k2", "r.*")
     raw = F.coalesce(column(text_col).cast("string"), F.lit(""))
-    keys = docs.select(column(id_col).alias("id"), F.xxhash64(raw).alias("k1"), F.crc32(raw.cast("binary")).alias("k2"))
+    k1, k2 = _text_key(raw)
+    keys = docs.select(column(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"))
     out = keys.join(result, ["k1", "k2"])
     return out.select("id", "n_words", "n_removed", "kept_sha256", "spans", *([F.col("kept").cast("string").alias("kept")] if keep_text else []))

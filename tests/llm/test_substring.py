@@ -88,8 +88,12 @@ def test_deep_nodes_are_the_maximal_repeats(seed):
     for _ in range(rng.randrange(2, 9)):
         n = rng.randrange(1, 12)
         runs.append((n, b" ".join(rng.choice([b"a", b"ab", b"b", b"\x01c"]) for _ in range(n + window - 1))))
-    found = substring.maximal_repeats(runs, window)
     words = [w.split(b" ") for _, w in runs]
+    leaves, shared = substring.suffix_tree(runs, window)
+    nodes = substring.deep_nodes(shared)
+    # those whose leaves do not all follow one and the same word
+    found = [(depth, sorted(leaves[low:high])) for depth, low, high in nodes if len({words[r][i - 1] if i else (r,) for r, i in leaves[low:high]}) > 1]
+    assert substring.deepest_nodes(shared) == [max((d for d, low, high in nodes if low <= i < high), default=0) for i in range(len(leaves))]
     assert {tuple(words[at[0][0]][at[0][1] : at[0][1] + depth]): at for depth, at in found} == plain_nodes(runs, window)
     assert len(found) == len({tuple(words[at[0][0]][at[0][1] : at[0][1] + depth]) for depth, at in found})
 
@@ -104,17 +108,27 @@ def test_spans_of_a_part(seed):
     runs += runs[:2]
     words = [w.split(b" ") for _, w in runs]
     count = Counter(tuple(w[i : i + window]) for (n, _), w in zip(runs, words, strict=True) for i in range(n))
-    for (n, _), w, spans in zip(runs, words, substring.subtree_repeats(runs, window), strict=True):
+    for (n, _), w, spans in zip(runs, words, substring.subtree_repeats([(*r, 1) for r in runs], window), strict=True):
         want = {p for i in range(n) if count[tuple(w[i : i + window])] > 1 for p in range(i, i + window)}
         assert {p for a, b in spans for p in range(a, b)} == want
 
 
+def test_a_string_of_several_places_is_a_node():
+    """What is repeated is decided in the part's tree, for strings of several places too."""
+    one, two = (3, b"a b c d e", 1), (1, b"q r s", 2)
+    assert substring.subtree_repeats([one], 3) == [[]]
+    assert substring.subtree_repeats([two], 3) == [[(0, 3)]]
+    assert substring.subtree_repeats([one, two, (2, b"b c d x", 1)], 3) == [[(1, 4)], [(0, 3)], [(0, 3)]]
+    assert substring.subtree_repeats([one, one], 3) == [[(0, 5)], [(0, 5)]]
+
+
 def test_halves_keep_every_window_once():
     window, n, before = 35, 17, 20
     words = [b"w%d" % i for i in range(n + window - 1)]
-    rows = [(0, 0, window - substring.GRAM, 1, 2, 100, n, before, b" ".join(words))]
+    rows = [(0, 0, window - substring.GRAM, 1, 2, 100, n, before, b" ".join(words), 3)]
     while rows[0][1] < rows[0][2]:
         rows = [h for r in rows for h in substring.halves(r, window)]
         assert sorted(p for r in rows for p in range(r[5], r[5] + r[6])) == list(range(100, 100 + n))
         assert all(r[1] <= r[7] - i <= r[2] for r in rows for i in range(r[6]))
+        assert all(r[9] == 3 for r in rows)
         assert all(r[8].split(b" ") == words[r[5] - 100 : r[5] - 100 + r[6] + window - 1] for r in rows)
