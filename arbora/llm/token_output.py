@@ -12,9 +12,9 @@ compressed against a shared sample of sequences, as single sequences are too sho
 
 Defined results: a null text has no tokens and no separator, an empty one only the separator; the
 last sequence of a partition is filled up with separators; repeated rows are tokenised each; other
-columns are not read, whatever their names; an empty table gives no sequence and no shard. Runs of
-over RUN_CHARS characters without white space, or of white space alone, are cut every RUN_CHARS
-characters before they are tokenised, which decodes to the same text. How documents follow one another, and
+columns are not read, whatever their names; an empty table gives no sequence and no shard. Texts of any
+length are tokenised as wholes: only very many white space characters in a row are handed on by
+themselves, as the one piece that the pattern makes of them, which changes no token. How documents follow one another, and
 so what a sequence holds, depends on how the input is split into partitions: another read of the
 table with other split sizes makes other shards. Reading and resuming need only the shards.
 """
@@ -41,10 +41,10 @@ from .common import durable, prepare, shared_folder, utf8
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 ROUNDS = 4
-#: Longest run of characters without (or of only) white space that is tokenised as a whole.
+#: White space characters in a row beyond which they are handed on by themselves.
 RUN_CHARS = 1024
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_LONG_RUN = re.compile(rf"[{_SPACE}]{{{RUN_CHARS + 1},}}|[^{_SPACE}]{{{RUN_CHARS + 1},}}")
+_LONG_RUN = re.compile(rf"[{_SPACE}]{{{RUN_CHARS + 1},}}")
 #: Sequences that single sequences are compressed against.
 SAMPLE_SEQUENCES = 64
 
@@ -83,36 +83,43 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def may_have_long_runs(text: str) -> bool:
-    """Quick test without regular expressions: False only if no run is longer than RUN_CHARS."""
+    """Quick test without regular expressions: False only if no run of white space is over RUN_CHARS."""
     words = text.split()
-    lengths = list(map(len, words))
-    spare = len(text) - sum(lengths) - len(words) + 1  # white space beyond one between words
-    return spare > RUN_CHARS or max(lengths, default=0) > RUN_CHARS or any(c in text for c in "\x1c\x1d\x1e\x1f")  # these part words here, but not in _SPACE
+    spare = len(text) - sum(map(len, words)) - len(words) + 1  # white space beyond one between words
+    return spare > RUN_CHARS or any(c in text for c in "\x1c\x1d\x1e\x1f")  # these part words here, but not in _SPACE
 
 
-def cut_runs(text: str) -> Iterator[str]:
-    """The text in pieces, whole but for runs of over RUN_CHARS characters."""
-    if not may_have_long_runs(text):
-        yield text
-        return
+def cut_runs(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in parts that are tokenised as the whole would be, and whether a part is one piece.
+
+    White space that something follows is one piece up to its last character, which may belong to the
+    next piece; at the end it is one piece. A very long run is handed on as that piece, as the pattern
+    would step back over it character by character.
+    """
     at = 0
-    for run in _LONG_RUN.finditer(text):
-        for cut in range(run.start() + RUN_CHARS, run.end(), RUN_CHARS):
-            yield text[at:cut]
-            at = cut
-    yield text[at:]
+    for run in _LONG_RUN.finditer(text) if may_have_long_runs(text) else ():
+        stop = run.end() - (run.end() < len(text))
+        yield text[at : run.start()], False
+        yield text[run.start() : stop], True
+        at = stop
+    yield text[at:], False
 
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
-        self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        new = lambda pattern: tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encoding, self._piece, self._new = new(PATTERN), None, new
         self.separator = max(ranks.values()) + 1
         self.dtype = np.dtype("<u2" if self.separator < 1 << 16 else "<u4")
 
     def encode(self, text: bytes) -> np.ndarray:
-        ids = [i for piece in cut_runs(text.decode("utf-8", "replace")) for i in self.encoding.encode_ordinary(piece)]
+        ids: list[int] = []
+        for part, one in cut_runs(text.decode("utf-8", "replace")):
+            if one and self._piece is None:
+                self._piece = self._new(r"(?s).+")
+            ids += (self._piece if one else self.encoding).encode_ordinary(part)
         return np.array([*ids, self.separator], dtype=self.dtype)
 
 
@@ -219,7 +226,13 @@ def write_shards(placed: DataFrame, folder: str, sample: bytes | None = None) ->
 
         def close() -> None:
             out.close()
-            store.move(part, f"{base}/shard-{shard:06d}.bin")
+            whole = f"{base}/shard-{shard:06d}.bin"
+            try:
+                store.move(part, whole)
+            except OSError:  # some stores do not overwrite: another attempt at this task wrote the same bytes
+                if store.get_file_info(whole).size != size:
+                    raise
+                store.delete_file(part)
             done.append((shard, rows, size, crc))
 
         for b in batches:
@@ -270,3 +283,24 @@ def read_sequence(data: bytes, row: int, length: int, dtype: str = "<u2") -> np.
     """Sequence `row` of a shard's bytes."""
     stride = length * np.dtype(dtype).itemsize
     return np.frombuffer(data, dtype=dtype, count=length, offset=row * stride)
+
+
+def read_from(folder: str, slot: int, length: int = 1024, dtype: str = "<u2", shard_rows: int = 8192, at_once: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, tokens) in training order from any slot on, `at_once` sequences a read. A reader that was
+    stopped goes on with the slot after its last one; nothing before is read again."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    stride = length * np.dtype(dtype).itemsize
+    while (info := store.get_file_info(f"{base}/shard-{slot // shard_rows:06d}.bin")).type == fs.FileType.File:
+        rows = info.size // stride
+        if slot % shard_rows >= rows:
+            return
+        with store.open_input_file(info.path) as source:
+            for row in range(slot % shard_rows, rows, at_once):
+                block = np.frombuffer(source.read_at(min(at_once, rows - row) * stride, row * stride), dtype=dtype).reshape(-1, length)
+                for tokens in block:
+                    yield slot, tokens
+                    slot += 1
+        if rows < shard_rows:
+            return

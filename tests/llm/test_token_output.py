@@ -68,11 +68,38 @@ def test_query_writes_the_shards(spark):
 
 
 def test_long_runs():
-    """Very long runs of one kind are encoded in bounded pieces and decode to the same text."""
+    """Very long runs of one kind decode to the same text."""
     codec = t.Codec(t.load_ranks(t.VOCABULARY))
-    for text in (" " * 1_000_000 + "a", "b" * 1_000_000, "🙂" * 200_000, "\u3000" * 5000 + "x\x1c!" * 5000, "9" * 100_000 + "\n" * 100_000):
+    for text in (" " * 1_000_000 + "a", "b" * 1_000_000, "🙂" * 200_000, "\u3000" * 5000 + "x\x1c!" * 5000, "9" * 100_000 + "\n" * 100_000 + "b", "\n" * 500_000):
         ids = codec.encode(text.encode())
         assert ids[-1] == codec.separator and codec.encoding.decode(ids[:-1].tolist()) == text
-        assert max(map(len, t.cut_runs(text))) <= 2 * t.RUN_CHARS
-    text = "plain words, as usual.\n\n  " * 9000
-    assert codec.encode(text.encode())[:-1].tolist() == codec.encoding.encode_ordinary(text)
+
+
+def test_ids_are_those_of_the_whole_text():
+    """URLs, scripts without spaces, long words and white space of any length: no cut changes an id."""
+    codec, rng = t.Codec(t.load_ranks(t.VOCABULARY)), np.random.default_rng(1)
+    pick = lambda chars, n: "".join(rng.choice(list(chars), n))
+    spaces = [c * n + end for c in (" ", "\n", "\u3000", " \n\t", "\x85 ") for n in (1024, 1025, 3000) for end in ("a", "1", "!", "", "'s", " b")]
+    texts = ["http://example.org/" + pick("abc123/-_=&?", 10_500), "漢字仮名交じり文" * 3000, pick("abcdefghij", 100_000), "plain words, as usual.\n\n  " * 900, *spaces, "w" + "x ".join(spaces) + "y"]
+    for text in texts:
+        assert codec.encode(text.encode())[:-1].tolist() == codec.encoding.encode_ordinary(text), text[:20]
+    assert [(len(p), one) for p, one in t.cut_runs("a" + " " * 5000 + "b" + " " * 5000)] == [(1, False), (4999, True), (2, False), (5000, True), (0, False)]
+
+
+def test_reader_goes_on_after_a_stop(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text number {i} " * (i % 40)) for i in range(150)], "doc_id long, text string").repartition(2)
+    rows, total = t.sequences(df, length=32)
+    t.write_shards(t.place(rows, total, shard_rows=20), f"file://{tmp_path}/s").collect()
+    folder, whole = f"file://{tmp_path}/s", {}
+    want = {r["slot"]: bytes(r["tokens"]) for r in t.place(rows, total, shard_rows=20).collect()}
+    for start, stop in ((0, 7), (7, 20), (20, 55), (55, total)):
+        reader = t.read_from(folder, start, 32, shard_rows=20, at_once=3)
+        for slot, tokens in reader:
+            whole[slot] = tokens.tobytes()
+            if slot + 1 == stop:
+                break
+    assert whole == want and list(whole) == list(range(total))
+    assert list(t.read_from(folder, total, 32, shard_rows=20)) == [] and list(t.read_from(folder, 10 * total, 32, shard_rows=20)) == []
+    # a second attempt at a task leaves the same files
+    t.write_shards(t.place(rows, total, shard_rows=20), folder).collect()
+    assert {s: x.tobytes() for s, x in t.read_from(folder, 0, 32, shard_rows=20)} == want
