@@ -24,8 +24,9 @@ from arbora.functions.arrow import matrix
 from arbora.functions.lineage import durable
 from arbora.functions.vectors import doubles
 
-#: Rows whose exact quantiles are the bins' limits; of larger logs a keyed sample of so many.
-QUANTILE_ROWS = 1 << 16
+#: Rows up to which quantiles are read off the rows; of larger logs the expected size of the sample that
+#: parts each feature's values into about SLICES slices, in which the exact quantiles are then found.
+QUANTILE_ROWS, SLICES = 1 << 16, 256
 #: Trees after which predictions are written, so that passes need not walk all earlier trees.
 REFRESH = 16
 
@@ -75,15 +76,62 @@ class Boosted:
 
 
 def quantile_limits(log: DataFrame, bins: int, x_col: str = "x", id_col: str = "row_id") -> list[np.ndarray]:
-    """For each feature the values of rank ceil(k * n / bins), k = 1 .. bins - 1, of all rows or a keyed
-    sample of QUANTILE_ROWS."""
+    """For each feature the values of rank ceil(k * n / bins), k = 1 .. bins - 1, of all rows.
+
+    A keyed sample only parts each feature's values into SLICES: tasks count the rows by slice, and the
+    slices that hold a wanted rank are ranked by Spark, each on its own.
+    """
     rows = log.select(F.col(id_col).alias("id"), doubles(x_col).alias("x")).where("x is not null")
-    sample = rows.orderBy(noise.uniform("id", 21), "id").limit(QUANTILE_ROWS)
-    x = np.array([r["x"] for r in sample.select("x").collect()])  # QUANTILE_ROWS vectors at most
-    if not len(x):
+    n = rows.count()
+    if not n:
         raise ValueError("no rows to learn from")
-    ranks = [-(-k * len(x) // bins) - 1 for k in range(1, bins)]
-    return [np.sort(column)[ranks] for column in x.T]
+    sample = rows if n <= QUANTILE_ROWS else rows.where(noise.uniform("id", 21) < QUANTILE_ROWS / n)
+    x = np.sort(np.array([r["x"] for r in sample.select("x").collect()], dtype=float), axis=0)  # about QUANTILE_ROWS vectors at most
+    ranks = -(-np.arange(1, bins) * n // bins)
+    if n <= QUANTILE_ROWS:
+        return list(x[ranks - 1].T)
+    edges = [np.unique(column[:: -(-len(x) // SLICES)]) for column in x.T] if len(x) else [np.zeros(0)] * len(rows.first()["x"])
+    counts = [np.zeros(len(e) + 1, dtype=np.int64) for e in edges]
+    for r in _slices(rows, edges).groupBy("feature", "slice").agg(F.sum("n").alias("n")).collect():  # SLICES + 1 a feature
+        counts[r["feature"]][r["slice"]] = r["n"]
+    before = [np.cumsum(c) - c for c in counts]
+    slices = [np.searchsorted(np.cumsum(c), ranks) for c in counts]
+    wanted = [(f, int(s), k, int(ranks[k] - before[f][s])) for f, at in enumerate(slices) for k, s in enumerate(at)]
+    values = _slices(rows, edges, [np.unique(at) for at in slices]).groupBy("feature", "slice", "v").agg(F.sum("n").alias("n"))
+    ranked = values.withColumn("upto", F.sum("n").over(Window.partitionBy("feature", "slice").orderBy("v")))
+    found = ranked.join(F.broadcast(log.sparkSession.createDataFrame(wanted, "feature int, slice int, k int, rank long")), ["feature", "slice"])
+    limits = [np.zeros(bins - 1) for _ in edges]
+    for r in found.where("rank between upto - n + 1 and upto").collect():  # bins - 1 a feature
+        limits[r["feature"]][r["k"]] = r["v"]
+    return limits
+
+
+def _slices(rows: DataFrame, edges: list[np.ndarray], only: list[np.ndarray] | None = None) -> DataFrame:
+    """(feature, slice, v, n): a task's numbers of rows by slice, which is how many edges of the feature
+    lie below the value; with `only`, by value within these slices."""
+    shared = rows.sparkSession.sparkContext.broadcast((edges, only))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, only = shared.value
+        totals = [np.zeros(len(e) + 1, dtype=np.int64) for e in edges]
+        out = lambda f, s, v, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(s), f), pa.int32()), pa.array(s, pa.int32()), pa.array(v, pa.float64()), pa.array(n, pa.int64())], names=["feature", "slice", "v", "n"])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            for f, column in enumerate(matrix(b.column(0))[0].T):
+                if only is None:
+                    totals[f] += np.bincount(np.searchsorted(edges[f], column), minlength=len(totals[f]))
+                else:
+                    v, n = np.unique(column, return_counts=True)
+                    s = np.searchsorted(edges[f], v)
+                    own = np.isin(s, only[f])
+                    yield out(f, s[own], v[own], n[own])
+        if only is None:
+            for f, n in enumerate(totals):
+                s = np.flatnonzero(n)
+                yield out(f, s, np.zeros(len(s)), n[s])
+
+    return rows.select("x").mapInArrow(partial, "feature int, slice int, v double, n long")
 
 
 def _packed(log: DataFrame, model: Boosted, runs: int, x_col: str, round_col: str | None) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from arbora.functions.lineage import durable
 from arbora.operators import boosting, models, posterior, refit, score
+from arbora.plans import refits  # noqa: F401  registers its queries
+from arbora.plans.catalogue import ORACLE, QUERIES
+from tests.oracle_check import compare, connect
 
 
 @pytest.fixture(scope="module")
@@ -135,3 +138,20 @@ def test_boundaries():
     assert refit.boundaries([(0, 90), (1, 180), (2, 250)]) == [90, 180]
     assert refit.boundaries([(0, 90), (3, 250)]) == [90, 90, 90]
     assert refit.boundaries([]) == []
+
+
+@pytest.mark.parametrize("sample", [0, 1, 20, 1000])
+def test_limits_are_quantiles_of_all_rows(spark, sample, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.normal(size=900), rng.integers(0, 4, size=900), np.zeros(900)], axis=1)
+    log = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "row_id long, x array<double>").repartition(3)
+    monkeypatch.setattr(boosting, "QUANTILE_ROWS", sample)
+    ranks = [-(-k * 900 // 16) - 1 for k in range(1, 16)]
+    assert np.array_equal(boosting.quantile_limits(log, 16), [np.sort(c)[ranks] for c in x.T])
+
+
+@pytest.mark.parametrize("name", ["m1_fit_reward_trees"])
+def test_twins_of_logs_beyond_the_sample(spark, name, monkeypatch):
+    monkeypatch.setattr(boosting, "QUANTILE_ROWS", 100)
+    folder = "/root/testdata/sf0.001"
+    assert compare(spark, connect(folder), QUERIES[name], ORACLE[name], folder) is None
