@@ -150,7 +150,7 @@ def test_limits_are_quantiles_of_all_rows(spark, sample, monkeypatch):
     assert np.array_equal(boosting.quantile_limits(log, 16), [np.sort(c)[ranks] for c in x.T])
 
 
-@pytest.mark.parametrize("name", ["m1_fit_reward_trees", "m2_predict_reward_trees"])
+@pytest.mark.parametrize("name", ["m1_fit_reward_trees", "m2_predict_reward_trees", "m3_refit_every_trees"])
 def test_twins_of_logs_beyond_the_sample(spark, name, monkeypatch):
     monkeypatch.setattr(boosting, "QUANTILE_ROWS", 100)
     folder = "/root/testdata/sf0.001"
