@@ -102,15 +102,22 @@ def s1_read_contexts(spark, sf_dir):
     return inputs.embeddings(spark, sf_dir).select("row_id", "label", F.size("x").alias("width"), (F.round(total, 4) + 0.0).alias("total"))
 
 
+#: Lines of one part of a counted text, about.
+PART_LINES = 1_000_000
+
+
 @query("SELECT (l_returnflag = 'N')::INT AS label, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1")
 def s2_read_counted_text(spark, sf_dir):
-    """All of lineitem written as counted text, flag N as the signal, and read back."""
+    """All of lineitem written as counted text, flag N as the signal, and read back. Rows are parted by
+    label and place, so that neither label's are sorted in one task."""
     li = inputs.lineitem(spark, sf_dir).withColumn("label", (F.col("label") == 1).cast("int"))
     n0, n1 = li.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
     line = F.array_join(F.transform("x", lambda v: v.cast("string")), " ")
     head = spark.createDataFrame([(2, f" {n1} {n0}")], "label int, value string")
     path = _scratch(spark, "counted")
-    head.unionByName(li.select("label", line.alias("value"))).orderBy(F.desc("label")).select("value").write.text(f"{path}/parts")
+    lines = head.unionByName(li.select("label", line.alias("value"))).withColumn("place", F.monotonically_increasing_id())
+    order = [F.desc("label"), F.col("place")]
+    lines.repartitionByRange(1 + (n0 + n1) // PART_LINES, *order).sortWithinPartitions(*order).select("value").write.text(f"{path}/parts")
     return read_counted_text(spark, f"{path}/parts").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.get("x", F.lit(0))), 2).alias("quantity"))
 
 

@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): lines from 0 in the order of files by name and of offsets within a file.
 
-    Lines are ranked within each block that a file is read in, and shifted by the number of lines in
-    the blocks before it: one row a block is all that is ordered as a whole.
+    A task reads a block's lines in turn, so a line's rank in it is its place less the least place there;
+    ranks are shifted by the number of lines in the blocks before. One row a block is all that is
+    ordered as a whole, and lines are neither sorted nor exchanged.
     """
     at = [F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("place")]
     lines = spark.read.text(path).select("value", *at)
-    blocks = lines.groupBy("file", "start").count()
+    blocks = lines.groupBy("file", "start").agg(F.count("*").alias("count"), F.min("place").alias("first"))
     before = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = blocks.select("file", "start", F.coalesce(before, F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("file", "start").orderBy("place"))
-    return lines.withColumn("rank", rank).join(offsets, ["file", "start"]).select((F.col("offset") + F.col("rank") - 1).alias("line"), "value")
+    offsets = blocks.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(F.broadcast(offsets), ["file", "start"]).select((F.col("place") + F.col("shift")).alias("line"), "value")
 
 
 def read_counted_text(spark: SparkSession, path: str, check: bool = True) -> DataFrame:

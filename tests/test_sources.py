@@ -61,3 +61,21 @@ def test_checkpoints_are_idempotent(spark, tmp_path):
     for b in (0, 1, 1, 0):
         results.append_checkpoints(df.withColumn("v", F.lit(b)), f"{tmp_path}/c", b)
     assert spark.read.parquet(f"{tmp_path}/c").count() == 10
+
+
+def test_counted_text_is_written_in_parts(spark, tmp_path, monkeypatch):
+    from arbora.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "PART_LINES", 500, raising=False)
+    monkeypatch.setattr(catalogue, "_scratch", lambda spark, name: f"{tmp_path}/{name}")
+    found = catalogue.s2_read_counted_text(spark, "/root/testdata/sf0.001").collect()
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    assert {r["label"]: r["n"] for r in found} == {r["label"]: r["count"] for r in li.groupBy((F.col("l_returnflag") == "N").cast("int").alias("label")).count().collect()}
+    parts = spark.read.text(f"{tmp_path}/counted/parts").groupBy(F.input_file_name()).count().collect()
+    assert len(parts) > 4 and max(r["count"] for r in parts) < 2000
+
+
+def test_lines_are_numbered_without_sorting_them(spark, tmp_path):
+    spark.range(1000).selectExpr("cast(id as string)").repartition(3).write.text(f"{tmp_path}/d")
+    plan = text.numbered_lines(spark, f"{tmp_path}/d")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and "row_number" not in plan
