@@ -146,14 +146,17 @@ def score_ucb_on_prediction(predictions: DataFrame, posterior: DataFrame, gamma:
 def score_diag(contexts: DataFrame, posterior: DataFrame, x_col: str = "x") -> DataFrame:
     """Mean sum f/p*x and variance sum x*x/p for each arm of a diagonal posterior.
 
-    The posterior is one row an arm; Spark broadcasts it by its size or joins otherwise.
+    The posterior is one row an arm. As in `score_linear` it is measured: up to SEND_BYTES it goes to
+    the tasks, and beyond that each arm's contexts are dealt over several of them.
     """
     arms = sorted(r[0] for r in posterior.select("arm").collect())
     x, contexts = doubles(x_col), contexts.drop("arm", "mean", "var")
     long = contexts.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms]))) if arms else contexts.withColumn("arm", F.lit(None).cast("int")).limit(0)
     mean = dot(F.zip_with("_f", "_p", lambda f, p: f / p), x)
     var = dot(F.zip_with(x, "_p", lambda v, p: v / p), x)
-    return long.join(posterior.select("arm", F.col("prec").alias("_p"), F.col("f").alias("_f")), "arm").withColumn("mean", mean).withColumn("var", var).drop("_p", "_f")
+    models = posterior.select("arm", F.col("prec").alias("_p"), F.col("f").alias("_f"))
+    joined = long.join(F.broadcast(models), "arm") if _bytes(models, "_p", "_f") <= SEND_BYTES else _salted_join(long, models, ["arm"])
+    return joined.withColumn("mean", mean).withColumn("var", var).drop("_p", "_f")
 
 
 #: Proposals for a gamma number; one is accepted with a chance of over 0.95, so none is once in 1e13 draws.

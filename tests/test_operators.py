@@ -310,3 +310,20 @@ def test_regret(spark):
     assert {r["method"]: r["relative"] for r in decisions.relative_to_baseline(s, "a").collect()} == {"a": None, "b": 50}
     assert decisions.sweep_grid(spark, a=[1, 2], b=["x"]).count() == 2
 
+
+
+def test_score_diag_deals_no_arm_to_one_task(spark, points, monkeypatch):
+    fitted = durable(posterior.diag_posterior(points))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = score.score_diag(points, fitted)
+        plan = sent._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        monkeypatch.setattr(score, "SEND_BYTES", 0)
+        dealt = score.score_diag(points, fitted)
+        assert "_salt" in dealt._jdf.queryExecution().executedPlan().toString()
+        one, two = table(sent, "row_id", "arm"), table(dealt, "row_id", "arm")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert one == two and len(one) == 960
