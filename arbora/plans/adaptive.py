@@ -9,7 +9,7 @@ from arbora.functions import noise
 from arbora.functions.lineage import durable
 from arbora.operators import diagnose, posterior, prepare, quantize
 from arbora.plans import inputs
-from arbora.plans.catalogue import _CODED_LOG, _LINEAR_SUMS, _ORDER_LOG, BATCHES, _coded_log, _diag_sql, _folded_sql, _linear_sql, _order_log, _order_stream, _scratch, _stream, _with_batch, query, r6, s6
+from arbora.plans.catalogue import _CODED_LOG, _LINEAR_SUMS, _ORDER_LOG, BATCHES, _batch_files, _coded_log, _diag_sql, _folded_sql, _linear_sql, _order_log, _order_stream, _scratch, _stream, _with_batch, query, r6, s6
 from arbora.plans.inputs import EMB, LEVELS, NBITS, book_sql
 from arbora.streaming import adaptive
 
@@ -137,14 +137,15 @@ def r2_ledger_diag(spark, sf_dir):
 
 @query(f"{_CODED_LOG} SELECT level, codes[level + 1] AS code, arm, count(*) AS n, {s6('sum(reward)')} AS s, {s6('sum(reward * reward)')} AS ss FROM log, (SELECT unnest(range({LEVELS}))::INT AS level) GROUP BY 1, 2, 3")
 def r4_running_code_counters(spark, sf_dir):
-    """Counters by (level, code, arm) in update mode; the stream is stopped after its first file and goes
+    """Counters by (level, code, arm) in update mode; the stream is stopped after its first batch and goes
     on from its checkpoint."""
-    log = _coded_log(spark, sf_dir).select("arm", "reward", F.posexplode("codes").alias("level", "code"), "row_id")
+    log = _with_batch(_coded_log(spark, sf_dir).select("arm", "reward", F.posexplode("codes").alias("level", "code"), "row_id"))
+    files = _batch_files(log)[1]
     folder = _scratch(spark, "r4")
     path, ledger = f"{folder}/in", adaptive.counters_ledger(f"{folder}/table", every=2)
     for b in range(BATCHES):
-        _with_batch(log).where(F.col("batch") == b).drop("batch", "row_id").write.mode("append").parquet(path)
-        rows = spark.readStream.schema(log.drop("row_id").schema).option("maxFilesPerTrigger", 1).parquet(path)
-        if b != 1:  # the second file waits for the third, so that one start has several batches
+        log.where(F.col("batch") == b).drop("batch", "row_id").repartition(files).write.mode("append").parquet(path)
+        rows = spark.readStream.schema(log.drop("batch", "row_id").schema).option("maxFilesPerTrigger", files).parquet(path)
+        if b != 1:  # the second batch waits for the third, so that one start has several batches
             adaptive.upsert_stream(rows, ("level", "code", "arm"), ledger, f"{folder}/checkpoint").awaitTermination()
     return ledger.read(spark).select("level", "code", "arm", "n", r6("s").alias("s"), r6("ss").alias("ss"))

@@ -917,12 +917,17 @@ def _with_batch(df: DataFrame) -> DataFrame:
     return df.withColumn("batch", F.floor(noise.uniform("row_id", 1) * BATCHES).cast("int"))
 
 
+def _batch_files(df: DataFrame) -> tuple[list[int], int]:
+    """The batches that there are, and the number of files for each."""
+    sizes = {r["batch"]: r["count"] for r in df.groupBy("batch").count().collect()}
+    return sorted(sizes), max(1, -(-max(sizes.values(), default=1) // FILE_ROWS))
+
+
 def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Rows with `batch` 0, 1, ... as a stream of these batches: each is written as the same number of
     files, and so many files make a batch."""
-    path, sizes = _scratch(spark, "stream"), {r["batch"]: r["count"] for r in df.groupBy("batch").count().collect()}
-    files = max(1, -(-max(sizes.values(), default=1) // FILE_ROWS))
-    for b in sorted(sizes):
+    path, (batches, files) = _scratch(spark, "stream"), _batch_files(df)
+    for b in batches:
         df.where(F.col("batch") == b).drop("batch").repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(df.drop("batch").schema).option("maxFilesPerTrigger", files).parquet(path)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.lineage import durable
 from arbora.operators import diagnose, posterior, quantize
+from arbora.plans import adaptive as plans
 from arbora.streaming import adaptive
 from arbora.streaming.ledger import Ledger, versions
 
@@ -206,3 +207,18 @@ def test_update_mode_restarts(spark, tmp_path):
         adaptive.upsert_stream(stream, ("arm",), ledger, f"{tmp_path}/c").awaitTermination()
     want = spark.read.parquet(f"{tmp_path}/in").groupBy("arm").agg(F.count("*").alias("n"), F.sum("reward").alias("s"))
     assert key(ledger.read(spark), "arm", "n", "s") == key(want, "arm", "n", "s")
+
+
+def test_batches_do_not_follow_the_input_files(spark, tmp_path, monkeypatch):
+    source = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    source.repartition(6).write.parquet(f"{tmp_path}/embeddings.parquet")
+    started, upsert = [], adaptive.upsert_stream
+
+    def counted(*args):
+        started.append(upsert(*args))
+        return started[-1]
+
+    monkeypatch.setattr(adaptive, "upsert_stream", counted)
+    found = plans.r4_running_code_counters(spark, str(tmp_path))
+    assert found.agg(F.sum("n")).first()[0] == 2 * source.count()
+    assert [sum(p["numInputRows"] > 0 for p in q.recentProgress) for q in started] == [1, 2]
