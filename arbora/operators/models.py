@@ -2,31 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbora.functions.arrow import matrix, rows_of
 from arbora.functions.lineage import durable
 from arbora.functions.vectors import clip01, context_arm_features, doubles, one_hot, weighted_sum
+from arbora.operators.boosting import Boosted, quantile_limits
 from arbora.operators.posterior import gram, position_sums
 from arbora.operators.prepare import expand_arms
 from arbora.operators.score import choose
 
 
-def fit_reward_gbt(log: DataFrame, n_arms: int, trees: int = 50, rate: float = 0.1, depth: int = 3) -> GBTRegressionModel:
-    """One boosted-tree regressor of the reward on the context and the arm's indicators."""
-    rows = log.select(array_to_vector(context_arm_features(doubles("x"), F.col("arm"), n_arms)).alias("features"), F.col("reward").cast("double").alias("label"))
-    return GBTRegressor(maxIter=trees, stepSize=rate, maxDepth=depth, seed=1).fit(rows)
+#: Bins of a feature, which are all the cuts that MLlib's trees try (its default maxBins).
+BINS = 32
 
 
-def predict_reward(model: GBTRegressionModel, contexts: DataFrame, n_arms: int) -> DataFrame:
+@dataclass(frozen=True)
+class RewardTrees:
+    """MLlib's boosted trees over the numbers of a context's bins, and the limits of these."""
+
+    limits: list[np.ndarray]
+    model: GBTRegressionModel
+
+
+def _binned(x: Column, limits: list[np.ndarray]) -> Column:
+    """Each value's bin: how many limits of its feature lie below it."""
+    by = Boosted(limits, 0)
+
+    @F.arrow_udf("array<double>")
+    def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for v in batches:
+            values, there = matrix(v)
+            yield rows_of(by.bins(values).astype(float), there) if there.any() else pa.nulls(len(v), pa.list_(pa.float64()))
+
+    return number(x)
+
+
+def reward_cells(log: DataFrame, limits: list[np.ndarray]) -> DataFrame:
+    """(x, arm, label, weight): how many rows have these bins, arm and reward. Rows with a null vector, arm
+    or reward are left out."""
+    rows = log.where(F.col("x").isNotNull() & F.col("arm").isNotNull() & F.col("reward").isNotNull())
+    binned = rows.select(_binned(doubles("x"), limits).alias("x"), "arm", F.col("reward").cast("double").alias("label"))
+    return binned.groupBy("x", "arm", "label").agg(F.count("*").cast("double").alias("weight"))
+
+
+def fit_reward_gbt(log: DataFrame, n_arms: int, trees: int = 50, rate: float = 0.1, depth: int = 3) -> RewardTrees:
+    """One boosted-tree regressor of the reward on the context and the arm's indicators.
+
+    A tree sees of a value only its bin. So rows are put into exact quantile bins and rows of the same
+    bins, arm and reward are counted once, before the trees' 150 passes; these go over the cells.
+    """
+    limits = quantile_limits(log, BINS)
+    cells = durable(reward_cells(log, limits))
+    rows = cells.select(array_to_vector(context_arm_features(F.col("x"), F.col("arm"), n_arms)).alias("features"), "label", "weight")
+    return RewardTrees(limits, GBTRegressor(maxIter=trees, stepSize=rate, maxDepth=depth, maxBins=BINS, seed=1, weightCol="weight").fit(rows))
+
+
+def predict_reward(model: RewardTrees, contexts: DataFrame, n_arms: int) -> DataFrame:
     """(row_id, arm, score): predictions for all arms."""
-    rows = expand_arms(contexts, n_arms).withColumn("features", array_to_vector(context_arm_features(doubles("x"), F.col("arm"), n_arms)))
-    return model.transform(rows).select("row_id", "arm", F.col("prediction").alias("score"))
+    rows = expand_arms(contexts.withColumn("x", _binned(doubles("x"), model.limits)), n_arms)
+    features = array_to_vector(context_arm_features(F.col("x"), F.col("arm"), n_arms))
+    return model.model.transform(rows.withColumn("features", features)).select("row_id", "arm", F.col("prediction").alias("score"))
 
 
 def refit_every(log: DataFrame, contexts: DataFrame, n_arms: int, every: int, fit: Callable | None = None, predict: Callable | None = None, **settings) -> DataFrame:

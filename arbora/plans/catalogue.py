@@ -616,7 +616,7 @@ def m1_fit_reward_gbt(spark, sf_dir):
     """The summed importance of the fitted trees' features."""
     log = durable(inputs.logged(inputs.orders(spark, sf_dir), 5))
     model = models.fit_reward_gbt(log, 5)
-    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(model.featureImportances.toArray())], "feature int, importance double")
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(model.model.featureImportances.toArray())], "feature int, importance double")
 
 
 @query()

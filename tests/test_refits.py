@@ -155,3 +155,21 @@ def test_twins_of_logs_beyond_the_sample(spark, name, monkeypatch):
     monkeypatch.setattr(boosting, "QUANTILE_ROWS", 100)
     folder = "/root/testdata/sf0.001"
     assert compare(spark, connect(folder), QUERIES[name], ORACLE[name], folder) is None
+
+
+def test_trees_over_counted_cells_are_those_over_rows(spark, log):
+    """The cells' model equals MLlib's over one row each, and few cells stand for many rows."""
+    many = durable(log.crossJoin(spark.range(5)).withColumn("x", F.transform("x", lambda v: F.round(v))))
+    found = models.fit_reward_gbt(many, 3, 5)
+    cells = models.reward_cells(many, found.limits)
+    each = cells.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
+    features = lambda df: df.select(models.array_to_vector(models.context_arm_features(F.col("x"), F.col("arm"), 3)).alias("features"), "label")
+    plain_model = models.GBTRegressor(maxIter=5, stepSize=0.1, maxDepth=3, seed=1).fit(features(each))
+    # predictions, as cuts of equal gain (an arm or the only other one) share importance either way
+    score_of = lambda m: {(tuple(r["features"]), r["label"]): r["prediction"] for r in m.transform(features(cells)).collect()}
+    one, two = score_of(found.model), score_of(plain_model)
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-9) for k in one)
+    assert cells.count() <= 400 and cells.agg(F.sum("weight")).first()[0] == 2000
+    contexts = log.where("x is not null").select("row_id", "x")
+    scored = models.predict_reward(found, contexts, 3)
+    assert scored.count() == 3 * contexts.count() and scored.where("score is null or isnan(score)").count() == 0
