@@ -18,7 +18,7 @@ from arbora.functions.vectors import clip01, context_arm_features, doubles, one_
 from arbora.operators.boosting import Boosted, quantile_limits
 from arbora.operators.posterior import gram, position_sums
 from arbora.operators.prepare import expand_arms
-from arbora.operators.score import choose
+from arbora.operators.score import choose, sent
 
 
 #: Bins of a feature, which are all the cuts that MLlib's trees try (its default maxBins).
@@ -68,9 +68,26 @@ def fit_reward_gbt(log: DataFrame, n_arms: int, trees: int = 50, rate: float = 0
 
 def predict_reward(model: RewardTrees, contexts: DataFrame, n_arms: int) -> DataFrame:
     """(row_id, arm, score): predictions for all arms."""
-    rows = expand_arms(contexts.withColumn("x", _binned(doubles("x"), model.limits)), n_arms)
+    return _scores(model, contexts.withColumn("x", _binned(doubles("x"), model.limits)), n_arms).select("row_id", "arm", "score")
+
+
+def _scores(model: RewardTrees, binned: DataFrame, n_arms: int) -> DataFrame:
+    """`binned`, whose x are numbers of bins, with every arm and its `score`."""
     features = array_to_vector(context_arm_features(F.col("x"), F.col("arm"), n_arms))
-    return model.model.transform(rows.withColumn("features", features)).select("row_id", "arm", F.col("prediction").alias("score"))
+    return model.model.transform(expand_arms(binned, n_arms).withColumn("features", features)).withColumnRenamed("prediction", "score")
+
+
+def choose_reward(model: RewardTrees, contexts: DataFrame, n_arms: int) -> DataFrame:
+    """`contexts` with `arm`: of the greatest prediction, the lowest of equal ones; null for a null vector.
+
+    Contexts of the same bins have the same predictions, so the trees decide each combination of bins that
+    occurs once. Decisions are counted: up to SEND_BYTES they go to the tasks and nothing else is exchanged;
+    beyond, the contexts are joined to them.
+    """
+    rows = contexts.drop("arm").withColumn("_bins", _binned(doubles("x"), model.limits))
+    cells = rows.where(F.col("_bins").isNotNull()).select(F.col("_bins").alias("x")).distinct()
+    arms = durable(choose(_scores(model, cells, n_arms), ("x",)).withColumnRenamed("x", "_bins"))
+    return rows.join(sent(arms, arms.count(), 64 + 8 * len(model.limits)), "_bins", "left").drop("_bins")
 
 
 def refit_every(log: DataFrame, contexts: DataFrame, n_arms: int, every: int, fit: Callable | None = None, predict: Callable | None = None, **settings) -> DataFrame:
@@ -78,17 +95,16 @@ def refit_every(log: DataFrame, contexts: DataFrame, n_arms: int, every: int, fi
     stretch of `every` rounds; the first stretch has none (null arm). One fit a stretch.
 
     `fit` takes the logged rows, `predict` the model and contexts and gives (row_id, arm, score);
-    boosted trees with these `settings` by default.
+    boosted trees with these `settings` by default, which decide by cells (`choose_reward`).
     """
     fit = fit or (lambda rows: fit_reward_gbt(rows, n_arms, **settings))
-    predict = predict or (lambda model, rows: predict_reward(model, rows, n_arms))
     last = contexts.agg(F.max("round")).first()[0] or 0
     out = contexts.where(F.col("round") <= every).select("row_id", "round", F.lit(None).cast("int").alias("arm"))
     for start in range(every, last, every):
         model = fit(log.where(F.col("round") <= start))
         part = contexts.where((F.col("round") > start) & (F.col("round") <= start + every))
-        picked = choose(predict(model, part))
-        out = out.unionByName(part.select("row_id", "round").join(picked, "row_id"))
+        decided = part.select("row_id", "round").join(choose(predict(model, part)), "row_id") if predict else choose_reward(model, part.select("row_id", "round", "x"), n_arms)
+        out = out.unionByName(decided.select("row_id", "round", "arm"))
     return out
 
 

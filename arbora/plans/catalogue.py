@@ -623,7 +623,7 @@ def m1_fit_reward_gbt(spark, sf_dir):
 def m2_predict_reward(spark, sf_dir):
     contexts = durable(inputs.logged(inputs.orders(spark, sf_dir), 5))
     model = models.fit_reward_gbt(contexts, 5)
-    return score.choose(models.predict_reward(model, contexts.select("row_id", "x"), 5))
+    return models.choose_reward(model, contexts.select("row_id", "x"), 5).select("row_id", "arm")
 
 
 @query()

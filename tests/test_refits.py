@@ -173,3 +173,21 @@ def test_trees_over_counted_cells_are_those_over_rows(spark, log):
     contexts = log.where("x is not null").select("row_id", "x")
     scored = models.predict_reward(found, contexts, 3)
     assert scored.count() == 3 * contexts.count() and scored.where("score is null or isnan(score)").count() == 0
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_refits_decide_each_combination_of_bins_once(spark, log, limit, monkeypatch):
+    """Few cells stand for many contexts, and each context has the arm that its own predictions prefer."""
+    monkeypatch.setattr(score, "SEND_BYTES", limit)
+    many = log.withColumn("x", F.transform("x", lambda v: F.round(v)))
+    predicted, expand = [], models.expand_arms
+    monkeypatch.setattr(models, "expand_arms", lambda df, n_arms: predicted.append(df.count()) or expand(df, n_arms))
+    found = {r["row_id"]: r["arm"] for r in models.refit_every(many, many, 3, 200, trees=3).collect()}
+    stretches = [many.where("x is not null").where(F.col("round").between(s + 1, s + 200)) for s in (200, 400)]
+    assert len(found) == 402 and len(predicted) == 2
+    assert all(0 < n <= part.select("x").distinct().count() for n, part in zip(predicted, stretches, strict=True)) and predicted[0] < 150
+    for end, part in zip((200, 400), stretches, strict=True):
+        model = models.fit_reward_gbt(many.where(F.col("round") <= end), 3, 3)
+        want = {r["row_id"]: r["arm"] for r in score.choose(models.predict_reward(model, part, 3)).collect()}
+        assert {k: found[k] for k in want} == want
+    assert found[400] is None and all(found[i] is None for i in range(200))
