@@ -100,3 +100,61 @@ def test_index_is_kept_and_partitions_do_not_matter(spark, tmp_path):
     a = found(neighbours.search(index, queries, 5))
     b = found(neighbours.search(neighbours.build(own.repartition(7), pivots, 3, 16), queries.repartition(2), 5, blocks=4))
     assert a == b and len(a) == 30
+
+
+def part_of(ids, x, pivots, prefix):
+    near = neighbours.permutations(x, pivots, prefix)
+    by = np.argsort(near.ravel(), kind="stable")
+    starts = np.searchsorted(near.ravel()[by], np.arange(len(pivots) + 1)).astype(np.int32)
+    return neighbours.Part({"ids": ids.tobytes(), "x": x.tobytes(), "starts": starts.tobytes(), "slots": (by // prefix).astype(np.int32).tobytes(), "places": (by % prefix).astype(np.int16).tobytes()}, prefix)
+
+
+def test_parts_follow_rows_and_blocks_are_not_broadcast(spark, monkeypatch):
+    """A part has many rows, however many partitions shuffles have; what explode repeats is no small table."""
+    seen, search = [], neighbours.search
+    monkeypatch.setattr(neighbours, "search", lambda index, queries, k, blocks=1: seen.append((index.parts, blocks)) or search(index, queries, k, blocks))
+    monkeypatch.setattr(neighbours, "PART_ROWS", 400, raising=False)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(3).normal(size=(1000, 8)).astype(np.float32))]
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        result = neighbours.nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("id") % 100 == 0)
+        assert seen == [(2, 1)]
+        assert "Broadcast" not in result._jdf.queryExecution().executedPlan().toString()
+        assert result.count() == 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+
+
+def test_mean_footrule_is_the_mean():
+    rng = np.random.default_rng(4)
+    x, pivots, prefix = rng.normal(size=(60, 6)), rng.normal(size=(12, 6)), 5
+    part = part_of(np.arange(60), x, pivots, prefix)
+    order, begins, near = part.groups()
+    asked = neighbours.permutations(rng.normal(size=(7, 6)), pivots, prefix)
+    assert (near == neighbours.permutations(x[order], pivots, prefix)).all() and len(begins) == len(set(near[:, 0]))
+    want = [[g.mean() for g in np.split(part.footrule(a)[order], begins[1:])] for a in asked]
+    assert np.allclose(neighbours.mean_footrule(near, begins, asked, 12), want, rtol=1e-5)
+
+
+@pytest.mark.parametrize("scale,offset", [(1.0, 0.0), (1e-3, 1e6), (1e-30, 0.0), (1e-165, 0.0), (1e30, 0.0), (1e200, 0.0), (1.0, 1e16)])
+def test_single_precision_rules_out_none_of_the_nearest(monkeypatch, scale, offset):
+    """All groups read: ids and distances are those of double precision, ties and copies included."""
+    monkeypatch.setattr(neighbours, "ROUND", 1.0)
+    monkeypatch.setattr(neighbours, "_TILE", (32, 100))
+    monkeypatch.setattr(neighbours, "_HELD", 500)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 8))
+    x[200:260] = x[0]
+    x[300:400] = x[1] + 1e-7 * rng.normal(size=(100, 8))
+    x = x * scale + offset
+    ids, pivots = rng.permutation(1500) // 2, x[rng.choice(1500, 32, replace=False)]  # two vectors an id
+    reader = neighbours.Reader(part_of(ids, x, pivots, 16), 10, 32)
+    asked = np.concatenate((np.arange(0, 40), np.arange(200, 210), np.arange(300, 310)))
+    query, found, far = reader.nearest(ids[asked], x[asked], neighbours.permutations(x[asked], pivots, 16))
+    for i, q in enumerate(asked):
+        gap = x - x[q]
+        with np.errstate(over="ignore", under="ignore"):
+            want = np.sqrt((gap * gap).sum(axis=1))
+        order = [j for j in np.lexsort((ids, want)) if ids[j] != ids[q]][:10]
+        assert far[query == i].tolist() == want[order].tolist() and found[query == i].tolist() == ids[order].tolist()
