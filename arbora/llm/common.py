@@ -19,7 +19,7 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 512
 
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WHITE", "Scratch", "column", "columns", "crc_mod", "durable", "ensure_checkpoint_dir", "free_name", "hashable", "mix", "ngram_hashes", "prepare", "remove_folder", "shared_folder", "table", "utf8", "word_hashes"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WHITE", "Scratch", "column", "columns", "crc_mod", "durable", "ensure_checkpoint_dir", "free_name", "hashable", "mix", "ngram_hashes", "prepare", "remove_folder", "shared_folder", "shuffled", "table", "utf8", "word_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,15 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The table with the hint that its next join shuffles both sides.
+
+    For rows that explode has made, or that compress well on disk: Spark takes a row's copies for one
+    row and the size on disk for that in memory, and would send what is large through the driver.
+    """
+    return df.hint("merge")
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that `df` does not have yet."""
     name, taken = base, {c.lower() for c in df.columns}

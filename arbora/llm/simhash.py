@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType
 
-from .common import Scratch, column, columns, durable, free_name, hashable, mix, ngram_hashes, prepare, utf8, word_hashes
+from .common import Scratch, column, columns, durable, free_name, hashable, mix, ngram_hashes, prepare, shuffled, utf8, word_hashes
 from .components import connected_components
 
 #: A list of sharers longer than this is not paired but split by further wildcard variants.
@@ -85,12 +85,12 @@ def links(fps: DataFrame, keep: Callable[[DataFrame], DataFrame] = durable) -> D
     index = fps.select("fp", F.explode(F.array(*entries)).alias("e")).select("fp", "e.key", "e.bit")
     exact = F.col("key") < F.lit(2 << 32)
     lists = index.groupBy("key").agg(F.count("*").alias("n"), F.coalesce(F.sum("bit"), F.lit(0)).alias("n1")).where("n > 1").where(exact | ((F.col("n1") > 0) & (F.col("n1") < F.col("n"))))
-    shared = keep(index.join(lists, "key").select("key", "bit", "fp", "n"))
+    shared = keep(shuffled(index).join(lists, "key").select("key", "bit", "fp", "n"))
 
     few = shared.where(F.col("n") <= PAIR_LIMIT)
     a, b = few.select("key", "bit", F.col("fp").alias("u")), few.select("key", F.col("bit").alias("bit2"), F.col("fp").alias("v"))
     apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2
-    pairs = a.join(b, "key").where((exact & (F.col("u") < F.col("v"))) | ((F.col("bit") == 0) & (F.col("bit2") == 1))).where(apart).select("u", "v")
+    pairs = shuffled(a).join(b, "key").where((exact & (F.col("u") < F.col("v"))) | ((F.col("bit") == 0) & (F.col("bit2") == 1))).where(apart).select("u", "v")
 
     # Long lists: fix all but two bits. At most four distinct fingerprints share such an entry.
     many = shared.where(F.col("n") > PAIR_LIMIT)
@@ -279,7 +279,7 @@ def similar(nodes: DataFrame, known: DataFrame, similarity: float, keep: Callabl
     lists = nodes.select("node", F.explode("bands").alias("key"))
     sizes = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sketches = nodes.select("node", "sketch")
-    shared = keep(lists.join(sizes, "key").select("key", "node", "n"))
+    shared = keep(shuffled(lists).join(sizes, "key").select("key", "node", "n"))
     zero = F.lit(0)
     short = shared.where(F.col("n") <= BLOCK_TEXTS).join(sketches, "node").select("key", zero.alias("i"), zero.alias("j"), zero.alias("block"), "node", "sketch")
     found = compare_units(short, bar)

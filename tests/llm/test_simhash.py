@@ -83,6 +83,21 @@ def test_links_on_dense_fingerprints(spark, monkeypatch, limit):
     assert {x: got.get(x, x) for x in signed} == dict(zip(signed, want, strict=True))
 
 
+def test_exploded_rows_are_not_broadcast(spark):
+    """What explode repeats is joined by shuffle, however small Spark takes it for."""
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    fps = spark.range(81).selectExpr("id div 9 * 4294967296 + id % 9 as fp")
+    planned(simhash.links(fps, lambda df: durable(planned(df))))
+    nodes = spark.range(30).selectExpr("id as node", "cast(repeat('a', 256) as binary) as sketch", "array(id % 3, 3 + id % 5) as bands")
+    simhash.similar(nodes, fps.selectExpr("fp as u", "fp as v"), 0.8, lambda df: durable(planned(df)))
+    assert [("Join" in p, "Broadcast" in p) for p in plans[:3]] == [(True, False)] * 3
+
+
 def test_long_chain(spark):
     edges = spark.range(1, 300).selectExpr("id as u", "id - 1 as v")
     assert {tuple(r) for r in connected_components(edges).collect()} == {(i, 0) for i in range(300)}
